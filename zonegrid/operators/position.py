@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 
 def global_position(df: DataFrame, bucket_col: str, order_cols: list[str], name: str = "pos",
-                    partition_keys: list[str] | None = None) -> DataFrame:
+                    partition_keys: list[str] | None = None, total_name: str | None = None) -> DataFrame:
     """Add 0-based ``name`` = position of the row in ``ORDER BY bucket_col, *order_cols``
-    (within ``partition_keys`` when given)."""
+    (within ``partition_keys`` when given); ``total_name`` also adds the row total."""
     keys = list(partition_keys or [])
     counts = df.groupBy(*keys, bucket_col).agg(F.count(F.lit(1)).alias("_bn"))
     w_run = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_bn").over(Window.partitionBy(*keys)).cast("long").alias(total_name)] if total_name else []
     offsets = counts.select(*keys, bucket_col,
-                            F.coalesce(F.sum("_bn").over(w_run), F.lit(0)).cast("long").alias("_off"))
+                            F.coalesce(F.sum("_bn").over(w_run), F.lit(0)).cast("long").alias("_off"), *extra)
     w_in = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols)
     ranked = df.withColumn("_rn", F.row_number().over(w_in))
     return (ranked.join(offsets, [*keys, bucket_col], "inner")

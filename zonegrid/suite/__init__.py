@@ -1,6 +1,6 @@
 """All registered queries (``QUERIES``) and their DuckDB oracles (``ORACLE``)."""
 
-from . import core, prep  # noqa: F401  (registers)
+from . import core, evaluate, prep  # noqa: F401  (registers)
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
