@@ -153,3 +153,20 @@ def q_tree_dispersion(spark, sf_dir):
 def q_shap_topk(spark, sf_dir):
     aligned, t = request_matrix(spark, sf_dir)
     return rounded(explain.shap_topk(aligned, t.forest, t.features, k=12))
+
+
+@register("stream_score_requests")
+def q_stream_score_requests(spark, sf_dir):
+    """The scoring path as a file-source stream (availableNow) over the landed
+    request bodies; the scored rows equal the batch path's."""
+    from ..sources import requests as reqsrc
+    from ..sources.sinks import run_path
+    from ..streaming import scoring as stream_scoring
+    from .scoring import cyc_rows
+    t = trained(spark, sf_dir)
+    src = run_path(spark, "request-bodies")
+    reqsrc.request_bodies(cyc_rows(spark, sf_dir)).write.mode("overwrite").parquet(src)
+    out, ckpt = run_path(spark, "stream-scored"), run_path(spark, "stream-checkpoint")
+    q = stream_scoring.start(spark, src, out, ckpt, t.model, t.features, t.calibration)
+    q.awaitTermination()
+    return rounded(stream_scoring.read_scored(spark, out).drop("batch_id"))
