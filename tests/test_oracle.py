@@ -38,4 +38,4 @@ def test_every_query_has_oracle_or_is_model_based():
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
     assert rows_only <= {"weather_upsample_stretched", "gbt_predict", "grid_search", "score_requests",
                          "model_registry", "model_info", "run_log", "gain_importance", "tree_dispersion",
-                         "shap_topk", "file_manifest", "output_inventory"}
+                         "shap_topk", "file_manifest", "output_inventory", "stream_score_requests"}

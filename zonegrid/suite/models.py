@@ -8,61 +8,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import fixed
 from ..functions import surge
 from ..ml import explain, registry, train
 from ..ml import trees as T
-from ..operators import folds, matrix, metrics
+from ..operators import folds, matrix
 from ..operators import requests as R
+from ..plans import training
 from ..session import shared_path
 from .base import P, register, rounded
-from .prep import training_rows
+from .prep import split_rows, weather_15
 from .scoring import valid_requests
 
+# The training job always runs expanding-window CV (folds fitted concurrently).
+RUN_CV = True
+
 _TRAINED: dict = {}
 
 
 class Trained:
-    """Artifacts of one training run on the driver tables."""
+    """Artifacts of one run of the training job on the driver tables."""
 
     def __init__(self, spark, sf_dir):
-        rows, feats = training_rows(spark, sf_dir)
-        self.features = feats
-        data = matrix.assemble(rows, feats).select("split", "Zone", "Time_Bin", "features", "label").cache()
-        self.data = data
-        tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-        stop_on = te if P.model.early_stopping_on == "test" else None
-        self.fit = train.fit(tr, P.model, stop_on)
-        self.model = self.fit.model
         self.base = shared_path(spark, f"registry-{spark.sparkContext.applicationId}")
-        self.version, self.trained_at = registry.utc_stamp()
-        self.path = registry.save_model(self.model, self.base, self.version)
-        self.forest = T.load_forest(spark, self.path, len(feats))
-        pred = self.model.transform(te).select("Zone", "Time_Bin", F.col("label").alias("y_true"),
-                                               F.col("prediction").alias("y_pred"))
-        self.test_predictions = pred
-        m = metrics.regression_metrics(pred).first().asDict()
-        cal = metrics.residual_calibration(pred).first().asDict()
-        self.metrics = {k: float(m[k]) for k in ("mae", "rmse", "r2", "mape")}
-        self.metrics.update({"cv_mae_mean": float("nan"), "cv_mae_std": float("nan")})
-        self.calibration = {k: float(v) for k, v in cal.items()}
-        self.n_train, self.n_test = int(tr.count()), int(m["n"])
-        registry.append_record(spark, self.base, {
-            "version": self.version, "trained_at": self.trained_at, "artifact": self.path,
-            "model_type": "GBTRegressor", "features": feats, "target": fixed.TARGET,
-            "train_samples": self.n_train, "test_samples": self.n_test, "n_trees": self.fit.n_trees,
-            "metrics": self.metrics, "calibration": self.calibration,
-            "data": {"train_test_split_date": P.split_date, "weather_start": P.weather_start,
-                     "weather_end": P.weather_end,
-                     "train_rows_rule": "Time_Bin < train_test_split_date (after pipeline filters)",
-                     "test_rows_rule": "Time_Bin >= train_test_split_date"},
-            "params": {"n_estimators": str(P.model.n_estimators), "learning_rate": str(P.model.learning_rate),
-                       "max_depth": str(P.model.max_depth), "seed": str(P.model.seed),
-                       "early_stopping_rounds": str(P.model.early_stopping_rounds)},
-        })
-        params = {"n_estimators": P.model.n_estimators, "learning_rate": P.model.learning_rate,
-                  "max_depth": P.model.max_depth, "seed": P.model.seed}
-        registry.log_run(spark, self.base, params, self.metrics, len(feats))
+        out = training.train_and_save(spark, split_rows(spark, sf_dir), weather_15(spark, sf_dir), P, self.base,
+                                      run_cv=RUN_CV)
+        self.model, self.features, self.path = out["model"], out["features"], out["path"]
+        self.data, self.test_predictions = out["data"], out["test_predictions"]
+        self.calibration, self.metrics, self.n_trees = out["calibration"], out["metrics"], out["n_trees"]
+        self.forest = T.load_forest(spark, self.path, len(self.features))
 
 
 def trained(spark, sf_dir) -> Trained:
@@ -159,13 +132,12 @@ def q_shap_topk(spark, sf_dir):
 def q_stream_score_requests(spark, sf_dir):
     """The scoring path as a file-source stream (availableNow) over the landed
     request bodies; the scored rows equal the batch path's."""
-    from ..sources import requests as reqsrc
     from ..sources.sinks import run_path
     from ..streaming import scoring as stream_scoring
-    from .scoring import cyc_rows
+    from .scoring import _BODIES, landed_bodies
     t = trained(spark, sf_dir)
-    src = run_path(spark, "request-bodies")
-    reqsrc.request_bodies(cyc_rows(spark, sf_dir)).write.mode("overwrite").parquet(src)
+    landed_bodies(spark, sf_dir)
+    src = _BODIES[(spark.sparkContext.applicationId, sf_dir)]
     out, ckpt = run_path(spark, "stream-scored"), run_path(spark, "stream-checkpoint")
     q = stream_scoring.start(spark, src, out, ckpt, t.model, t.features, t.calibration)
     q.awaitTermination()

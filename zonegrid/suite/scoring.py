@@ -11,6 +11,7 @@ from ..operators import metrics, requests as R, weather
 from ..sources import requests as reqsrc
 from ..sources import testdata as td
 from ..plans.scoring import landed_requests, read_landed
+from ..sources.sinks import run_path
 from .base import P, cte, final_sql, register, rounded
 from .core import feature_table
 from .evaluate import MAT, SQL_PRED, persistence
@@ -24,8 +25,22 @@ def cyc_rows(spark, sf_dir):
                                  "Time_Bin")
 
 
+_BODIES: dict = {}
+
+
+def landed_bodies(spark, sf_dir):
+    """Request bodies as they land (JSON text files' content), derived from the
+    feature rows once per session and written to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BODIES:
+        path = run_path(spark, "request-bodies")
+        reqsrc.request_bodies(cyc_rows(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        _BODIES[key] = path
+    return spark.read.parquet(_BODIES[key])
+
+
 def validated(spark, sf_dir):
-    return R.validate(reqsrc.request_bodies(cyc_rows(spark, sf_dir)))
+    return R.validate(landed_bodies(spark, sf_dir))
 
 
 def valid_requests(spark, sf_dir):
