@@ -32,17 +32,35 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return pdf[features].to_numpy(dtype=float)
 
 
-def tree_dispersion(df: DataFrame, forest: T.Forest, features: list[str], id_col: str = "request_id") -> DataFrame:
-    """Per-row tree count, ensemble prediction, increment std, confidence and its text."""
+def _shared(df: DataFrame, value):
+    """Broadcast variable: shipped once per executor, not pickled into each task."""
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def tree_dispersion(df: DataFrame, forest: T.Forest, features: list[str], id_col: str = "request_id",
+                    keep: list[str] | None = None) -> DataFrame:
+    """Per-row tree count, ensemble prediction, increment std, confidence and its
+    text (A9, F12); ``keep`` columns pass through, so no join is needed after."""
+    keep = [c for c in (keep or []) if c != id_col]
+    shared = _shared(df, forest)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batches):
+        fo = shared.value
         for pdf in batches:
-            per = T.tree_outputs(forest, _matrix(pdf, features))
-            yield pd.DataFrame({id_col: pdf[id_col], "n_trees": per.shape[1],
-                                "forest_prediction": per.sum(axis=1), "tree_std": T.dispersion(per)})
-
-    out = df.select(id_col, *[F.col(f"`{c}`") for c in features]).mapInPandas(
-        run, f"{id_col} string, n_trees int, forest_prediction double, tree_std double")
+            per = T.tree_outputs(fo, _matrix(pdf, features))
+            out = pd.DataFrame({id_col: pdf[id_col]})
+            for c in keep:
+                out[c] = pdf[c]
+            out["n_trees"] = per.shape[1]
+            out["forest_prediction"] = per.sum(axis=1)
+            out["tree_std"] = T.dispersion(per)
+            yield out
+
+    schema = ", ".join([f"`{id_col}` {kinds[id_col]}", *[f"`{c}` {kinds[c]}" for c in keep],
+                        "n_trees int", "forest_prediction double", "tree_std double"])
+    out = df.select(id_col, *[F.col(f"`{c}`") for c in keep],
+                    *[F.col(f"`{c}`") for c in features if c not in keep]).mapInPandas(run, schema)
     conf = surge.confidence_from_std(F.col("tree_std"), F.col("n_trees"))
     return out.withColumn("confidence", conf).withColumn("confidence_text", surge.percent_text(conf))
 
@@ -52,11 +70,12 @@ def shap_topk(df: DataFrame, forest: T.Forest, features: list[str], k: int = 12,
     """Expected value + the ``k`` features with the largest |SHAP| per row."""
     if not 4 <= k <= 64:
         raise ValueError("max_features must be within 4..64")
-    paths = [T.leaf_paths(t) for t in forest.trees]
+    shared = _shared(df, (forest, [T.leaf_paths(t) for t in forest.trees]))
 
     def run(batches):
+        fo, paths = shared.value
         for pdf in batches:
-            base, phi = T.shap_values(forest, _matrix(pdf, features), paths)
+            base, phi = T.shap_values(fo, _matrix(pdf, features), paths)
             yield pd.DataFrame({id_col: pdf[id_col], "expected_value": base, "shap": list(phi)})
 
     out = df.select(id_col, *[F.col(f"`{c}`") for c in features]).mapInPandas(

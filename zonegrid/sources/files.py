@@ -7,6 +7,8 @@ table reaches the driver when the caller asks for it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def output_inventory(spark: SparkSession, base: str, expected: dict) -> DataFram
     base = base.rstrip("/")
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
              .option("recursiveFileLookup", "true").load(base).select("path", "length"))
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + base.split("://")[-1] + "/", "")
+    rel = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(base.split("://")[-1]) + "/", "")
     dataset = F.lit(None).cast("string")
     for name, location in expected.items():
         dataset = F.when(rel.startswith(location + "/"), F.lit(name)).otherwise(dataset)

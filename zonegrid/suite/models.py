@@ -77,15 +77,18 @@ def q_score_requests(spark, sf_dir):
     """Predict + level + confidence + holdout band + recommendation."""
     aligned, t = request_matrix(spark, sf_dir)
     scored = t.model.transform(matrix.assemble(aligned, t.features, label=None))
-    disp = explain.tree_dispersion(aligned, t.forest, t.features).select("request_id", "confidence_text")
+    # one pass: dispersion is computed on the scored rows, no join back by id
+    disp = explain.tree_dispersion(scored, t.forest, t.features,
+                                   keep=["prediction", "precip", "defaults_used"])
     p10, p90 = t.calibration.get("p10"), t.calibration.get("p90")
     pred = F.col("prediction")
-    out = scored.join(disp, "request_id").select(
+    none = F.lit(None).cast("double")
+    out = disp.select(
         "request_id", pred.alias("prediction"),
         surge.surge_level(pred).alias("surge_level"),
         F.col("confidence_text").alias("confidence"),
-        (pred + F.lit(p10)).alias("band_lower") if p10 is not None else F.lit(None).cast("double").alias("band_lower"),
-        (pred + F.lit(p90)).alias("band_upper") if p90 is not None else F.lit(None).cast("double").alias("band_upper"),
+        (pred + F.lit(p10) if p10 is not None else none).alias("band_lower"),
+        (pred + F.lit(p90) if p90 is not None else none).alias("band_upper"),
         surge.recommendation(pred, F.col("precip")).alias("recommendation"),
         "defaults_used",
     )
