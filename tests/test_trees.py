@@ -110,3 +110,17 @@ def test_grid_search_prefix_scores(spark):
                             42, 2, threads=2)
     assert {(r["n_estimators"], r["n_folds"]) for r in out} == {(2, 2), (4, 2)}
     assert all(r["mean_mae"] >= 0 for r in out)
+
+
+def test_train_tail_early_stopping(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [tuple(float(v) for v in np.random.default_rng(i).uniform(0, 1, len(FEATS)))
+            + (float(i % 5), t0 + dt.timedelta(minutes=15 * i), 1) for i in range(80)]
+    df = assemble(spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in FEATS)
+                                        + ", `Target_DER_t+15` double, Time_Bin timestamp_ntz, Zone long"), FEATS)
+    head, tail = train.train_tail_split(df, 0.1)
+    assert (head.count(), tail.count()) == (72, 8)
+    res = train.fit_with_stopping(df, None, ModelParams(n_estimators=6, learning_rate=0.5, max_depth=2,
+                                                        early_stopping_rounds=2, early_stopping_on="train_tail"))
+    assert 1 <= res.n_trees <= 6 and len(res.errors) == 6 and res.model.getNumTrees == res.n_trees

@@ -67,6 +67,28 @@ def fit(train: DataFrame, params: ModelParams, stop_on: DataFrame | None = None)
     return FitResult(model, keep, errors)
 
 
+def train_tail_split(train: DataFrame, fraction: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(fit rows, early-stopping rows): the latest ``fraction`` of train by time position."""
+    from ..operators.folds import with_positions
+    p = with_positions(train, "time")
+    cut = F.col("n_rows") - F.ceil(F.col("n_rows") * F.lit(fraction))
+    return p.where(F.col("pos") < cut), p.where(F.col("pos") >= cut)
+
+
+def fit_with_stopping(train: DataFrame, test: DataFrame, params: ModelParams) -> FitResult:
+    """Early stopping on the holdout (parity) or on the latest slice of train."""
+    if params.early_stopping_rounds <= 0:
+        return fit(train, params, None)
+    if params.early_stopping_on == "test":
+        return fit(train, params, test)
+    head, tail = train_tail_split(train)
+    found = fit(head, params, tail)
+    # refit on all train rows with the number of trees found on the tail
+    final = regressor(found.n_trees, params.learning_rate, params.max_depth, params.seed).fit(
+        train.select("features", "label"))
+    return FitResult(final, found.n_trees, found.errors)
+
+
 def fold_frames(assembled: DataFrame, n_splits: int | None = None, order: str = "time"):
     """[(train_rows, validation_rows)] of the expanding-window split."""
     folded = time_series_folds(assembled, n_splits, order).cache()
