@@ -23,11 +23,20 @@ def time_bin(ts: Column, minutes: int = fixed.BIN_MINUTES) -> Column:
     return F.window(ts, f"{minutes} minutes").start
 
 
+def floor_bin(ts: Column, minutes: int = fixed.BIN_MINUTES) -> Column:
+    """Same floor as :func:`time_bin` by epoch arithmetic on TIMESTAMP_NTZ
+    (usable next to a ``window`` expression in one projection)."""
+    step = minutes * 60 * 1_000_000
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.timestamp_add("MICROSECOND", F.floor(since / step) * step,
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def add_time_bin(trips: DataFrame, minutes: int = fixed.BIN_MINUTES,
                  supply_time: str = "pickup") -> DataFrame:
     out = trips.withColumn("Time_Bin", time_bin(F.col("pickup_datetime"), minutes))
     if supply_time == "dropoff":
-        out = out.withColumn("Supply_Bin", time_bin(F.col("dropoff_datetime"), minutes))
+        out = out.withColumn("Supply_Bin", floor_bin(F.col("dropoff_datetime"), minutes))
     return out
 
 
@@ -75,8 +84,11 @@ def imbalance_outer(trips: DataFrame, minutes: int = fixed.BIN_MINUTES) -> DataF
 def imbalance(trips: DataFrame, minutes: int = fixed.BIN_MINUTES,
               supply_time: str = "pickup") -> DataFrame:
     """One scan, one shuffle: explode each trip into its two sides and count."""
-    pickup_bin = time_bin(F.col("pickup_datetime"), minutes)
-    supply_bin = pickup_bin if supply_time == "pickup" else time_bin(F.col("dropoff_datetime"), minutes)
+    if supply_time == "pickup":
+        pickup_bin = supply_bin = time_bin(F.col("pickup_datetime"), minutes)
+    else:  # window() would also drop rows with a NULL pickup time: use arithmetic floors
+        pickup_bin = floor_bin(F.col("pickup_datetime"), minutes)
+        supply_bin = floor_bin(F.col("dropoff_datetime"), minutes)
     sides = trips.select(F.inline(F.array(
         F.struct(pickup_bin.alias("Time_Bin"), F.col("PULocationID").alias("Zone"),
                  F.lit(1).alias("d"), F.lit(0).alias("s")),
