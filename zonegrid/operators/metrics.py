@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .quantiles import exact_quantiles
 
 
 def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred",
@@ -32,23 +33,33 @@ def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred",
 
 
 def residual_calibration(df: DataFrame, y: str = "y_true", p: str = "y_pred",
-                         by: list[str] | None = None, exact: bool = True) -> DataFrame:
+                         by: list[str] | None = None, method: str = "exact") -> DataFrame:
     """Residual p10/p50/p90 and absolute-residual p50/p90 (linear interpolation).
 
-    ``exact=True`` uses ``percentile`` (value -> count map per group, exact);
-    ``exact=False`` switches to ``percentile_approx`` (bounded-memory sketch)
-    for groups far beyond ~1e8 residuals.
+    ``method="exact"`` (default) uses the bracketed exact quantiles of
+    :mod:`zonegrid.operators.quantiles` (no whole group in one task);
+    ``"percentile"`` is Spark's exact aggregate (value map per group, fine for
+    small groups); ``"approx"`` is ``percentile_approx`` (bounded-memory sketch).
     """
+    by = list(by or [])
     r = F.col(f"`{y}`").cast("double") - F.col(f"`{p}`").cast("double")
-    if exact:
+    if method == "exact":
+        # residuals and absolute residuals as two tagged groups of one quantile pass
+        sides = F.array(F.struct(F.lit(0).alias("w"), r.alias("v")), F.struct(F.lit(1).alias("w"), F.abs(r).alias("v")))
+        long = df.select(*by, F.inline(sides))
+        q = exact_quantiles(long, F.col("v"), [0.1, 0.5, 0.9], [*by, "w"])
+        pick = {"p10": (0, 0), "p50": (0, 1), "p90": (0, 2), "abs_p50": (1, 1), "abs_p90": (1, 2)}
+        return q.groupBy(*by).agg(*[F.max(F.when(F.col("w") == w, F.col(f"q{i}"))).alias(n)
+                                    for n, (w, i) in pick.items()])
+    if method == "percentile":
         q = F.percentile(r, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
         qa = F.percentile(F.abs(r), F.array(F.lit(0.5), F.lit(0.9)))
     else:
         q = F.percentile_approx(r, [0.1, 0.5, 0.9], 100000)
         qa = F.percentile_approx(F.abs(r), [0.5, 0.9], 100000)
-    agg = df.groupBy(*(by or [])).agg(q.alias("_q"), qa.alias("_qa"))
+    agg = df.groupBy(*by).agg(q.alias("_q"), qa.alias("_qa"))
     return agg.select(
-        *(by or []),
+        *by,
         F.col("_q")[0].cast("double").alias("p10"), F.col("_q")[1].cast("double").alias("p50"),
         F.col("_q")[2].cast("double").alias("p90"),
         F.col("_qa")[0].cast("double").alias("abs_p50"), F.col("_qa")[1].cast("double").alias("abs_p90"),
