@@ -99,3 +99,20 @@ def test_folds_follow_expanding_window_rule(spark, n):
     tail = folds.tail_sample(df, 100).collect()
     assert len(tail) == 100 and min(r.pos for r in tail) == n - 100
     assert F is not None
+
+
+@pytest.mark.parametrize("accuracy,slack", [(10000, 8), (10, 1)])
+def test_exact_quantiles_match_numpy(spark, accuracy, slack):
+    from zonegrid.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.exponential(1.0, 700), np.full(300, 2.5)])  # skewed, with a tie block
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(probs))]
+           for r in exact_quantiles(df, F.col("v"), probs, ["g"], accuracy, slack).collect()}
+    for g in range(3):
+        expect = np.quantile(np.array([v for k, v in rows if k == g]), probs)
+        assert np.allclose(got[g], expect, rtol=0, atol=1e-12), (g, got[g], expect)
+    whole = exact_quantiles(df, F.col("v"), probs, None, accuracy, slack).first()
+    assert np.allclose([whole[f"q{i}"] for i in range(len(probs))], np.quantile(vals, probs), atol=1e-12)
