@@ -6,6 +6,10 @@ driver's sequence of model queries fits the booster once.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
 from ..functions import surge
@@ -25,18 +29,46 @@ RUN_CV = True
 _TRAINED: dict = {}
 
 
+def data_fingerprint(sf_dir: str) -> str:
+    """Names, sizes and mtimes of the input files + the parameters (registry key)."""
+    h = hashlib.sha256(repr(P).encode())
+    for name in sorted(os.listdir(sf_dir)):
+        st = os.stat(os.path.join(sf_dir, name))
+        h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
+    return h.hexdigest()[:16]
+
+
 class Trained:
-    """Artifacts of one run of the training job on the driver tables."""
+    """The latest registered model for these inputs; trained when there is none
+    (a serving process loads the registered model instead of retraining)."""
 
     def __init__(self, spark, sf_dir):
-        self.base = shared_path(spark, f"registry-{spark.sparkContext.applicationId}")
-        out = training.train_and_save(spark, split_rows(spark, sf_dir), weather_15(spark, sf_dir), P, self.base,
-                                      run_cv=RUN_CV)
-        self.model, self.features, self.path = out["model"], out["features"], out["path"]
-        self.data, self.test_predictions = out["data"], out["test_predictions"]
-        self.calibration, self.metrics, self.n_trees = out["calibration"], out["metrics"], out["n_trees"]
+        self.base = shared_path(spark, f"registry-{data_fingerprint(sf_dir)}")
+        if not self._load(spark, sf_dir):
+            out = training.train_and_save(spark, split_rows(spark, sf_dir), weather_15(spark, sf_dir), P,
+                                          self.base, run_cv=RUN_CV)
+            self.model, self.features, self.path = out["model"], out["features"], out["path"]
+            self.data, self.test_predictions = out["data"], out["test_predictions"]
+            self.calibration, self.metrics, self.n_trees = out["calibration"], out["metrics"], out["n_trees"]
         self.forest = T.load_forest(spark, self.path, len(self.features))
 
+    def _load(self, spark, sf_dir) -> bool:
+        try:
+            rec = registry.latest(registry.registry(spark, self.base)).first()
+            model = GBTRegressionModel.load(rec["artifact"])
+        except Exception:  # no registry yet, or an unreadable artifact: train
+            return False
+        self.model, self.features, self.path = model, list(rec["features"]), rec["artifact"]
+        self.calibration, self.metrics, self.n_trees = dict(rec["calibration"]), dict(rec["metrics"]), rec["n_trees"]
+        data, feats = training.prepare(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
+        if feats != self.features:
+            return False
+        self.data = data
+        te = data.where(F.col("split") == "test")
+        self.test_predictions = model.transform(te).select(
+            "Zone", "Time_Bin", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+        return True
+
 
 def trained(spark, sf_dir) -> Trained:
     key = (spark.sparkContext.applicationId, sf_dir)
