@@ -40,18 +40,22 @@ def holiday_flag(ts: Column, holidays) -> Column:
     return F.to_date(ts).isin(*dates).cast("int")
 
 
-def add_calendar_and_rush_features(df: DataFrame, time_col: str = "Time_Bin",
-                                   holidays=fixed.DEFAULT_HOLIDAYS) -> DataFrame:
+def calendar_and_rush_columns(time_col: str = "Time_Bin", holidays=fixed.DEFAULT_HOLIDAYS) -> dict[str, Column]:
     ts = F.col(time_col)
     m = F.month(ts)
     s, c = month_angle_cols(m)
-    return df.withColumns({
+    return {
         "month": m,
         "month_sin": s,
         "month_cos": c,
         "is_rush_hour": rush_hour_flag(F.hour(ts)),
         "is_holiday": holiday_flag(ts, holidays),
-    })
+    }
+
+
+def add_calendar_and_rush_features(df: DataFrame, time_col: str = "Time_Bin",
+                                   holidays=fixed.DEFAULT_HOLIDAYS) -> DataFrame:
+    return df.withColumns(calendar_and_rush_columns(time_col, holidays))
 
 
 def add_cyclical_features(df: DataFrame, time_col: str = "Time_Bin") -> DataFrame:

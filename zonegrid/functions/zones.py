@@ -20,6 +20,10 @@ def manhattan_core_flag(zone: Column) -> Column:
     return cond.cast("int")
 
 
-def add_zone_hint_features(df: DataFrame, zone_col: str = "Zone") -> DataFrame:
+def zone_hint_columns(zone_col: str = "Zone") -> dict[str, Column]:
     z = F.col(zone_col)
-    return df.withColumns({"is_airport_zone": airport_flag(z), "is_manhattan_core": manhattan_core_flag(z)})
+    return {"is_airport_zone": airport_flag(z), "is_manhattan_core": manhattan_core_flag(z)}
+
+
+def add_zone_hint_features(df: DataFrame, zone_col: str = "Zone") -> DataFrame:
+    return df.withColumns(zone_hint_columns(zone_col))

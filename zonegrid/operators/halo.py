@@ -37,17 +37,14 @@ def with_halo(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
     """``df`` (which holds ``chunk_col``) plus halo copies; adds ``_own``."""
     cols = df.columns
     part = [*keys, chunk_col]
-    w_chunk = Window.partitionBy(*part).orderBy(order_col)
-    marked = df.withColumns({
-        "_rn": F.row_number().over(w_chunk),
-        "_cnt": F.count(F.lit(1)).over(Window.partitionBy(*part)),
-    })
+    marked = df.select(*cols,
+                       F.row_number().over(Window.partitionBy(*part).orderBy(order_col)).alias("_rn"),
+                       F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cnt"))
     edge_cond = F.lit(False)
     if after > 0:
         edge_cond = edge_cond | (F.col("_rn") <= after)
     if before > 0:
         edge_cond = edge_cond | (F.col("_rn") > F.col("_cnt") - before)
-    edges = marked.where(edge_cond).select(*cols)
 
     w_key = Window.partitionBy(*keys).orderBy(order_col)
     chunk = F.col(chunk_col)
@@ -55,13 +52,12 @@ def with_halo(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
                for k in range(1, before + 1)]
     targets += [F.when(F.lag(chunk, k).over(w_key) != chunk, F.lag(chunk, k).over(w_key))
                 for k in range(1, after + 1)]
-    halo = (
-        edges.withColumn("_targets", F.array_distinct(F.array_compact(F.array(*targets))))
-        .select(*[c for c in cols if c != chunk_col], F.explode("_targets").alias(chunk_col))
-        .select(*cols)
-        .withColumn("_own", F.lit(False))
-    )
-    own = marked.select(*cols).withColumn("_own", F.lit(True))
+    # window functions cannot sit inside a generator: name the targets first
+    edges = marked.where(edge_cond).select(
+        *cols, F.array_distinct(F.array_compact(F.array(*targets))).alias("_targets"))
+    halo = edges.select(*[c for c in cols if c != chunk_col], F.explode("_targets").alias(chunk_col),
+                        F.lit(False).alias("_own"))
+    own = marked.select(*cols, F.lit(True).alias("_own"))
     return own.unionByName(halo)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.calendar import add_calendar_and_rush_features
-from ..functions.zones import add_zone_hint_features
+from ..functions.calendar import calendar_and_rush_columns
+from ..functions.zones import zone_hint_columns
 from . import halo
 
 TARGET = fixed.TARGET
@@ -48,16 +48,12 @@ def series_features(cells: DataFrame, chunk_days: int | None = 7, which=None) ->
         "DER_rolling_std_1h": F.coalesce(F.stddev_samp(der).over(roll), F.lit(0.0)),
     }
     names = SERIES_COLUMNS if which is None else [c for c in SERIES_COLUMNS if c in which]
-    return (
-        data.select(*cells.columns, *[exprs[n].alias(n) for n in names], "_own")
-        .where(F.col("_own"))
-        .drop("_own")
-    )
+    out = data.select(*cells.columns, *[exprs[n].alias(n) for n in names], "_own").where(F.col("_own"))
+    return out.select(*cells.columns, *names)
 
 
 def feature_table(cells: DataFrame, holidays=fixed.DEFAULT_HOLIDAYS, chunk_days: int | None = 7) -> DataFrame:
     """The whole per-row feature composition of the original pipeline."""
     out = series_features(cells, chunk_days)
-    out = add_calendar_and_rush_features(out, "Time_Bin", holidays)
-    out = add_zone_hint_features(out, "Zone")
-    return out.select(*FEATURE_TABLE_COLUMNS)
+    extra = {**calendar_and_rush_columns("Time_Bin", holidays), **zone_hint_columns("Zone")}
+    return out.select(*[extra[c].alias(c) if c in extra else F.col(f"`{c}`") for c in FEATURE_TABLE_COLUMNS])

@@ -20,17 +20,18 @@ def standardize(df: DataFrame, source_type: str) -> DataFrame:
     never read. Ids are widened to long so both sources union cleanly.
     """
     renames = SOURCE_RENAMES[source_type]
-    if renames:
-        df = df.withColumnsRenamed({k: v for k, v in renames.items() if k in df.columns})
-    missing = [c for c in fixed.TRIP_COLUMNS if c not in df.columns]
+    source_of = {v: k for k, v in renames.items() if k in df.columns}  # standard -> source name
+    present = set(df.columns)
+    missing = [c for c in fixed.TRIP_COLUMNS if source_of.get(c, c) not in present]
     if missing:
         raise ValueError(f"{source_type} source lacks columns {missing}")
     pickup, dropoff, pu, do = fixed.TRIP_COLUMNS
+    src = lambda c: F.col(source_of.get(c, c))
     return df.select(
-        F.col(pickup).cast("timestamp_ntz").alias(pickup),
-        F.col(dropoff).cast("timestamp_ntz").alias(dropoff),
-        F.col(pu).cast("long").alias(pu),
-        F.col(do).cast("long").alias(do),
+        src(pickup).cast("timestamp_ntz").alias(pickup),
+        src(dropoff).cast("timestamp_ntz").alias(dropoff),
+        src(pu).cast("long").alias(pu),
+        src(do).cast("long").alias(do),
     )
 
 
