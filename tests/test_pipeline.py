@@ -102,3 +102,12 @@ def test_halo_chunks_equal_whole_zone_windows(spark):
     whole = series.series_features(c, None).orderBy(*key).collect()
     for days in (1, 3):
         assert series.series_features(c, days).orderBy(*key).collect() == whole
+
+
+def test_feature_names_by_exclusion(spark):
+    from zonegrid.operators.split import feature_names_by_exclusion
+    from zonegrid.suite.core import feature_table
+    names = feature_names_by_exclusion(feature_table(spark, "/root/testdata/sf0.001"))
+    assert names == ["Zone", "SupplyElasticity", "Lag_DER_t-15", "Lag_DER_t-30", "DemandVelocity_t",
+                     "Lag_DemandVelocity_t-15", "DER_rolling_mean_1h", "DER_rolling_std_1h", "month", "month_sin",
+                     "month_cos", "is_rush_hour", "is_holiday", "is_airport_zone", "is_manhattan_core"]

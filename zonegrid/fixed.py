@@ -108,7 +108,7 @@ INT_UI_FIELDS = ("zoneId", "hour", "dayOfWeek")
 
 # --- fixed values: model manifest ---------------------------------------------
 TARGET = "Target_DER_t+15"
-EXCLUDE_FROM_PIPELINE_FEATURES = (
+EXCLUDE_FROM_FEATURES = (
     "Time_Bin", "ActiveRequests", "AvailableDriversProxy", "DER_t", "Target_DER_t+15",
 )
 EXCLUDE_FROM_X = (

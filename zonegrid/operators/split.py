@@ -59,9 +59,9 @@ def split_counts(features: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def pipeline_feature_names(df: DataFrame) -> list[str]:
+def feature_names_by_exclusion(df: DataFrame) -> list[str]:
     """Feature list by exclusion, from the schema (no job)."""
-    return [c for c in df.columns if c not in fixed.EXCLUDE_FROM_PIPELINE_FEATURES and c != "split"]
+    return [c for c in df.columns if c not in fixed.EXCLUDE_FROM_FEATURES and c != "split"]
 
 
 def quality_audit(df: DataFrame, by: str | None = "split") -> DataFrame:
