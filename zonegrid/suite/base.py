@@ -23,6 +23,26 @@ ORACLE: dict[str, str] = {}
 PLACES = 6
 
 
+_GRAPH: dict = {}
+
+
+def per_session(fn):
+    """Build a shared intermediate DataFrame once per session and data folder.
+
+    DataFrames are lazy and immutable: reusing the object only skips rebuilding
+    and re-analysing the same plan graph on the driver; every action still
+    executes the whole plan over the whole tables.
+    """
+    def wrapper(spark, sf_dir, *args):
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf_dir, args)
+        if key not in _GRAPH:
+            _GRAPH[key] = fn(spark, sf_dir, *args)
+        return _GRAPH[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -54,6 +74,7 @@ def cte(*parts: str) -> str:
 P: Params = TESTDATA
 
 
+@per_session
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     yellow, fhvhv = td.trip_sources(td.table(spark, sf_dir, "events"))
     return union_sources([standardize(yellow, "yellow"), standardize(fhvhv, "fhvhv")])

@@ -8,10 +8,11 @@ from ..functions.calendar import add_calendar_and_rush_features
 from ..functions.zones import add_zone_hint_features
 from ..operators import bins, series
 from .base import (BASE, FEATURE_COLS, FEATURE_DOUBLES, P, SQL_CALENDAR_COLS, SQL_FEATURES,
-                   SQL_SERIES, SQL_ZONE_COLS, cte, final_sql, register, rounded, trips)
+                   SQL_SERIES, SQL_ZONE_COLS, cte, final_sql, per_session, register, rounded, trips)
 from ..sources import testdata as td
 
 
+@per_session
 def cells(spark, sf_dir):
     return bins.imbalance(trips(spark, sf_dir), P.bin_minutes, P.supply_time)
 
@@ -112,6 +113,7 @@ def q_zone_flags(spark, sf_dir):
     return add_zone_hint_features(c, "Zone").select(*_ZF)
 
 
+@per_session
 def feature_table(spark, sf_dir):
     return series.feature_table(cells(spark, sf_dir), P.holidays, P.series_chunk_days)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import folds, metrics
-from .base import cte, final_sql, register, rounded, P
+from .base import P, cte, final_sql, per_session, register, rounded
 from .prep import PREP, SQL_JOINED, SQL_MATRIX, SQL_WEATHER_15, training_rows
 from ..sources import testdata as td
 
@@ -19,6 +19,7 @@ MAT = [*PREP, td.SQL_WEATHER_HOURLY, SQL_WEATHER_15, SQL_JOINED, SQL_MATRIX]
 SQL_PRED = 'pred AS (SELECT split, Zone, Time_Bin, "Target_DER_t+15" AS y_true, DER_t AS y_pred FROM mat)'
 
 
+@per_session
 def persistence(spark, sf_dir):
     rows, _ = training_rows(spark, sf_dir)
     return rows.select("split", "Zone", "Time_Bin", F.col(f"`{fixed.TARGET}`").alias("y_true"),

@@ -10,7 +10,7 @@ from ..operators import matrix, split, weather
 from ..sources import sinks
 from ..sources import testdata as td
 from .base import (BASE, FEATURE_COLS, FEATURE_DOUBLES, P, SQL_FEATURES, SQL_SERIES, cte, final_sql,
-                   register, rounded)
+                   per_session, register, rounded)
 from .core import cells, feature_table
 
 SQL_SPLIT = f"""
@@ -60,15 +60,18 @@ SQL_MATRIX = "mat AS (SELECT * FROM cyc WHERE " + " AND ".join(
 PREP = [*BASE, SQL_SERIES, SQL_FEATURES, SQL_SPLIT]
 
 
+@per_session
 def split_rows(spark, sf_dir):
     return split.split_filtered(feature_table(spark, sf_dir), P)
 
 
+@per_session
 def weather_15(spark, sf_dir, align="exact"):
     hourly = td.weather_hourly(td.table(spark, sf_dir, "events"))
     return weather.upsample(hourly, align, P.series_chunk_days)
 
 
+@per_session
 def training_rows(spark, sf_dir):
     """(filtered feature rows + weather + hour/day features, null-free, 21 features)."""
     return matrix.training_matrix(split_rows(spark, sf_dir), weather_15(spark, sf_dir))

@@ -12,7 +12,7 @@ from ..sources import requests as reqsrc
 from ..sources import testdata as td
 from ..plans.scoring import landed_requests, read_landed
 from ..sources.sinks import run_path
-from .base import P, cte, final_sql, register, rounded
+from .base import P, cte, final_sql, per_session, register, rounded
 from .core import feature_table
 from .evaluate import MAT, SQL_PRED, persistence
 from .prep import PREP, SQL_JOINED, SQL_WEATHER_15, split_rows, weather_15
@@ -20,6 +20,7 @@ from .prep import PREP, SQL_JOINED, SQL_WEATHER_15, split_rows, weather_15
 CYC = [*PREP, td.SQL_WEATHER_HOURLY, SQL_WEATHER_15, SQL_JOINED]
 
 
+@per_session
 def cyc_rows(spark, sf_dir):
     return add_cyclical_features(weather.join_weather(split_rows(spark, sf_dir), weather_15(spark, sf_dir)),
                                  "Time_Bin")
