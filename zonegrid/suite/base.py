@@ -34,7 +34,7 @@ def per_session(fn):
     executes the whole plan over the whole tables.
     """
     def wrapper(spark, sf_dir, *args):
-        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf_dir, args)
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, id(spark), sf_dir, args)
         if key not in _GRAPH:
             _GRAPH[key] = fn(spark, sf_dir, *args)
         return _GRAPH[key]
