@@ -124,3 +124,18 @@ def test_train_tail_early_stopping(spark):
     res = train.fit_with_stopping(df, None, ModelParams(n_estimators=6, learning_rate=0.5, max_depth=2,
                                                         early_stopping_rounds=2, early_stopping_on="train_tail"))
     assert 1 <= res.n_trees <= 6 and len(res.errors) == 6 and res.model.getNumTrees == res.n_trees
+
+
+def test_distributed_dispersion_and_shap(spark, fitted):
+    from zonegrid.ml import explain
+    _, forest, X, spark_pred, _ = fitted
+    rows = [(f"r{i}", *[float(v) for v in x]) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "request_id string, " + ", ".join(f"`{c}` double" for c in FEATS))
+    disp = {r.request_id: r for r in explain.tree_dispersion(df, forest, FEATS).collect()}
+    shap = {r.request_id: r for r in explain.shap_topk(df, forest, FEATS, k=4).collect()}
+    for i, p in enumerate(spark_pred):
+        d, s = disp[f"r{i}"], shap[f"r{i}"]
+        assert abs(d.forest_prediction - p) < 1e-9 and d.n_trees == 8 and 0.15 <= d.confidence <= 0.98
+        assert abs(s.expected_value + s.shap_sum - p) < 1e-9
+        vals = [abs(t.shap_value) for t in s.top_features]
+        assert len(vals) == 4 and vals == sorted(vals, reverse=True)

@@ -32,9 +32,21 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return pdf[features].to_numpy(dtype=float)
 
 
-def _shared(df: DataFrame, value):
-    """Broadcast variable: shipped once per executor, not pickled into each task."""
-    return df.sparkSession.sparkContext.broadcast(value)
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def forest_bytes(forest: T.Forest) -> int:
+    """Size of the tree arrays: bounded by trees x 2^(depth+1) nodes x 7 arrays."""
+    return sum(sum(a.nbytes for a in (t.feature, t.threshold, t.left, t.right, t.value, t.cover, t.gain))
+               for t in forest.trees) + forest.weights.nbytes
+
+
+def _shared(df: DataFrame, forest: T.Forest, value=None):
+    """Broadcast variable (shipped once per executor), after checking its size."""
+    size = forest_bytes(forest)
+    if size > MAX_BROADCAST_BYTES:
+        raise ValueError(f"model arrays of {size} bytes exceed the broadcast limit {MAX_BROADCAST_BYTES}")
+    return df.sparkSession.sparkContext.broadcast(forest if value is None else value)
 
 
 def tree_dispersion(df: DataFrame, forest: T.Forest, features: list[str], id_col: str = "request_id",
@@ -70,7 +82,7 @@ def shap_topk(df: DataFrame, forest: T.Forest, features: list[str], k: int = 12,
     """Expected value + the ``k`` features with the largest |SHAP| per row."""
     if not 4 <= k <= 64:
         raise ValueError("max_features must be within 4..64")
-    shared = _shared(df, (forest, [T.leaf_paths(t) for t in forest.trees]))
+    shared = _shared(df, forest, (forest, [T.leaf_paths(t) for t in forest.trees]))
 
     def run(batches):
         fo, paths = shared.value
