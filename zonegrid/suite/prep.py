@@ -125,9 +125,30 @@ def q_weather_upsample(spark, sf_dir):
     return rounded(weather_15(spark, sf_dir))
 
 
-@register("weather_upsample_stretched")
+SQL_WEATHER_STRETCHED = """
+ws AS (SELECT station, ts AS ts0, temp, precip,
+              row_number() OVER (PARTITION BY station ORDER BY ts) - 1 AS i,
+              count(*) OVER (PARTITION BY station) AS n,
+              min(ts) OVER (PARTITION BY station) AS t0, max(ts) OVER (PARTITION BY station) AS t1
+       FROM weather_hourly WHERE ts IS NOT NULL),
+wst AS (SELECT station, temp, precip,
+               CASE WHEN n > 1 THEN t0 + to_microseconds((i * (epoch_us(t1 + INTERVAL 1 HOUR) - epoch_us(t0))) // (n - 1))
+                    ELSE ts0 END AS ts
+        FROM ws),
+wso AS (SELECT station, ts, temp, precip, lead(ts) OVER (PARTITION BY station ORDER BY ts) AS nxt FROM wst),
+wsr AS (SELECT station, temp, precip,
+               CASE WHEN time_bucket(INTERVAL 15 MINUTE, ts) = ts THEN ts
+                    ELSE time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE END AS s,
+               time_bucket(INTERVAL 15 MINUTE, coalesce(nxt - INTERVAL 1 MICROSECOND, ts)) AS e
+        FROM wso),
+result AS (SELECT station, unnest(generate_series(s, e, INTERVAL 15 MINUTE)) AS Time_Bin, temp, precip
+           FROM wsr WHERE s <= e)"""
+
+
+@register("weather_upsample_stretched", final_sql(cte(td.SQL_WEATHER_HOURLY, SQL_WEATHER_STRETCHED),
+                                                  ["station", "Time_Bin", "temp", "precip"], {"temp", "precip"}))
 def q_weather_upsample_stretched(spark, sf_dir):
-    """Parity mode of the original placement (no SQL oracle; tested against pandas)."""
+    """Parity mode of the original placement: n values spread evenly over [first, last + 1h]."""
     return rounded(weather_15(spark, sf_dir, "stretched"))
 
 
