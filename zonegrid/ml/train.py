@@ -29,7 +29,11 @@ from ..operators.folds import fold_bounds, time_series_folds
 from ..params import ModelParams
 
 
-def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int, max_bins: int = 32) -> GBTRegressor:
+DEFAULT_MAX_BINS = ModelParams().max_bins
+
+
+def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int,
+              max_bins: int = DEFAULT_MAX_BINS) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction",
                         maxIter=int(n_trees), stepSize=float(learning_rate), maxDepth=int(max_depth),
                         seed=int(seed), lossType="squared", maxBins=int(max_bins))
@@ -55,7 +59,7 @@ class FitResult:
 
 def fit(train: DataFrame, params: ModelParams, stop_on: DataFrame | None = None) -> FitResult:
     """Fit with optional patience-based early stopping on ``stop_on``."""
-    est = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed)
+    est = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed, params.max_bins)
     model = est.fit(train)
     errors: list = []
     keep = params.n_estimators
@@ -63,7 +67,7 @@ def fit(train: DataFrame, params: ModelParams, stop_on: DataFrame | None = None)
         errors = list(model.evaluateEachIteration(stop_on, "squared"))
         keep = best_with_patience(errors, params.early_stopping_rounds)
         if keep < params.n_estimators:
-            model = regressor(keep, params.learning_rate, params.max_depth, params.seed).fit(train)
+            model = regressor(keep, params.learning_rate, params.max_depth, params.seed, params.max_bins).fit(train)
     return FitResult(model, keep, errors)
 
 
@@ -84,7 +88,7 @@ def fit_with_stopping(train: DataFrame, test: DataFrame, params: ModelParams) ->
     head, tail = train_tail_split(train)
     found = fit(head, params, tail)
     # refit on all train rows with the number of trees found on the tail
-    final = regressor(found.n_trees, params.learning_rate, params.max_depth, params.seed).fit(
+    final = regressor(found.n_trees, params.learning_rate, params.max_depth, params.seed, params.max_bins).fit(
         train.select("features", "label"))
     return FitResult(final, found.n_trees, found.errors)
 
@@ -103,7 +107,8 @@ def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None =
 
     def run(pair):
         tr, va = pair
-        m = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed).fit(tr)
+        m = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed,
+                      params.max_bins).fit(tr)
         return float(m.evaluateEachIteration(va, "absolute")[-1])
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:

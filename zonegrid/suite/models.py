@@ -30,8 +30,9 @@ _TRAINED: dict = {}
 
 
 def data_fingerprint(sf_dir: str) -> str:
-    """Names, sizes and mtimes of the input files + the parameters (registry key)."""
-    h = hashlib.sha256(repr(P).encode())
+    """Names, sizes and mtimes of the input files + parameters + code version (registry key)."""
+    from .. import __version__
+    h = hashlib.sha256(f"{__version__}:{P!r}".encode())
     for name in sorted(os.listdir(sf_dir)):
         st = os.stat(os.path.join(sf_dir, name))
         h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
