@@ -134,3 +134,16 @@ def test_factor_tags(spark):
     out = df.select(surge.factor_tags(F.col("precip"), F.col("hour"), F.col("v"), F.col("e")).alias("t")).collect()
     assert out[0].t == ["Rain impact", "Morning rush", "High velocity", "Low supply"]
     assert out[1].t == []
+
+
+def test_holiday_and_month_coercion(spark):
+    base = SCENARIOS["default"]
+    cases = {"hol_true": {**base, "isHoliday": True}, "hol_one": {**base, "isHoliday": 1},
+             "hol_yes": {**base, "isHoliday": "yes"}, "hol_off": {**base, "isHoliday": "off"},
+             "hol_bad": {**base, "isHoliday": "maybe"}, "month_text": {**base, "month": "7"},
+             "month_float": {**base, "month": 7.0}, "month_frac": {**base, "month": 7.5}}
+    v = _validate(spark, cases)
+    assert [v[k].is_holiday for k in ("hol_true", "hol_one", "hol_yes", "hol_off")] == [True, True, True, False]
+    assert not v["hol_bad"].valid and v["hol_bad"].reasons == ["isHoliday: must be a boolean"]
+    assert v["month_text"].month == 7 and v["month_float"].month == 7
+    assert not v["month_frac"].valid and v["month_frac"].reasons == ["month: must be an integer"]
