@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import linededup, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs.select("doc_id", "text"), model, out="toxicity")
     return out.select("doc_id", "toxicity.severity", "toxicity.p_toxic", "toxicity.grade",
                       (F.col("toxicity.p_toxic") >= model.reject_at).alias("rejected"))
+
+
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = linededup.duplicates(table(spark, sf_dir, "documents"))
+    return gone.select(F.col("doc").alias("doc_id"), "line_no", F.col("kept_doc").alias("kept_doc_id"),
+                       "kept_line_no", "edits")
+
+
+# Word-by-word restatement: every pair of texts that share a text with one word
+# left out (or are such a text) is compared by its words.
+ORACLE["op6_line_dedup"] = """
+WITH raw AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, trim(parts[i], chr(32) || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) t(i)
+), occ AS (SELECT * FROM raw WHERE line <> ''),
+texts AS (
+  SELECT line, min((doc_id, line_no)) AS pos, string_split(line, ' ') AS w FROM occ GROUP BY line
+), long AS (SELECT * FROM texts WHERE len(w) >= 10),
+cut AS (
+  SELECT line, pos, w, g, array_to_string(list_concat(w[1:g - 1], w[g + 1:]), ' ') AS v
+  FROM long, unnest(range(1, len(w) + 1)) t(g)
+), pairs AS (
+  SELECT a.line, b.pos AS near FROM cut a JOIN cut b ON a.v = b.v AND a.g = b.g AND len(a.w) = len(b.w)
+  WHERE b.pos < a.pos AND a.line <> b.line
+  UNION ALL
+  SELECT a.line, b.pos FROM cut a JOIN long b ON a.v = b.line WHERE b.pos < a.pos
+  UNION ALL
+  SELECT a.line, b.pos FROM long a JOIN cut b ON b.v = a.line WHERE b.pos < a.pos
+), kept AS (
+  SELECT t.line, least(t.pos, coalesce(n.near, t.pos)) AS kept,
+         CASE WHEN n.near < t.pos THEN 1 ELSE 0 END AS edits
+  FROM texts t LEFT JOIN (SELECT line, min(near) AS near FROM pairs GROUP BY line) n USING (line)
+)
+SELECT o.doc_id, o.line_no, kept.kept[1] AS kept_doc_id, kept.kept[2] AS kept_line_no, kept.edits
+FROM occ o JOIN kept USING (line) WHERE (o.doc_id, o.line_no) > kept.kept
+"""
