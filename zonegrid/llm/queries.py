@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, toxicity
+from . import linededup, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,10 @@ cut AS (
 SELECT o.doc_id, o.line_no, kept.kept[1] AS kept_doc_id, kept.kept[2] AS kept_line_no, kept.edits
 FROM occ o JOIN kept USING (line) WHERE (o.doc_id, o.line_no) > kept.kept
 """
+
+
+@register
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return found.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
