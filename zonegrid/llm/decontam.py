@@ -102,9 +102,9 @@ def item_seeds(items: DataFrame, item: str, text: str) -> DataFrame:
                              for i, s in enumerate(seeds(h, mask).view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["item", "words", "hash", "at"]).astype({"at": "int32"})
 
-    kind = items.schema[item].dataType.simpleString()
-    return (items.select(col(item).alias("item"), col(text).alias("body"))
-            .mapInPandas(make, f"item {kind}, words array<long>, hash long, at int"))
+    # As text, ids stay whole on their way through pandas, nulls included.
+    return (items.select(col(item).cast("string").alias("item"), col(text).alias("body"))
+            .mapInPandas(make, "item string, words array<long>, hash long, at int"))
 
 
 def bitmap(item_hashes: DataFrame) -> tuple[int, np.ndarray]:
@@ -168,9 +168,8 @@ def clusters(docs: DataFrame, doc: str, text: str, bits: int, packed: np.ndarray
             yield pd.DataFrame(rows, columns=["doc", "cluster", "start", "words", "hash", "at"]).astype(
                 {"cluster": "int32", "start": "int32"})
 
-    kind = docs.schema[doc].dataType.simpleString()
-    return (docs.select(col(doc).alias("doc"), col(text).alias("body")).mapInPandas(
-        make, f"doc {kind}, cluster int, start int, words array<long>, hash array<long>, at array<int>"))
+    return (docs.select(col(doc).cast("string").alias("doc"), col(text).alias("body")).mapInPandas(
+        make, "doc string, cluster int, start int, words array<long>, hash array<long>, at array<int>"))
 
 
 def agreement(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -219,11 +218,12 @@ def overlaps(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
             yield pd.DataFrame(rows, columns=["doc", "item", "agree", "words", "start"]).astype(
                 {"agree": "int32", "words": "int32", "start": "int32"})
 
-    kinds = dict(joined.dtypes)
+    kinds = docs.select(col(doc)).dtypes[0][1], items.select(col(item)).dtypes[0][1]
     best = F.max(F.struct("agree", "words", (-F.col("start")).alias("back"))).alias("best")
-    return (joined.mapInPandas(verify, f"doc {kinds['doc']}, item {kinds['item']}, agree int, words int, start int")
+    return (joined.mapInPandas(verify, "doc string, item string, agree int, words int, start int")
             .groupBy("doc", "item").agg(best)
-            .select("doc", "item", "best.agree", "best.words", (-F.col("best.back")).alias("start")))
+            .select(F.col("doc").cast(kinds[0]).alias("doc"), F.col("item").cast(kinds[1]).alias("item"),
+                    "best.agree", "best.words", (-F.col("best.back")).alias("start")))
 
 
 def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id",

@@ -6,10 +6,11 @@ statement where SQL can express the operator.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, simhash, toxicity
+from . import bpe, decontam, linededup, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -78,3 +79,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "agree", "words", "start")
+
+
+@register
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed(
+        "doc", "doc_id")
