@@ -238,11 +238,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     return encoded.withColumn(out, joined(col(ids)))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """(doc, n_tokens, ids_sha256, decoded_sha256): a check of the round trip per row."""
-    both = decode(encode(docs, ranks, pattern, doc, text), ranks)
-    return both.select("doc", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
-                       .alias("ids_sha256"),
-                       F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
+def summary(coded: DataFrame) -> DataFrame:
+    """(doc, n_tokens, ids, ids_sha256, decoded_sha256) of encoded and decoded rows."""
+    return coded.select("doc", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+                        .alias("ids_sha256"),
+                        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))

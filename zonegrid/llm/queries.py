@@ -84,5 +84,5 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed(
-        "doc", "doc_id")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.summary(bpe.decode(coded, ranks)).drop("ids").withColumnRenamed("doc", "doc_id")
