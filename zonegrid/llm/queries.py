@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, simhash, toxicity
+from . import bpe, decontam, langid, linededup, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -86,3 +86,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return bpe.summary(bpe.decode(coded, ranks)).drop("ids").withColumnRenamed("doc", "doc_id")
+
+
+@register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out).select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        "language.score", "language.cross_entropy", "language.rejected")
