@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, simhash, toxicity
+from . import ann, bpe, decontam, langid, linededup, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
                         "language.score", "language.cross_entropy", "language.rejected")
+
+
+@register
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
