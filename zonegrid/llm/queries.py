@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, linededup, simhash, toxicity
+from . import ann, bpe, decontam, langid, linededup, pll, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -101,3 +101,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@register
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, _ = pll.fit(docs)
+    return pll.score(docs, model).select("doc_id", "lm.log_prob", "lm.n_tokens", "lm.mean_log_prob")
