@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, linededup, pll, simhash, toxicity
+from . import ann, bpe, decontam, langid, license, linededup, pll, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -108,3 +108,37 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, _ = pll.fit(docs)
     return pll.score(docs, model).select("doc_id", "lm.log_prob", "lm.n_tokens", "lm.mean_log_prob")
+
+
+@register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.find(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "template", "containment", "word_at")
+
+
+def _license_oracle() -> str:
+    """Every window of every scale against every template, by its shingles' words."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(license.TEMPLATES.items()))
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) v(template, body)),
+tw AS (SELECT template, string_split(trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t),
+ts AS (
+  SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s FROM tw, unnest(range(1, len(w) - 3)) u(i)
+), tn AS (SELECT template, count(*) AS own, CAST(pow(2, ceil(log2(count(*)))) AS INTEGER) AS scale FROM ts GROUP BY template),
+dw AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents
+), ds AS (
+  SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) u(i)
+), hit AS (SELECT ds.doc_id, ds.at, ds.s, ts.template FROM ds JOIN ts USING (s)),
+held AS (
+  SELECT h.doc_id, h.template, n.own, k * n.scale AS word_at, count(DISTINCT h.s) AS hits
+  FROM hit h JOIN tn n USING (template), unnest([h.at // n.scale - 1, h.at // n.scale]) u(k)
+  WHERE k >= 0 GROUP BY ALL
+), good AS (SELECT *, hits / own AS containment FROM held WHERE hits / own >= 0.8)
+SELECT doc_id, template, max(containment) AS containment,
+       CAST(arg_min(word_at, (-containment, word_at)) AS INTEGER) AS word_at
+FROM good GROUP BY doc_id, template
+"""
+
+
+ORACLE["op3_license_scan"] = _license_oracle()
