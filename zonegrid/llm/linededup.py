@@ -13,8 +13,8 @@ Steps
    count, so it is between a quarter and half of the line; a line just at a power
    of two takes part in the class below as well. Lines that share neither
    beginning nor end with another text can't match and emit nothing.
-3. The others emit every variant with one word deleted, and themselves, as
-   hashed keys. Equal variants join; members of a key are compared with its
+3. The others emit every variant with one word deleted, where the shared end
+   leaves room for an edit, and themselves, as hashed keys. Equal variants join; members of a key are compared with its
    earliest line only, apart by the place of the deleted word, so that no group
    is expanded into pairs.
 4. The word edit distance of each such pair is verified on the texts.
@@ -34,56 +34,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name
+from .common import col, free_name, stored
 
 MIN_WORDS = 10   # one edit in ten words: lines below match only if equal
 
 
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line_no, line, h1, h2) of every line that isn't blank."""
+    raw, blanks = F.col("raw"), [" ", "\t", "\r"]
+    at_ends = F.left(raw, F.lit(1)).isin(blanks) | F.right(raw, F.lit(1)).isin(blanks)
+    line = F.when(at_ends, F.btrim(raw, F.lit("".join(blanks)))).otherwise(raw)   # trimming is dear
     return (docs.select(col(doc).alias("doc"), F.posexplode(F.split(col(text), "\n")).alias("line_no", "raw"))
-            .select("doc", "line_no", F.btrim("raw", F.lit(" \t\r")).alias("line"))
+            .select("doc", "line_no", line.alias("line"))
             .where(F.col("line") != "")
             .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))}))
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """One row a text: h1, h2, copies, first (struct doc, line_no, line), words."""
-    line = F.col("first.line")
-    return (found.groupBy("h1", "h2")
-            .agg(F.min(F.struct("doc", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
-            .withColumn("words", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1))
-
-
-def block_keys(texts: DataFrame) -> DataFrame:
-    """(h1, h2, block): hashes of the beginning and the end of each longer line."""
-    ends = [F.expr(f"xxhash64('{side}', {c}, substring_index(first.line, ' ', {sign} (shiftleft(1, {c} - 1) - 1)))")
-            for c in ("length(bin(words)) - 1", "length(bin(words - 1)) - 1")
-            for side, sign in (("begin", ""), ("end", "-"))]
-    return (texts.where(F.col("words") >= MIN_WORDS)
-            .select("h1", "h2", F.explode(F.array_distinct(F.array(*ends))).alias("block")))
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """The texts that share a block with another text."""
-    keys = block_keys(texts)
+    """One row a text, without the text: h1, h2, copies, first (struct doc, line_no)."""
+    return found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"),
+                                         F.count("*").alias("copies"))
+
+
+def block_keys(found: DataFrame) -> DataFrame:
+    """(h1, h2, block, side, p): hashes of the first p and the last p words of each
+    longer line; side is 1 or -1."""
+    words = F.expr("size(split(line, ' '))")
+    ends = [F.expr(f"named_struct('side', {side}, 'p', p{k}, 'block', "
+                   f"xxhash64({side}, p{k}, substring_index(line, ' ', {side} * p{k})))")
+            for k in (0, 1) for side in (1, -1)]
+    return (found.withColumn("words", words)
+            .withColumns({"p0": half("words"), "p1": half("words - 1")}).where(F.col("words") >= MIN_WORDS)
+            .select("h1", "h2", F.inline(F.when(F.col("p0") == F.col("p1"), F.array(*ends[:2]))
+                                         .otherwise(F.array(*ends))))
+            .select("h1", "h2", "block", "side", "p"))
+
+
+def half(words: str) -> Column:
+    """p of a line with so many words: a power of two less one, 2p + 1 <= words."""
+    return F.expr(f"shiftleft(1, length(bin({words})) - 2) - 1")
+
+
+def candidates(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2, pos, line, after, before): the texts that share a block with another
+    text, at their first place. An edit stands at word ``after`` or later, or at
+    least ``before`` words from the end (null: that end isn't shared). Only here do
+    texts move; they are written once."""
+    keys = block_keys(found)
     shared = (keys.groupBy("block").agg(F.min("h1").alias("least"), F.max("h1").alias("most"))
               .where("least <> most").select("block"))
-    some = keys.join(shared, "block", "left_semi").select("h1", "h2").distinct()
-    return (texts.join(some, ["h1", "h2"], "left_semi")
-            .select("h1", "h2", F.struct("first.doc", "first.line_no").alias("pos"),
-                    F.col("first.line").alias("line"), "words"))
+    some = (keys.join(shared, "block", "left_semi")
+            .groupBy("h1", "h2").agg(F.min(F.when(F.col("side") > 0, F.col("p"))).alias("after"),
+                                     F.min(F.when(F.col("side") < 0, F.col("p"))).alias("before")))
+    places = (texts.join(some, ["h1", "h2"])
+              .select("first", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "after", "before"))
+    same = F.xxhash64("line").bitwiseXOR(F.col("g1")) == 0   # rows of one doc_id may differ
+    at = found["doc"].eqNullSafe(F.col("first.doc")) & (found["line_no"] == F.col("first.line_no"))
+    return stored(found.select("doc", "line_no", "line").join(places, at & same)
+                  .select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("first").alias("pos"),
+                          "line", "after", "before"), "lines")
 
 
 def variants(cand: DataFrame) -> DataFrame:
-    """(pos, gap, key): the line without its word number ``gap``; -1 is the line itself."""
-    return (cand.select("pos", "line", "words", F.explode(F.expr("sequence(-1, words - 1)")).alias("gap"))
+    """(pos, gap, key): the hash of the line without its word number ``gap``, where an
+    edit can stand; gap -1 is the line itself. A hash runs on from one array to the
+    next, so the words before and after the gap hash like the list without it."""
+    gaps = F.expr("filter(sequence(-1, size(words) - 1), g -> g = -1 OR coalesce(g >= after, false) "
+                  "OR coalesce(g <= size(words) - 1 - before, false))")
+    return (cand.select("pos", F.split("line", " ").alias("words"), "after", "before")
+            .select("pos", "words", F.explode(gaps).alias("gap"))
             .select("pos", "gap", F.expr("""
-                xxhash64(CASE WHEN gap = -1 THEN line
-                     WHEN gap = 0 THEN substring_index(line, ' ', 1 - words)
-                     WHEN gap = words - 1 THEN substring_index(line, ' ', gap)
-                     ELSE concat(substring_index(line, ' ', gap), ' ',
-                                 substring_index(line, ' ', gap + 1 - words)) END)""").alias("key")))
+                CASE WHEN gap < 0 THEN xxhash64(words)
+                     ELSE xxhash64(slice(words, 1, gap), slice(words, gap + 2, size(words))) END""").alias("key")))
 
 
 def one_word_edit(a: Column, b: Column) -> Column:
@@ -99,10 +121,10 @@ def one_word_edit(a: Column, b: Column) -> Column:
     return (F.size(long) - F.size(short) <= 1) & (at > 0) & (rest == other)
 
 
-def near_lines(texts: DataFrame) -> DataFrame:
+def near_lines(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(h1, h2, near): the earliest text one word edit away, where it is earlier."""
-    cand = candidates(texts)
-    made = variants(cand)
+    cand = candidates(found, texts)
+    made = stored(variants(cand), "variants")
     by_gap = made.groupBy("key", "gap").agg(F.min("pos").alias("pos"))
     whole = F.min(F.when(F.col("gap") < 0, F.col("pos")))
     cut = F.min(F.when(F.col("gap") >= 0, F.col("pos")))
@@ -123,11 +145,11 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     """Every line that goes: doc, line_no, kept_doc, kept_line_no, edits (0 or 1)."""
     found = lines(docs, doc, text)
     texts = distinct_lines(found)
-    known = (texts.select("h1", "h2", "copies", F.struct("first.doc", "first.line_no").alias("first"))
-             .join(near_lines(texts), ["h1", "h2"], "left")
+    # Few rows, written so that the join below can split a line of very many copies.
+    known = stored(texts.join(near_lines(found, texts), ["h1", "h2"], "left")
              .where("copies > 1 or near is not null")
              .select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("kept"),
-                     F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits")))
+                     F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits")), "known-lines")
     return (found.select("doc", "line_no", "h1", "h2").join(known, ["h1", "h2"])
             .where(F.struct("doc", "line_no") > F.col("kept"))
             .select("doc", "line_no", F.col("kept.doc").alias("kept_doc"),
