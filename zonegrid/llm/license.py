@@ -99,7 +99,8 @@ def bands_of(spark, templates: dict[str, str]) -> DataFrame:
     short = [n for n, t in templates.items() if len(t.split()) < SHINGLE]
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    texts = spark.createDataFrame(sorted(templates.items()), "template string, body string")
+    rows = [F.struct(F.lit(n).alias("template"), F.lit(t).alias("body")) for n, t in sorted(templates.items())]
+    texts = spark.range(1).select(F.inline(F.array(*rows)))
     longest = F.array_max(F.transform(F.col("at.words"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     return (shingled(texts, "body", ["template"], with_words=True)
             .withColumn("own", F.array_distinct("shingles.hash"))
@@ -117,7 +118,6 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, doc: str = "d
     table = bands_of(spark, TEMPLATES if templates is None else templates)
     # The templates are a parameter: a few, and their bands are read once to the driver.
     known = table.collect()
-    bands = spark.createDataFrame(known, table.schema)
     keys: dict[int, set[int]] = {}
     for r in known:
         keys.setdefault(r["scale"], set()).add(r["key"])
@@ -139,7 +139,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, doc: str = "d
                .where(F.arrays_overlap("held", "keys"))
                .select("doc", "scale", "word_at", "held", F.inline(F.expr(minima("held")))))
     share = F.size(F.array_intersect("own", "held")) / F.size("own")
-    return (windows.join(bands.drop("key", "anchor"), ["scale", "band", "value"])
+    return (windows.join(table.drop("key", "anchor"), ["scale", "band", "value"])
             .select("doc", "template", share.alias("containment"), "word_at")
             .where(F.col("containment") >= CONTAIN)
             .groupBy("doc", "template").agg(F.max(F.struct("containment", (-F.col("word_at")).alias("back"))).alias("best"))

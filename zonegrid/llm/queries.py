@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, license, linededup, pll, simhash, toxicity
+from . import ann, bpe, decontam, langid, license, linededup, pll, simhash, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -142,3 +142,16 @@ FROM good GROUP BY doc_id, template
 
 
 ORACLE["op3_license_scan"] = _license_oracle()
+
+
+@register
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # A page's path ends in the number of its document, which labels may know.
+    number = F.try_to_number(F.regexp_extract("url", r"/([0-9]{1,18})(?:[./?#]|$)", 1), F.lit("9" * 18)).cast("long")
+    bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
+    labels = (table(spark, sf_dir, "labels").groupBy("doc_id").agg(bad.alias("bad")).where("bad is not null")
+              .select(F.col("doc_id").alias("number"), F.when(F.col("bad") == 1, "block").otherwise("allow").alias("label")))
+    rules = urlfilter.mine(pages.withColumn("number", number).join(labels, "number"))
+    found = urlfilter.judge(pages, rules)
+    return found.select("page_id", "url_filter.*")
