@@ -87,10 +87,11 @@ def test_shap_equals_brute_force_shapley(fitted):
 def test_gain_fractions_sum_to_one(spark, fitted):
     from zonegrid.ml.explain import gain_importance
     _, forest, _, _, path = fitted
-    rows = T.gain_importance_rows(forest, FEATS)
+    rows = gain_importance(spark, path, FEATS).collect()
     assert abs(sum(r[2] for r in rows) - 1) < 1e-9
-    spark_rows = gain_importance(spark, path, FEATS).collect()
-    assert [r.feature for r in spark_rows] == [r[0] for r in rows]
+    used = {FEATS[i] for tree in forest.trees for i in tree.feature if i >= 0}
+    assert {r.feature for r in rows} == used
+    assert [r[1] for r in rows] == sorted((r[1] for r in rows), reverse=True)
 
 
 def test_patience_rule():

@@ -48,7 +48,8 @@ def merge_bounds(defaults: DataFrame, override: DataFrame) -> DataFrame:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    """x within [lo, hi]; NULL stays NULL (``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(lo), x)))
 
 
 def js_round(x: Column) -> Column:

@@ -121,7 +121,7 @@ def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None =
 
 
 def grid_search(assembled: DataFrame, grid: dict, seed: int, cv_splits: int, order: str = "time",
-                threads: int = 8) -> list[dict]:
+                threads: int = 8, max_bins: int = DEFAULT_MAX_BINS) -> list[dict]:
     """M5: mean validation MAE per parameter combination (expanding-window folds)."""
     folds, cached = fold_frames(assembled, cv_splits, order)
     counts = sorted(int(x) for x in grid["n_estimators"])
@@ -131,7 +131,7 @@ def grid_search(assembled: DataFrame, grid: dict, seed: int, cv_splits: int, ord
     def run(job):
         d, lr, j = job
         tr, va = folds[j]
-        m = regressor(counts[-1], lr, d, seed).fit(tr)
+        m = regressor(counts[-1], lr, d, seed, max_bins).fit(tr)
         maes = m.evaluateEachIteration(va, "absolute")
         return job, {c: float(maes[c - 1]) for c in counts}
 

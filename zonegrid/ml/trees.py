@@ -116,22 +116,6 @@ def dispersion(per_tree: np.ndarray) -> np.ndarray:
     return per_tree[:, 1:].std(axis=1)
 
 
-def gain_importance_rows(forest: Forest, names: list[str]) -> list[tuple]:
-    """Mean split gain per feature in loss units (gain x rows at the split),
-    normalised to sum 1; unused features are absent; sorted by gain desc."""
-    sums: dict[int, float] = {}
-    counts: dict[int, int] = {}
-    for tree in forest.trees:
-        inner = tree.feature >= 0
-        for f, g in zip(tree.feature[inner], tree.gain[inner] * tree.cover[inner]):
-            sums[int(f)] = sums.get(int(f), 0.0) + float(g)
-            counts[int(f)] = counts.get(int(f), 0) + 1
-    mean = {f: sums[f] / counts[f] for f in sums}
-    total = sum(mean.values()) or 1.0
-    ranked = sorted(mean.items(), key=lambda kv: -kv[1])
-    return [(names[f], float(v), float(v / total)) for f, v in ranked]
-
-
 # ---------------------------------------------------------------- TreeSHAP ---
 
 @dataclass

@@ -19,13 +19,13 @@ KEYS = ["Time_Bin", "Zone"]
 
 
 def time_bin(ts: Column, minutes: int = fixed.BIN_MINUTES) -> Column:
-    """Floor to the bin start (tumbling window start; keeps TIMESTAMP_NTZ)."""
-    return F.window(ts, f"{minutes} minutes").start
+    """Floor to the bin start; rows without a time stay, with a NULL bin."""
+    return floor_bin(ts, minutes)
 
 
 def floor_bin(ts: Column, minutes: int = fixed.BIN_MINUTES) -> Column:
-    """Same floor as :func:`time_bin` by epoch arithmetic on TIMESTAMP_NTZ
-    (usable next to a ``window`` expression in one projection)."""
+    """Floor by epoch arithmetic on TIMESTAMP_NTZ (``window`` would drop rows whose
+    time is NULL)."""
     step = minutes * 60 * 1_000_000
     since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
     return F.timestamp_add("MICROSECOND", F.floor(since / step) * step,

@@ -2,78 +2,61 @@
 
 ``percentile`` merges every distinct value of a group into one final task. Here:
 
-1. one aggregation per group gives ``n`` and ``percentile_approx`` values just
-   below and above each target probability (a bounded-memory sketch whose
-   rank error is at most ``n / accuracy``);
-2. a second aggregation counts the values below each lower bracket and
-   collects only the values inside the bracket (about ``2 * slack * n /
-   accuracy`` of them);
-3. the exact order statistics at ranks ``floor((n-1)p)`` and ``ceil((n-1)p)``
-   are read from the sorted bracket and interpolated, exactly like
+1. equal values are counted first, so ties are one row;
+2. a bounded sketch (``percentile_approx``) cuts each group into about ``ranges``
+   value ranges, and the values of each range are counted: at most ``ranges`` + 1
+   rows a group, over which the ranges that hold the target ranks are found;
+3. only the values of these ranges are ordered, and the order statistics at ranks
+   ``floor((n-1)p)`` and ``ceil((n-1)p)`` are read and interpolated, exactly like
    ``percentile`` / ``quantile_cont``.
 
-Brackets are verified (the target ranks must fall inside them); a group whose
-bracket misses falls back to ``percentile`` for that group only. The per-group
-statistics (one row per group: ``n`` and bracket bounds) pass through the
-driver, so use this for few groups (splits, folds, models).
+The sketch only places the cuts; the result doesn't depend on its error. All of it
+is one plan: nothing passes through the driver, a cache or a list.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def _key(by: list[str]) -> Column:
-    if not by:
-        return F.lit("")
-    return F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by])
+from pyspark.sql import Window as W
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: list[str] | None = None,
-                    accuracy: int = 10000, slack: int = 8) -> DataFrame:
+                    accuracy: int = 10000, ranges: int = 128) -> DataFrame:
     """``by`` columns + one double column ``q{i}`` per probability."""
     by = list(by or [])
-    # the passes below re-read these values: keep them in executor memory meanwhile
-    base = df.select(*by, value.cast("double").alias("_v"), _key(by).alias("_k")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")).cache()
-    delta = slack / accuracy
-    lows = [max(0.0, p - delta) for p in probs]
-    highs = [min(1.0, p + delta) for p in probs]
-    stats = base.groupBy("_k").agg(F.count(F.lit(1)).alias("n"),
-                                   F.percentile_approx("_v", lows + highs, accuracy).alias("b")).collect()
-    info = {r["_k"]: (int(r["n"]), list(r["b"])) for r in stats}  # one row per group
-    k = len(probs)
-
-    def lookup(i: int, which: int) -> Column:
-        pairs = []
-        for key, (_n, b) in info.items():
-            pairs += [F.lit(key), F.lit(float(b[i + which * k]))]
-        return F.element_at(F.create_map(*pairs), F.col("_k")) if pairs else F.lit(None).cast("double")
-
-    aggs = [F.first(F.col(c)).alias(c) for c in by]
-    for i in range(k):
-        lo, hi = lookup(i, 0), lookup(i, 1)
-        aggs += [F.count(F.when(F.col("_v") < lo, 1)).alias(f"_below{i}"),
-                 F.sort_array(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v"))))
-                 .alias(f"_in{i}")]
-    agg = base.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *aggs)
-
+    key = F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in by]).alias("_k")
+    valued = df.select(key, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = valued.groupBy("_k", "_v").agg(F.count("*").alias("_c"))
+    cuts = F.percentile_approx("_v", [i / ranges for i in range(1, ranges + 1)], accuracy)
+    groups = valued.groupBy("_k").agg(F.count("*").alias("_n"), F.array_distinct(cuts).alias("_cuts"))
+    ranged = counted.join(groups, "_k").select(
+        "_k", "_v", "_c", "_n", F.size(F.filter("_cuts", lambda x: x <= F.col("_v"))).alias("_range"))
+
+    before = W.partitionBy("_k").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = (ranged.groupBy("_k", "_range").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"),
+                                (F.floor if side == 0 else F.ceil)((F.col("_n") - 1) * F.lit(p)).alias("_rank"))
+                       for i, p in enumerate(probs) for side in (0, 1)])
+    targets = (totals.select("_k", "_range", "_m", "_before", F.inline(wanted))
+               .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m")))
+               .select("_k", "_range", "_i", "_side", (F.col("_rank") - F.col("_before")).alias("_at")))
+
+    some = ranged.join(targets.select("_k", "_range").distinct(), ["_k", "_range"], "left_semi")
+    upto = W.partitionBy("_k", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = some.select("_k", "_range", "_v", "_n", "_c", F.sum("_c").over(upto).alias("_upto"))
+    picked = (ordered.join(targets, ["_k", "_range"])
+              .where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))))
+
+    def at(i: int, side: int) -> Column:
+        return F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v")))
+
+    read = picked.groupBy("_k").agg(F.first("_n").alias("_n"), *[
+        at(i, side).alias(f"_{i}_{side}") for i in range(len(probs)) for side in (0, 1)])
     cols = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(p)
-        r0, r1 = F.floor(h), F.ceil(h)
-        inside = F.col(f"_in{i}")
-        i0, i1 = (r0 - F.col(f"_below{i}")).cast("int"), (r1 - F.col(f"_below{i}")).cast("int")
-        ok = (i0 >= 0) & (i1 < F.size(inside))
-        v0, v1 = F.get(inside, i0), F.get(inside, i1)
-        cols.append(F.when(ok, v0 + (v1 - v0) * (h - r0)).alias(f"q{i}"))
-    out = agg.select("_k", *by, *cols).cache()  # one row per group
-    missed = out.where(" OR ".join(f"q{i} IS NULL" for i in range(k)))
-    if missed.limit(1).count() == 0:  # brackets held (the usual case); `out` is materialised
-        base.unpersist()
-        return out.drop("_k")
-    exact = base.groupBy("_k").agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_p"))
-    fixed = out.join(exact, "_k", "left").select(
-        *by, *[F.coalesce(F.col(f"q{i}"), F.col("_p")[i]).alias(f"q{i}") for i in range(k)])
-    return fixed
+        low, high = F.col(f"_{i}_0"), F.col(f"_{i}_1")
+        cols.append((low + (high - low) * (h - F.floor(h))).alias(f"q{i}"))
+    return read.select(*[F.col("_k")[c].alias(c) for c in by], *cols)

@@ -74,4 +74,7 @@ def join_weather(features: DataFrame, weather_15: DataFrame, station: str | None
     w = weather_15
     if station is not None:
         w = w.where(F.col("station") == station)
+    else:   # one row a bin, whatever the number of stations: that of the first one
+        w = (w.groupBy("Time_Bin").agg(F.min_by(F.struct("temp", "precip"), "station").alias("w"))
+             .select("Time_Bin", "w.temp", "w.precip"))
     return features.join(w.select("Time_Bin", "temp", "precip"), "Time_Bin", "left")

@@ -86,11 +86,12 @@ def q_gbt_predict(spark, sf_dir):
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
     """Tail sample of train -> expanding-window grid search -> best by mean MAE."""
-    t = trained(spark, sf_dir)
-    tail = folds.tail_sample(t.data.where(F.col("split") == "train"), P.tuning.max_samples)
+    data, _ = training.prepare(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
+    tail = folds.tail_sample(data.where(F.col("split") == "train"), P.tuning.max_samples)
     grid = dict(P.tuning.param_grid)
-    rows = train.grid_search(tail.select("Zone", "Time_Bin", "features", "label"), grid, P.model.seed,
-                             P.tuning.cv_splits)
+    # Thousands of small jobs read the sample: cut its lineage, in few partitions.
+    tail = tail.select("Zone", "Time_Bin", "features", "label").coalesce(2).checkpoint(eager=True)
+    rows = train.grid_search(tail, grid, P.model.seed, P.tuning.cv_splits, max_bins=P.model.max_bins)
     df = spark.createDataFrame(rows, "n_estimators long, max_depth long, learning_rate double, "
                                      "mean_mae double, n_folds long")
     best = df.agg(F.min_by(F.struct("n_estimators", "max_depth", "learning_rate"), "mean_mae").alias("b"))
