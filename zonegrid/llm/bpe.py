@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import col, small_batches
 
-CHUNK = 16_000_000        # characters of a run of documents
+CHUNK = 4_000_000         # characters of a run of documents
 VOCABULARY = 64 << 20     # most bytes of ranks that may be broadcast
 
 
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc: str = "d
                 for a, e in zip([0, *ends], ends):
                     word = body[a:e]
                     if word not in known:
-                        if len(known) > 500_000:
+                        if len(known) > 200_000:
                             known.clear()
                         known[word] = merge(word, table.value)
                     ids.append(known[word])
