@@ -34,4 +34,8 @@ def test_manifest_status(spark, tmp_path):
     assert status == {"a.parquet": "unchanged", "b.parquet": "changed"}
     assert [r.name for r in files.changed_files(cur, manifest).collect()] == ["b.parquet"]
     empty = files.read_manifest(spark, str(tmp_path / "none"))
+    kept = str(tmp_path / "kept")
+    files.write_manifest(cur, kept)
+    files.write_manifest(cur, kept)
+    assert {r.status for r in files.manifest_status(cur, files.read_manifest(spark, kept)).collect()} == {"unchanged"}
     assert {r.status for r in files.manifest_status(cur, empty).collect()} == {"new"}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +37,35 @@ def manifest_status(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return current.join(m, "name", "left").withColumn("status", status).drop("_old")
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The latest checksum of every file recorded so far; empty if nothing is."""
     try:
-        return spark.read.parquet(path)
-    except Exception:  # no manifest yet
+        seen = spark.read.parquet(path)
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return spark.createDataFrame([], MANIFEST_SCHEMA)
+    last = F.max_by(F.struct("sha256", "bytes", "path"), "seen_at").alias("last")
+    return seen.groupBy("name").agg(last).select("name", "last.*")
+
+
+def write_manifest(current: DataFrame, path: str) -> None:
+    """Record the checksums of ``current``; earlier records stay as history."""
+    (current.select("name", "sha256", "bytes", "path", F.current_timestamp().alias("seen_at"))
+     .write.mode("append").parquet(path))
+
+
+def folder_fingerprint(spark: SparkSession, folder: str) -> str:
+    """Number and combined hash of the files below ``folder`` (path, size, time), listed
+    by Spark; contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(folder).select("path", "length", "modificationTime"))
+    n, mixed = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return f"{n}:{mixed}"
 
 
 def output_inventory(spark: SparkSession, base: str, expected: dict) -> DataFrame:

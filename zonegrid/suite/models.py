@@ -7,8 +7,8 @@ driver's sequence of model queries fits the booster once.
 from __future__ import annotations
 
 import hashlib
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from ..operators import folds, matrix
 from ..operators import requests as R
 from ..plans import training
 from ..session import shared_path
+from ..sources.files import folder_fingerprint, is_missing_path
 from .base import P, register, rounded
 from .prep import split_rows, weather_15
 from .scoring import valid_requests
@@ -29,14 +30,10 @@ RUN_CV = True
 _TRAINED: dict = {}
 
 
-def data_fingerprint(sf_dir: str) -> str:
-    """Names, sizes and mtimes of the input files + parameters + code version (registry key)."""
+def data_fingerprint(spark, sf_dir: str) -> str:
+    """Paths, sizes and times of the input files + parameters + code version (registry key)."""
     from .. import __version__
-    h = hashlib.sha256(f"{__version__}:{P!r}".encode())
-    for name in sorted(os.listdir(sf_dir)):
-        st = os.stat(os.path.join(sf_dir, name))
-        h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-    return h.hexdigest()[:16]
+    return hashlib.sha256(f"{__version__}:{P!r}:{folder_fingerprint(spark, sf_dir)}".encode()).hexdigest()[:16]
 
 
 class Trained:
@@ -44,7 +41,7 @@ class Trained:
     (a serving process loads the registered model instead of retraining)."""
 
     def __init__(self, spark, sf_dir):
-        self.base = shared_path(spark, f"registry-{data_fingerprint(sf_dir)}")
+        self.base = shared_path(spark, f"registry-{data_fingerprint(spark, sf_dir)}")
         if not self._load(spark, sf_dir):
             out = training.train_and_save(spark, split_rows(spark, sf_dir), weather_15(spark, sf_dir), P,
                                           self.base, run_cv=RUN_CV)
@@ -56,9 +53,11 @@ class Trained:
     def _load(self, spark, sf_dir) -> bool:
         try:
             rec = registry.latest(registry.registry(spark, self.base)).first()
-            model = GBTRegressionModel.load(rec["artifact"])
-        except Exception:  # no registry yet, or an unreadable artifact: train
-            return False
+        except AnalysisException as e:
+            if not is_missing_path(e):
+                raise
+            return False   # no registry yet: train
+        model = GBTRegressionModel.load(rec["artifact"])
         self.model, self.features, self.path = model, list(rec["features"]), rec["artifact"]
         self.calibration, self.metrics, self.n_trees = dict(rec["calibration"]), dict(rec["metrics"]), rec["n_trees"]
         data, feats = training.prepare(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
