@@ -85,3 +85,11 @@ def q_cv_summary(spark, sf_dir):
 def q_tail_sample(spark, sf_dir):
     train = persistence(spark, sf_dir).where(F.col("split") == "train")
     return folds.tail_sample(train, P.tuning.max_samples).select("Zone", "Time_Bin", "pos")
+
+
+@register("tail_sample_cut", final_sql(cte(*MAT, SQL_PRED, SQL_FOLDS, """result AS (
+    SELECT Zone, Time_Bin, pos FROM folds WHERE pos >= n_rows - 1000)"""), ["Zone", "Time_Bin", "pos"]))
+def q_tail_sample_cut(spark, sf_dir):
+    """The sampling operator with a limit below the table's rows, so that it cuts."""
+    train = persistence(spark, sf_dir).where(F.col("split") == "train")
+    return folds.tail_sample(train, 1000).select("Zone", "Time_Bin", "pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -95,6 +97,13 @@ def q_split_filtered(spark, sf_dir):
     return rounded(split_rows(spark, sf_dir))
 
 
+@register("split_active", final_sql(cte(*PREP, "result AS (SELECT * FROM kept WHERE ActiveRequests >= 2)"),
+                                   _SPLIT_COLS, FEATURE_DOUBLES))
+def q_split_active(spark, sf_dir):
+    """P10 with a threshold that drops rows."""
+    return rounded(split.split_filtered(feature_table(spark, sf_dir), replace(P, min_active_requests=2)))
+
+
 @register("quality_audit", final_sql(cte(*PREP, """result AS (
     SELECT split, count(*) AS n_rows, count(Time_Bin) AS n_time, '' AS missing_columns,
            count(*) > 0 AND count(Time_Bin) > 0 AS ok

@@ -157,6 +157,16 @@ def q_surge_level(spark, sf_dir):
                             surge.surge_level(F.col("`Target_DER_t+15`")).alias("target_level")))
 
 
+@register("surge_level_rolling", final_sql(cte(*PREP, f"""result AS (
+    SELECT Zone, Time_Bin, DER_rolling_mean_1h, {_sql_level('DER_rolling_mean_1h')} AS surge_level FROM feat)"""),
+    ["Zone", "Time_Bin", "DER_rolling_mean_1h", "surge_level"], {"DER_rolling_mean_1h"}))
+def q_surge_level_rolling(spark, sf_dir):
+    """Levels of the rolling mean, which takes values between the whole ratios."""
+    mean = F.col("DER_rolling_mean_1h")
+    return rounded(feature_table(spark, sf_dir).select("Zone", "Time_Bin", mean,
+                                                       surge.surge_level(mean).alias("surge_level")))
+
+
 _SQL_RECO = """CASE WHEN DER_t IS NULL THEN NULL
   WHEN DER_t < 0.8 THEN 'Supply exceeds demand. Consider reducing active driver incentives.'
   WHEN DER_t < 1.2 THEN 'Balanced market conditions. Maintain current operations.'
