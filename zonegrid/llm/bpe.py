@@ -112,8 +112,9 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def runs(parts: Iterator[pd.DataFrame], pattern: str) -> Iterator[tuple]:
-    """(name, docs, words per doc, word numbers, words) of successive runs."""
+def runs(parts: Iterator[pd.DataFrame], pattern: str, positions: bool = True) -> Iterator[tuple]:
+    """(name, docs, words per doc, word numbers, words) of successive runs; without
+    ``positions`` no word numbers."""
     split = regex.compile(pattern)
     docs, counts, codes, words, size, name = [], [], [], Numbers(), 0, xxhash.xxh3_128()
 
@@ -127,7 +128,10 @@ def runs(parts: Iterator[pd.DataFrame], pattern: str) -> Iterator[tuple]:
             found = split.findall(text)
             docs.append(doc)
             counts.append(len(found))
-            codes.append(np.array([words[w] for w in found], dtype=np.uint32))
+            if positions:
+                codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.uint32, count=len(found)))
+            else:
+                words.update(dict.fromkeys(found))   # in order of first appearance, too
             name.update(repr((doc, len(text))).encode() + text.encode())
             size += len(text)
             if size >= CHUNK:
@@ -153,7 +157,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc: str = "d
     source = docs.select(col(doc).cast("string").alias("doc"), col(text).alias("body"))
 
     def vocabularies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, _, _, _, words in runs(parts, pattern):
+        for name, _, _, _, words in runs(parts, pattern, positions=False):
             at = bucket_of(words, buckets)
             order = np.argsort(at, kind="stable")
             edges = np.searchsorted(at[order], np.arange(buckets + 1))
