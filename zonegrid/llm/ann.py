@@ -13,7 +13,8 @@ Nearness is the inner product in double precision; ties go to the smaller id.
    found by brute force over all rows, in blocks, and visits are widened until
    the share of them in visited leaves reaches ``recall``.
 4. Queries go to the blocks of their leaves, in Spark, and are scored there; each
-   block returns k rows a query, and the best k of them are the result.
+   block returns at most k rows a query, none below the worst of the k best sample
+   rows in the query's leaves, and the best k of them are the result.
 
 Defined results
   null vectors, null, infinite or NaN components, zero vectors, null ids, and
@@ -150,11 +151,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, name: str = "vec_i
     small_batches(spark)
     result = "query_id long, vec_id long, score double"
     rows = stored(valid(vectors, name, vector).withColumn("query", is_query), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample_rows).select("v").toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample_rows).select("vec_id", "v").toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = grow(matrix(sample["v"]), p)
     shared = spark.sparkContext.broadcast(vars(tree))   # at most 2 x sample_rows centres
+    known = matrix(sample["v"])
+    probe = spark.sparkContext.broadcast((known, tree.drop(known), sample["vec_id"].to_numpy()))   # sample_rows rows
 
     @F.pandas_udf("int")
     def leaf_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -186,12 +189,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, name: str = "vec_i
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Tree(**shared.value)
+        held, held_leaf, held_ids = probe.value
         for batch in batches:
             out = []
             if len(batch):
                 x = matrix(batch["v"])
-                near = x @ t.centers.T
-                for q, part, v, row in zip(batch["vec_id"], batch["part"], x, near):
+                near, with_held = x @ t.centers.T, x @ held.T
+                for n_query, (q, part, v, row) in enumerate(zip(batch["vec_id"], batch["part"], x, near)):
                     to, seen = {}, 0
                     for n, leaf in enumerate(t.walk(row)):
                         if n >= visits and seen > k:
@@ -199,12 +203,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, name: str = "vec_i
                         seen += counts[leaf]
                         for b in range(first[leaf], first[leaf] + blocks[leaf]):
                             to.setdefault(b, []).append(leaf)
-                    out += [(b, part, q, v, leaves) for b, leaves in to.items()]
-            yield pd.DataFrame(out, columns=["block", "part", "query_id", "v", "leaves"]).astype(
-                {"block": "int32", "part": "int32", "query_id": "int64"})
+                    # k sample rows of the visited leaves are found for sure: blocks need
+                    # to return nothing below the worst of them.
+                    reached = np.zeros(len(counts), dtype=bool)
+                    reached[[y for ys in to.values() for y in ys]] = True
+                    sure = with_held[n_query][reached[held_leaf] & (held_ids != q)]
+                    bound = float(np.partition(sure, len(sure) - k)[len(sure) - k]) if len(sure) >= k else -np.inf
+                    out += [(b, part, q, v, leaves, bound) for b, leaves in to.items()]
+            yield pd.DataFrame(out, columns=["block", "part", "query_id", "v", "leaves", "bound"]).astype(
+                {"block": "int32", "part": "int32", "query_id": "int64", "bound": "float64"})
 
     queries = (placed.where("query").select("vec_id", "v", part_of.alias("part"))
-               .mapInPandas(route, "block int, part int, query_id long, v array<double>, leaves array<int>"))
+               .mapInPandas(route, "block int, part int, query_id long, v array<double>, leaves array<int>, bound double"))
     stay = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     there = (placed.join(F.broadcast(layout), "leaf")
              .select((F.col("first") + stay).alias("block"), "vec_id", "leaf", "v",
@@ -215,7 +225,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, name: str = "vec_i
         if len(here) and len(asked):
             x, q = matrix(here["v"]), matrix(asked["v"])
             ids, names = here["vec_id"].to_numpy(), asked["query_id"].to_numpy()
-            leaf = here["leaf"].to_numpy()
+            leaf, bound = here["leaf"].to_numpy(), np.maximum(asked["bound"].to_numpy(dtype=float), -1e300)
             askers: dict[int, list[int]] = {}
             for i, leaves in enumerate(asked["leaves"]):
                 for one in leaves:
@@ -228,7 +238,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, name: str = "vec_i
             scores[names[:, None] == ids[None, :]] = -np.inf
             for i, who in enumerate(names):
                 found, exact = best_of(scores[i], x, q[i], ids, k)
-                out += zip([who] * len(found), found, exact)
+                good = exact >= bound[i] - 1e-9 * max(1.0, abs(bound[i]))
+                out += zip([who] * int(good.sum()), found[good], exact[good])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
