@@ -205,3 +205,29 @@ def test_lm_counts_scores_and_edges(spark):
     assert pll.score(given.limit(0), model).count() == 0
     empty, none = pll.fit(given.limit(0))
     assert none.count() == 0 and pll.score(given, empty, out="found").count() == len(texts)
+
+
+@pytest.mark.parametrize("known", [0, 8, 1000])
+def test_lm_gives_every_word_its_own_probability(spark, monkeypatch, known):
+    monkeypatch.setattr(pll, "KNOWN", known)     # all rare words joined, some, none
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "of", *(f"w{k}" for k in range(i % 40))]) for _ in range(60)) for i in range(80)]
+    given = docs(spark, [*texts, *texts[:3], None])
+    model, counts = pll.fit(given, pll.Params(words=2, buckets=3))
+    n = {c.word: c.n for c in counts.collect()}
+    words = [*n, "never"]
+    got = pll.score(docs(spark, words), model, out="found").collect()
+    p = {words[x.doc_id]: np.exp(x.found.log_prob) for x in got}
+    bucket = pll.Codes(model.number, model.buckets)
+    groups = {}
+    for w in n:
+        groups.setdefault(bucket[w], []).append(w)
+    for c, own in groups.items():               # in a bucket, words stand to each other as their counts do
+        assert np.allclose([p[w] / p[own[0]] for w in own], [n[w] / n[own[0]] for w in own])
+    assert len({round(np.log(p[w]), 6) for own in groups.values() for w in own}) > 20
+    fresh = {c: p[own[0]] / n[own[0]] for c, own in groups.items() if c > len(model.number)}
+    assert np.isclose(p["never"], fresh[bucket["never"]])
+    total = sum(p[w] for w in n) + sum(fresh.values())       # all words, and a new one in each bucket
+    assert 1 - 1e-3 < total <= 1 + 1e-6                      # the boundary's class has the rest
+    copies = {x.doc_id: x.found.log_prob for x in pll.score(given, model, out="found").collect()}
+    assert abs(copies[0] - copies[80]) < 1e-3 and len(copies) == 84
