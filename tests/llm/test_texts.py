@@ -231,3 +231,15 @@ def test_lm_gives_every_word_its_own_probability(spark, monkeypatch, known):
     assert 1 - 1e-3 < total <= 1 + 1e-6                      # the boundary's class has the rest
     copies = {x.doc_id: x.found.log_prob for x in pll.score(given, model, out="found").collect()}
     assert abs(copies[0] - copies[80]) < 1e-3 and len(copies) == 84
+
+
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    r = random.Random(6)
+    noise = [f"n{k}" for k in range(20)]
+    texts = [" ".join(r.choice(noise) for _ in range(400)) for _ in range(120)] + ["xa xb xc xd " * 300] * 40
+    given = docs(spark, texts).repartition(2, "doc_id")
+    model, counts = pll.fit(given, pll.Params(words=30, sample_docs=0))     # nothing is drawn
+    n = {c.word: c.n for c in counts.collect()}
+    alone = np.mean([np.log(n[w] / sum(n.values())) for w in ("xa", "xb", "xc", "xd")])
+    got = {x.doc_id: x.found for x in pll.score(given, model, out="found").collect()}
+    assert got[130].mean_log_prob > alone + 0.5
