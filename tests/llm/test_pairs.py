@@ -233,3 +233,24 @@ def test_decontamination_edges(spark):
     assert {r.doc_id for r in decontam.clean(given, table).collect()} == {3}
     assert decontam.clean(given, table.limit(0)).count() == 3
     assert decontam.overlaps(given.limit(0), table).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    lines = ["a shared line", "own line one", "own line two", "own line three"]
+    texts = ["\n".join([lines[0], lines[1]]), "\n".join([lines[2], lines[0]]), "\n".join([lines[3], "x"])]
+    for key in (None, 7):
+        out = [r.text for r in linededup.dedup(docs(spark, texts, ids=[key] * 3)).collect()]
+        assert sorted("\n".join(out).split("\n")) == sorted([*lines, "x"])   # one copy goes, no other line
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    table = spark.createDataFrame([(5, item)], "item_id long, text string")
+    for key in (None, 7):
+        kept = decontam.clean(docs(spark, [item, "clean", None], ids=[key] * 3), table).collect()
+        assert sorted(r.text or "" for r in kept) == ["", "clean"]
+    r = random.Random(4)
+    one, two = sentence(r, 200), " ".join(f"v{i}" for i in range(200))
+    for key in (None, 7):
+        got = simhash.keep_first(docs(spark, [one, two, one + " end"], ids=[key] * 3)).collect()
+        prints = [plain_fingerprint(t) for t in (one, one + " end")]
+        assert bin(prints[0] ^ prints[1]).count("1") <= 2 and len(got) == 2 and two in {x.text for x in got}
+    got = simhash.keep_first(docs(spark, [one, one, two, two], ids=[None, None, 7, 7])).collect()
+    assert sorted(x.doc_id or 0 for x in got) == [0, 7, 7]     # rows without id are copies, equal rows of an id one document

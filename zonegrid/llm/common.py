@@ -39,6 +39,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_key(doc: str, text: str) -> Column:
+    """A hash of id and text: equal for equal rows only, whether or not they have an id."""
+    return F.xxhash64(col(doc).isNull(), col(doc), col(text))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -24,7 +24,8 @@ Defined results
   ties                      of equal overlaps the earliest place counts
   repeated rows             rows of a doc_id count as one document; rows of an
                             item_id as one item (any of its texts)
-  null doc_id / item_id     are documents / items like others
+  null doc_id / item_id     are documents / items like others; ``clean`` judges every
+                            row by its own text, whatever shares its doc_id
   empty tables              empty result; ``clean`` then keeps all
   extra columns             kept by ``clean``, whatever their names
 """
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, small_batches, stored
+from .common import col, free_name, row_key, small_batches, stored
 
 #: Spaced seeds, found by search: all 12-word windows with any 2 substitutions are hit.
 MASKS = ("11101011", "101100111", "111111")
@@ -229,6 +230,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
 def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id",
           text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark."""
-    mark = free_name(docs, "leaked_doc")
-    leaked = overlaps(docs, items, doc, item, text).select(F.col("doc").alias(mark)).distinct()
-    return docs.join(leaked, col(doc).eqNullSafe(col(mark)), "left_anti")
+    mark = free_name(docs, "leaked_row")
+    rows = docs.select(row_key(doc, text).alias(mark), col(text))
+    leaked = overlaps(rows, items, mark, item, text).select(F.col("doc").alias(mark)).distinct()
+    return docs.join(leaked, row_key(doc, text) == col(mark), "left_anti")

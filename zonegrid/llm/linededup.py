@@ -25,6 +25,8 @@ Defined results
   repeated rows            rows with the same doc_id and line number are one
                            position: the earliest position stays in each of them
   null doc_id              sorts before all others
+  rows that share an id    are one document to ``duplicates``; to ``dedup`` only equal
+                           rows are, the others follow each other by a hash
   empty table              empty result
   extra columns            kept by ``dedup``, whatever their names
 """
@@ -34,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, stored
+from .common import col, free_name, row_key, stored
 
 MIN_WORDS = 10   # one edit in ten words: lines below match only if equal
 
@@ -158,10 +160,11 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that go; rows and columns stay."""
-    mark, gone = free_name(docs, "line_doc"), free_name(docs, "line_gone")
-    out = (duplicates(docs, doc, text).groupBy(F.col("doc").alias(mark))
+    mark, row, gone = (free_name(docs, x) for x in ("line_doc", "line_row", "line_gone"))
+    rows = docs.select(F.struct(col(doc).alias("doc"), row_key(doc, text).alias("row")).alias(mark), col(text))
+    out = (duplicates(rows, mark, text).groupBy(F.col("doc.doc").alias(mark), F.col("doc.row").alias(row))
            .agg(F.collect_set("line_no").alias(gone)))
     kept = F.filter(F.split(col(text), "\n"), lambda x, i: ~F.array_contains(col(gone), i))
-    return (docs.join(out, col(doc).eqNullSafe(col(mark)), "left")
+    return (docs.join(out, (row_key(doc, text) == col(row)) & col(doc).eqNullSafe(col(mark)), "left")
             .withColumn(text, F.when(col(gone).isNull(), col(text)).otherwise(F.array_join(kept, "\n")))
             .select(*[col(c) for c in docs.columns]))

@@ -15,9 +15,11 @@ Defined results
   very long text                 read whole, in chunks
   ties (a bit set in exactly half)   not set
   repeated rows                  one row each, with the same fingerprint and
-                                 component; rows of a doc_id stay or go together
+                                 component; in ``keep_first`` equal rows of a
+                                 doc_id stay or go together, others go by themselves
   null doc_id                    takes part; never a component_id unless no
-                                 document of the group has an id
+                                 document of the group has an id; ``keep_first``
+                                 then keeps one row
   empty table                    empty result
   extra columns                  kept by ``keep_first``, whatever their names
 """
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import col, free_name, small_batches, stored
+from .common import col, free_name, row_key, small_batches, stored
 from .components import components
 
 SEED = 42
@@ -103,8 +105,13 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
 
 def keep_first(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3,
                max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one of the least id."""
-    mark = free_name(docs, "simhash_doc")
-    stay = (groups(docs, doc, text, shingle, max_bits).where(F.col("doc").eqNullSafe(F.col("component")))
-            .select(F.col("doc").alias(mark)).distinct())
-    return docs.join(stay, col(doc).eqNullSafe(col(mark)), "left_semi")
+    """``docs`` with one document of each group: the one of the least id, then of the
+    least hash of its text."""
+    mark, key = free_name(docs, "simhash_row"), row_key(doc, text)
+    rows = docs.select(F.struct(col(doc).isNull().alias("none"), col(doc).alias("doc"), key.alias("row")).alias(mark),
+                       col(text))
+    stay = stored(groups(rows, mark, text, shingle, max_bits).where(F.col("doc") == F.col("component"))
+                  .select(F.col("doc.row").alias(mark)).distinct(), "simhash-rows")
+    named = docs.where(col(doc).isNotNull()).join(stay, key == col(mark), "left_semi")
+    bare = docs.where(col(doc).isNull()).join(stay, key == col(mark)).dropDuplicates([mark]).drop(mark)
+    return named.unionByName(bare)
