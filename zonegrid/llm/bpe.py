@@ -17,8 +17,8 @@ the second read differs from the first, the join fails with an error, never
 with wrong ids. A word occurs once per run and bucket, so a word in a third of
 all text is no hot key.
 
-Decoding joins the ids with the token-byte table, one row per id: it is as large as
-the vocabulary, which is checked before it is broadcast.
+Decoding looks the ids up in the broadcast token-byte table, which is as large as
+the vocabulary, whatever the input (see README).
 
 Defined results
   null or empty text    no ids; decodes to no bytes
