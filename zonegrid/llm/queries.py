@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, license, linededup, pll, simhash, toxicity, urlfilter
+from . import ann, bpe, convrepair, decontam, langid, license, linededup, pll, simhash, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -155,3 +155,34 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = urlfilter.mine(pages.withColumn("number", number).join(labels, "number"))
     found = urlfilter.judge(pages, rules)
     return found.select("page_id", "url_filter.*")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by crc32 of ``conv_id:turn``; nulls are one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = (F.when(kind == 1, "").when(kind == 2, F.regexp_replace(blank("text"), "[.!?]", ""))
+            .otherwise(blank("text")))
+    return (conversations.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(blank("role")).alias("role"),
+                                 text.alias("text"), kind.alias("kind"))
+            .where("kind <> 0")
+            .select("conv_id", "turn", "role", "text",
+                    F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+                    .alias("copy"))
+            .drop("copy"))
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    found = convrepair.repair(damaged(given))
+    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "audit"))), lambda x: x["audit"]), "")
+    audits = found.audits.groupBy("conv").agg(word.alias("audit"))
+    every = given.select(F.col("conv_id").alias("id")).distinct()
+    for part in (found.summary, audits, convrepair.digests(found.rows)):
+        every = every.join(part, F.col("id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.select(F.col("id").alias("conv_id"), *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                        F.concat(F.coalesce("audit", F.lit("")), F.translate(F.coalesce("closing", F.lit("")), "ua", "II"))
+                        .alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
