@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, convrepair, decontam, langid, license, linededup, pll, simhash, toxicity, urlfilter
+from . import ann, bpe, convrepair, decontam, langid, license, linededup, pll, simhash, spelling, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -186,3 +186,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(F.coalesce("audit", F.lit("")), F.translate(F.coalesce("closing", F.lit("")), "ua", "II"))
                         .alias("audit"),
                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), garble=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
