@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, convrepair, decontam, langid, license, linededup, pll, simhash, spelling, toxicity, urlfilter
+from . import ann, bottomk, bpe, convrepair, decontam, langid, license, linededup, pll, simhash, spelling, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -192,3 +192,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.variants(table(spark, sf_dir, "documents"), garble=31)
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottomk.groups(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
