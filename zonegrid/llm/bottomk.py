@@ -10,13 +10,14 @@ Steps
    at most K values). So two of them share one of their size - need + 1 rarest values,
    and only these are listed. Values of one document alone are listed nowhere, and of
    lists with the same members the rarest stays.
-3. Each list compares its members with its first ones (whose values are the commonest,
-   then the smallest sets), one in the first round, ``GROW`` times as many in each
-   further one, until its members are one component or all have been compared. So a
-   group of copies costs one comparison a member, not all pairs, and no link that joins
-   two components is lost. First members are found with map-side limits.
-4. A pair goes on if the sketch of the union has ``need`` common values, and is then
-   verified on the full sets, which are made again for the documents in lists only.
+3. Each list compares its members with its first one (whose values are the commonest,
+   then the smallest set): one pair a member. A pair goes on if the sketch of the union
+   has ``need`` common values, and is then verified on the full sets, which are made
+   again for the documents in lists only.
+4. Lists that are not one component by now may hold further links. Their documents meet
+   once more by the rarest values of their full sets, where the places of a value and
+   the sizes tell exactly who can link: near copies that differ from the others in more
+   than a link allows leave the common lists, and no link is lost.
 5. Links join components; ids follow by the least document.
 
 Defined results
@@ -42,14 +43,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import col, small_batches, stored
 from .components import components
 
 K = 64
 MISS = 1e-9       # chance that a link shares fewer retained values than required
-GROW = 16         # more first members in each further round
 KNOWN = 200_000   # word hashes remembered in a task
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -119,17 +118,23 @@ def sketches(docs: DataFrame, doc: str, text: str, size: int, percent: int) -> D
     return stored(found, "bottomk-sketches")
 
 
-def lists(reps: DataFrame) -> DataFrame:
-    """(value, rid, n, pos): documents by their rarest values, where lists differ."""
-    values = reps.select("rid", F.explode("sketch").alias("value"))
+def rarest(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """(value, df, rid, n, pos) of values (rid, value) that several documents hold: the
+    rarest of each document (rid, n, kept, need) that has ``kept`` values, ``pos`` of
+    them rarer, and shares ``need`` of them with all that it links to."""
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     own = (values.join(shared, "value").groupBy("rid")
-           .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own")))     # K at most
-    found = stored(own.join(reps.select("rid", "n", "need", F.size("sketch").alias("kept")), "rid")
-                   .select("rid", "n", "need", "kept", F.size("own").alias("shared"),
-                           F.posexplode("own").alias("at", "v"))
-                   .withColumn("pos", F.col("kept") - F.col("shared") + F.col("at"))
-                   .where("pos <= kept - need").select("v.value", "v.df", "rid", "n", "pos"), "bottomk-lists")
+           .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own")))   # of one document
+    return (own.join(docs, "rid")
+            .select("rid", "n", "need", "kept", F.size("own").alias("shared"), F.posexplode("own").alias("at", "v"))
+            .withColumn("pos", F.col("kept") - F.col("shared") + F.col("at"))
+            .where("pos <= kept - need").select("v.value", "v.df", "rid", "n", "pos"))
+
+
+def lists(reps: DataFrame) -> DataFrame:
+    """(value, rid, n, pos): documents by their rarest retained values, where lists differ."""
+    found = stored(rarest(reps.select("rid", F.explode("sketch").alias("value")),
+                          reps.select("rid", "n", "need", F.size("sketch").alias("kept"))), "bottomk-lists")
     each = found.groupBy("value").agg(F.count("*").alias("members"), F.min("df").alias("df"),
                                       F.bit_xor(F.xxhash64("rid")).alias("sig"),
                                       F.bit_xor(F.xxhash64(F.lit(1), "rid")).alias("sig2")).where("members > 1")
@@ -183,37 +188,72 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(link("a", "b")).select("u", "v")
 
 
+def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members aren't one component, with ``label``."""
+    named = members.join(labels, "rid")
+    still = (named.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+             .where("least < most").select("value"))
+    return stored(named.join(still, "value", "left_semi"), "bottomk-divided")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (rid, label) after links (u, v)."""
+    one, two = (labels.select(F.col("rid").alias(x), F.col("label").alias(f"label_{x}")) for x in "uv")
+    edges = stored(links.join(one, "u").join(two, "v").where("label_u <> label_v")
+                   .select(F.greatest("label_u", "label_v").alias("u"), F.least("label_u", "label_v").alias("v"))
+                   .distinct(), "bottomk-edges")
+    if not edges.limit(1).count():
+        return labels
+    return stored(labels.join(components(edges), F.col("label") == F.col("node"), "left")
+                  .select("rid", F.coalesce("root", "label").alias("label")), "bottomk-labels")
+
+
+def pair(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def with_first(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each member of a list with the list's first one."""
+    first = (members.groupBy("value").agg(F.min(F.struct("pos", "n", "rid")).alias("first"))
+             .select("value", F.col("first.n").alias("first_n"), F.col("first.rid").alias("first_rid")))
+    return (members.join(first, "value").where(F.col("rid") != F.col("first_rid"))
+            .where(100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n"))
+            .select(*pair("rid", "first_rid")).distinct())
+
+
+def within(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of the given lists' documents that may link, by full sets.
+
+    Sets of n and m values that link share (n + m) * percent / (100 + percent) of them.
+    A document whose value stands at ``pos`` shares at most n - pos values where no rarer
+    one is shared, so its partner has ``most`` values at the utmost. Documents for which
+    a list has no such partner leave it, and with them most lists are one component."""
+    def exploded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for rid, packed in zip(part["rid"], part["hashes"]):
+                yield pd.DataFrame({"rid": rid, "value": np.frombuffer(packed, dtype=np.int64)})
+
+    docs = members.select("rid", "n").distinct()
+    values = sets.join(docs.select("rid"), "rid").mapInPandas(exploded, "rid long, value long")
+    own = docs.select("rid", "n", F.col("n").alias("kept"), F.ceil(F.col("n") * percent / 100).alias("need"))
+    most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    rows = stored(rarest(values, own).select("value", "rid", "n", most.alias("most")), "bottomk-within")
+    least = rows.groupBy("value").agg(F.min("n").alias("least_n"))
+    rows = divided(rows.join(least, "value").where("most >= least_n").select("value", "rid", "n", "most"), labels)
+    other = rows.select("value", *[F.col(c).alias(f"other_{c}") for c in ("rid", "n", "most", "label")])
+    return (rows.join(other, "value")
+            .where("rid > other_rid AND label <> other_label AND most >= other_n AND other_most >= n")
+            .select(*pair("rid", "other_rid")).distinct())
+
+
 def joined(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rid, label): the component of every document in a list."""
     labels = stored(members.select("rid").distinct().withColumn("label", F.col("rid")), "bottomk-labels")
-    before, upto = 0, 1
-    while True:
-        named = members.join(labels, "rid")
-        still = (named.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"),
-                                            F.count("*").alias("size"))
-                 .where((F.col("least") < F.col("most")) & (F.col("size") > before + 1)).select("value"))
-        rows = stored(named.join(still, "value", "left_semi"), "bottomk-open")
-        if not rows.limit(1).count():
-            return labels
-        order = W.partitionBy("value").orderBy("pos", "n", "rid")
-        lead = (rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto)
-                .where(F.col("rank") > before)
-                .select("value", *[F.col(c).alias(f"lead_{c}") for c in ("pos", "n", "rid", "label")]))
-        near = (F.col("label") != F.col("lead_label")) & (
-            F.struct("pos", "n", "rid") > F.struct("lead_pos", "lead_n", "lead_rid")) & (
-            100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-        pairs = (rows.join(lead, "value").where(near)
-                 .select(F.greatest("rid", "lead_rid").alias("u"), F.least("rid", "lead_rid").alias("v")).distinct())
-        links = verified(stored(estimated(pairs, reps), "bottomk-pairs"), sets, percent)
-        one, two = (labels.select(F.col("rid").alias(x), F.col("label").alias(f"label_{x}")) for x in "uv")
-        edges = stored(links.join(one, "u").join(two, "v").where("label_u <> label_v")
-                       .select(F.greatest("label_u", "label_v").alias("u"), F.least("label_u", "label_v").alias("v"))
-                       .distinct(), "bottomk-edges")
-        if edges.limit(1).count():
-            top = components(edges)
-            labels = stored(labels.join(top, F.col("label") == F.col("node"), "left")
-                            .select("rid", F.coalesce("root", "label").alias("label")), "bottomk-labels")
-        before, upto = upto, upto + upto * GROW
+    likely = stored(estimated(with_first(members, percent), reps), "bottomk-pairs")
+    labels = merged(labels, verified(likely, sets, percent))
+    rest = divided(members, labels)
+    pairs = stored(within(rest, labels, sets, percent), "bottomk-pairs")
+    return merged(labels, verified(pairs, sets, percent))
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5,
