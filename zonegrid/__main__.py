@@ -78,13 +78,15 @@ def main(argv=None) -> dict:
         out = {"model": res["path"], "n_trees": res["n_trees"], "metrics": res["metrics"]}
     else:
         from pyspark.ml.regression import GBTRegressionModel
-        from .streaming.scoring import score_valid
+        from .ml import trees
+        from .plans.scoring import score_valid
         rec = registry.latest(registry.registry(spark, a.registry)).first()
         model = GBTRegressionModel.load(rec["artifact"])
         landed = f"{a.out.rstrip('/')}/validated"
         land_validated(R.validate(spark.read.parquet(a.requests)), landed)
         scored = score_valid(read_landed(spark, landed, valid=True), model, list(rec["features"]),
-                             dict(rec["calibration"]))
+                             dict(rec["calibration"]),
+                             trees.leaf_table(trees.load_forest(spark, rec["artifact"], len(rec["features"]))))
         scored.write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/scored")
         counts = read_landed(spark, landed, valid=None).groupBy("valid").count().collect()
         out = {"scored": f"{a.out.rstrip('/')}/scored", "valid_counts": {str(c["valid"]).lower(): c["count"] for c in counts}}

@@ -1,14 +1,17 @@
 """Distributed explanation and dispersion scoring.
 
-Rows stay in their partitions: ``mapInPandas`` walks the (model-sized)
-tree arrays for each Arrow batch; top-k selection and formatting are native
-array functions afterwards.
+Rows stay in their partitions. Dispersion looks the leaf numbers that Spark's model
+gives up in a literal table of leaf values; SHAP runs over Arrow batches. What is
+shipped is measured first. Top-k selection and formatting are array functions.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,48 +36,43 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
 
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_LITERAL = 16 * 1024 * 1024
 
 
-def forest_bytes(forest: T.Forest) -> int:
-    """Size of the tree arrays: bounded by trees x 2^(depth+1) nodes x 7 arrays."""
-    return sum(sum(a.nbytes for a in (t.feature, t.threshold, t.left, t.right, t.value, t.cover, t.gain))
-               for t in forest.trees) + forest.weights.nbytes
+def shipped_bytes(groups: list[T.PathGroup]) -> int:
+    """Size of the arrays that SHAP ships: they grow with the leaves of the model."""
+    return sum(x.nbytes for g in groups for x in (g.value, g.feature, g.cover, g.above, g.upto, g.weights))
 
 
-def _shared(df: DataFrame, forest: T.Forest, value=None):
-    """Broadcast variable (shipped once per executor), after checking its size."""
-    size = forest_bytes(forest)
-    if size > MAX_BROADCAST_BYTES:
-        raise ValueError(f"model arrays of {size} bytes exceed the broadcast limit {MAX_BROADCAST_BYTES}")
-    return df.sparkSession.sparkContext.broadcast(forest if value is None else value)
+LEAF = "tree_leaf"
 
 
-def tree_dispersion(df: DataFrame, forest: T.Forest, features: list[str], id_col: str = "request_id",
-                    keep: list[str] | None = None) -> DataFrame:
-    """Per-row tree count, ensemble prediction, increment std, confidence and its
-    text (A9, F12); ``keep`` columns pass through, so no join is needed after."""
-    keep = [c for c in (keep or []) if c != id_col]
-    shared = _shared(df, forest)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def with_leaves(model):
+    """The model with a column of leaf numbers in its output."""
+    return model.copy().setLeafCol(LEAF)
 
-    def run(batches):
-        fo = shared.value
-        for pdf in batches:
-            per = T.tree_outputs(fo, _matrix(pdf, features))
-            out = pd.DataFrame({id_col: pdf[id_col]})
-            for c in keep:
-                out[c] = pdf[c]
-            out["n_trees"] = per.shape[1]
-            out["forest_prediction"] = per.sum(axis=1)
-            out["tree_std"] = T.dispersion(per)
-            yield out
-
-    schema = ", ".join([f"`{id_col}` {kinds[id_col]}", *[f"`{c}` {kinds[c]}" for c in keep],
-                        "n_trees int", "forest_prediction double", "tree_std double"])
-    out = df.select(id_col, *[F.col(f"`{c}`") for c in keep],
-                    *[F.col(f"`{c}`") for c in features if c not in keep]).mapInPandas(run, schema)
-    conf = surge.confidence_from_std(F.col("tree_std"), F.col("n_trees"))
-    return out.withColumn("confidence", conf).withColumn("confidence_text", surge.percent_text(conf))
+
+def tree_dispersion(scored: DataFrame, leaves: list[list[float]]) -> DataFrame:
+    """``scored`` (of ``with_leaves``) with n_trees, forest_prediction, tree_std,
+    confidence and its text (A9, F12). Tree 0 carries the base level, like a booster's
+    base score, so the spread (ddof 0) is taken over the later trees."""
+    text = json.dumps(leaves)
+    if len(text) > MAX_LITERAL:
+        raise ValueError(f"leaf values of {len(text)} bytes exceed the limit of a literal, {MAX_LITERAL}")
+    values = F.from_json(F.lit(text), "array<array<double>>")   # folded once, when the query is planned
+    per_tree = F.transform(vector_to_array(LEAF), lambda leaf, t: F.get(F.get(values, t), leaf.cast("int")))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    n = F.col("n_trees")
+    later = F.slice("per_tree", 2, len(leaves))
+    mean = total(later) / (n - 1)
+    out = (scored.withColumn("per_tree", per_tree).withColumn("n_trees", F.size("per_tree"))
+           .withColumn("forest_prediction", total(F.col("per_tree")))
+           .withColumn("tree_mean", F.when(n > 1, mean))
+           .withColumn("tree_std", F.when(n > 1, F.sqrt(total(F.transform(
+               later, lambda x: (x - F.col("tree_mean")) * (x - F.col("tree_mean")))) / (n - 1)))))
+    conf = surge.confidence_from_std(F.col("tree_std"), n)
+    return (out.withColumn("confidence", conf).withColumn("confidence_text", surge.percent_text(conf))
+            .drop("per_tree", "tree_mean", LEAF))
 
 
 def shap_topk(df: DataFrame, forest: T.Forest, features: list[str], k: int = 12,
@@ -82,12 +80,15 @@ def shap_topk(df: DataFrame, forest: T.Forest, features: list[str], k: int = 12,
     """Expected value + the ``k`` features with the largest |SHAP| per row."""
     if not 4 <= k <= 64:
         raise ValueError("max_features must be within 4..64")
-    shared = _shared(df, forest, (forest, [T.leaf_paths(t) for t in forest.trees]))
+    groups = T.path_groups(forest)
+    if shipped_bytes(groups) > MAX_BROADCAST_BYTES:
+        raise ValueError(f"leaf paths of {shipped_bytes(groups)} bytes exceed the broadcast limit {MAX_BROADCAST_BYTES}")
+    shared = df.sparkSession.sparkContext.broadcast(groups)
+    frame = T.Forest([], forest.weights, forest.n_features)
 
     def run(batches):
-        fo, paths = shared.value
         for pdf in batches:
-            base, phi = T.shap_values(fo, _matrix(pdf, features), paths)
+            base, phi = T.shap_values(frame, _matrix(pdf, features), shared.value)
             yield pd.DataFrame({id_col: pdf[id_col], "expected_value": base, "shap": list(phi)})
 
     out = df.select(id_col, *[F.col(f"`{c}`") for c in features]).mapInPandas(

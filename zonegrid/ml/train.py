@@ -6,27 +6,22 @@ search is a distributed aggregation over the cached feature vectors.
 * Early stopping with *patience*: fit ``maxIter`` trees once, score every
   prefix on the early-stopping rows with ``evaluateEachIteration`` (one pass),
   keep the best prefix unless it is followed by ``patience`` non-improving
-  rounds, and refit with that many trees (same seed, no subsampling -> the
-  same trees).
-* Grid search: for fixed depth and learning rate a GBT with ``m`` trees is
-  the prefix of one with ``M > m`` trees, so each (depth, rate, fold) is fit
-  once with the largest tree count and every count in the grid is scored
-  from ``evaluateEachIteration(..., "absolute")`` (= MAE per prefix). Fits
-  run concurrently from a driver thread pool (independent Spark jobs).
+  rounds, and cut the model to that many trees: there is no second fit.
+* Grid search: all fits of the bounded tail sample are one job (``boost``).
 """
 
 from __future__ import annotations
 
-import itertools
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import fold_bounds, time_series_folds
 from ..params import ModelParams
+from . import boost
 
 
 DEFAULT_MAX_BINS = ModelParams().max_bins
@@ -50,6 +45,21 @@ def best_with_patience(errors: list[float], patience: int) -> int:
     return best + 1
 
 
+def first_trees(model: GBTRegressionModel, k: int) -> GBTRegressionModel:
+    """The model of the first ``k`` trees, with the same parameters."""
+    if k >= model.getNumTrees:
+        return model
+    jvm, gateway = SparkSession.active()._jvm, SparkSession.active().sparkContext._gateway
+    kind = jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(kind.DecisionTreeRegressionModel, k)
+    weights = gateway.new_array(gateway.jvm.double, k)
+    for i in range(k):
+        trees[i], weights[i] = model.trees[i]._java_obj, model.treeWeights[i]
+    whole = model._java_obj
+    cut = kind.GBTRegressionModel(f"{model.uid}_{k}", trees, weights, whole.numFeatures())
+    return model._copyValues(GBTRegressionModel(cut), {model.maxIter: k})
+
+
 @dataclass
 class FitResult:
     model: GBTRegressionModel
@@ -66,8 +76,7 @@ def fit(train: DataFrame, params: ModelParams, stop_on: DataFrame | None = None)
     if stop_on is not None and params.early_stopping_rounds > 0:
         errors = list(model.evaluateEachIteration(stop_on, "squared"))
         keep = best_with_patience(errors, params.early_stopping_rounds)
-        if keep < params.n_estimators:
-            model = regressor(keep, params.learning_rate, params.max_depth, params.seed, params.max_bins).fit(train)
+        model = first_trees(model, keep)
     return FitResult(model, keep, errors)
 
 
@@ -120,28 +129,18 @@ def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None =
     return {"fold_mae": maes, "cv_mae_mean": mean, "cv_mae_std": std}
 
 
-def grid_search(assembled: DataFrame, grid: dict, seed: int, cv_splits: int, order: str = "time",
-                threads: int = 8, max_bins: int = DEFAULT_MAX_BINS) -> list[dict]:
-    """M5: mean validation MAE per parameter combination (expanding-window folds)."""
-    folds, cached = fold_frames(assembled, cv_splits, order)
-    counts = sorted(int(x) for x in grid["n_estimators"])
-    jobs = [(d, lr, j) for d, lr in itertools.product(grid["max_depth"], grid["learning_rate"])
-            for j in range(len(folds))]
+def grid_search(assembled: DataFrame, grid: dict, cv_splits: int, order: str = "time",
+                max_bins: int = DEFAULT_MAX_BINS) -> DataFrame:
+    """M5: n_estimators, max_depth, learning_rate, mean_mae, n_folds per combination
+    (expanding-window folds). All fits are one job; a fit with fewer trees is the
+    beginning of one with more."""
+    folded = time_series_folds(assembled, cv_splits, order)
+    return (boost.grid_errors(folded, cv_splits, grid, max_bins)
+            .groupBy("n_estimators", "max_depth", "learning_rate")
+            .agg(F.avg("mae").alias("mean_mae"), F.count("*").alias("n_folds")))
 
-    def run(job):
-        d, lr, j = job
-        tr, va = folds[j]
-        m = regressor(counts[-1], lr, d, seed, max_bins).fit(tr)
-        maes = m.evaluateEachIteration(va, "absolute")
-        return job, {c: float(maes[c - 1]) for c in counts}
 
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        results = list(pool.map(run, jobs))
-    cached.unpersist()
-    table = {}
-    for (d, lr, _j), by_count in results:
-        for c, mae in by_count.items():
-            table.setdefault((c, d, lr), []).append(mae)
-    return [{"n_estimators": c, "max_depth": d, "learning_rate": lr,
-             "mean_mae": sum(v) / len(v), "n_folds": len(v)}
-            for (c, d, lr), v in sorted(table.items())]
+def best_of(results: DataFrame) -> DataFrame:
+    """The one row of least mean error; ties go to the smaller parameters."""
+    names = ["n_estimators", "max_depth", "learning_rate"]
+    return results.agg(F.min(F.struct("mean_mae", *names)).alias("b")).select("b.*").where("mean_mae is not null")

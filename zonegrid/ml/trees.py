@@ -5,8 +5,7 @@ A saved ``GBTRegressionModel`` keeps its nodes in ``<path>/data``
 rightChild, split{featureIndex, leftCategoriesOrThreshold}}``) and the tree
 weights in ``<path>/treesMetadata``. The node table is bounded by the model
 size (trees x 2^(depth+1) rows), so it is read once, turned into NumPy arrays
-and shipped to executors inside the ``mapInPandas`` closure; the rows being
-scored never leave their partitions.
+and shipped to executors; the rows being scored never leave their partitions.
 
 TreeSHAP: for one leaf with value ``v``, the path-dependent conditional
 expectation is a product game over the unique features ``P`` on its path:
@@ -95,7 +94,7 @@ def tree_outputs(forest: Forest, X: np.ndarray) -> np.ndarray:
     rows = np.arange(n)
     for t, (tree, w) in enumerate(zip(forest.trees, forest.weights)):
         idx = np.zeros(n, dtype=np.int64)
-        for _ in range(64):
+        while True:
             f = tree.feature[idx]
             inner = f >= 0
             if not inner.any():
@@ -107,77 +106,92 @@ def tree_outputs(forest: Forest, X: np.ndarray) -> np.ndarray:
     return out
 
 
-def dispersion(per_tree: np.ndarray) -> np.ndarray:
-    """Std (ddof 0) of the boosting increments. Tree 0 carries the base level
-    (weight 1), like a booster's base score, so the spread is taken over the
-    later trees; NaN when there is only one tree."""
-    if per_tree.shape[1] <= 1:
-        return np.full(per_tree.shape[0], np.nan)
-    return per_tree[:, 1:].std(axis=1)
-
-
 # ---------------------------------------------------------------- TreeSHAP ---
 
 @dataclass
-class LeafPath:
-    value: float
-    features: np.ndarray   # unique features on the path
-    cover_frac: np.ndarray  # b_j per unique feature
-    nodes: list            # per unique feature: list of (node, went_left)
-
-
-def leaf_paths(tree: Tree) -> list:
-    out = []
-    stack = [(0, [])]
+class PathGroup:
+    """The leaves of a forest whose paths test ``d`` different features, as arrays."""
+    value: np.ndarray      # (leaves,) weighted leaf values
+    feature: np.ndarray    # (leaves, d)
+    cover: np.ndarray      # (leaves, d) product of the cover fractions of a feature's splits
+    above: np.ndarray      # (leaves, d) a row follows the path if above < x <= upto
+    upto: np.ndarray
+    weights: np.ndarray    # (d,) k! (d-k-1)! / d!
+
+
+def leaf_paths(tree: Tree) -> list[tuple[float, dict]]:
+    """(value, {feature: (cover, above, upto)}) of every leaf."""
+    out, stack = [], [(0, {})]
     while stack:
         node, path = stack.pop()
-        f = tree.feature[node]
+        f = int(tree.feature[node])
         if f < 0:
-            feats: dict[int, list] = {}
-            frac: dict[int, float] = {}
-            for parent, went_left, child in path:
-                pf = int(tree.feature[parent])
-                feats.setdefault(pf, []).append((parent, went_left))
-                c = tree.cover[parent]
-                frac[pf] = frac.get(pf, 1.0) * (tree.cover[child] / c if c > 0 else 0.0)
-            keys = sorted(feats)
-            out.append(LeafPath(float(tree.value[node]), np.array(keys, dtype=np.int64),
-                                np.array([frac[k] for k in keys]), [feats[k] for k in keys]))
+            out.append((float(tree.value[node]), path))
             continue
-        stack.append((int(tree.left[node]), path + [(node, True, int(tree.left[node]))]))
-        stack.append((int(tree.right[node]), path + [(node, False, int(tree.right[node]))]))
+        cover, above, upto = path.get(f, (1.0, -np.inf, np.inf))
+        own, cut = tree.cover[node], tree.threshold[node]
+        for child, ends in ((int(tree.left[node]), (above, min(upto, cut))),
+                            (int(tree.right[node]), (max(above, cut), upto))):
+            share = tree.cover[child] / own if own > 0 else 0.0
+            stack.append((child, {**path, f: (cover * share, *ends)}))
     return out
 
 
-def shap_values(forest: Forest, X: np.ndarray, paths=None) -> tuple[float, np.ndarray]:
-    """(expected value, (rows, features) SHAP matrix)."""
-    n = X.shape[0]
-    phi = np.zeros((n, forest.n_features))
-    base = 0.0
-    paths = paths if paths is not None else [leaf_paths(t) for t in forest.trees]
-    for tree, w, lps in zip(forest.trees, forest.weights, paths):
-        for lp in lps:
-            v = w * lp.value
-            d = len(lp.features)
-            base += v * float(np.prod(lp.cover_frac)) if d else v
-            if d == 0:
-                continue
-            a = np.ones((n, d))
-            for j, nodes in enumerate(lp.nodes):
-                for node, went_left in nodes:
-                    x = X[:, tree.feature[node]]
-                    ok = (x <= tree.threshold[node]) if went_left else (x > tree.threshold[node])
-                    a[:, j] *= ok
-            b = lp.cover_frac
-            wk = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+def path_groups(forest: Forest) -> list[PathGroup]:
+    """All leaves of the forest, grouped by the number of features on their path."""
+    by_length: dict[int, list] = {}
+    for tree, w in zip(forest.trees, forest.weights):
+        for value, path in leaf_paths(tree):
+            by_length.setdefault(len(path), []).append((w * value, sorted(path), [path[f] for f in sorted(path)]))
+    out = []
+    for d, leaves in sorted(by_length.items()):
+        ends = np.array([x[2] for x in leaves], dtype=float).reshape(len(leaves), d, 3)
+        out.append(PathGroup(np.array([x[0] for x in leaves]), np.array([x[1] for x in leaves], dtype=np.int64).reshape(-1, d),
+                             ends[:, :, 0], ends[:, :, 1], ends[:, :, 2],
+                             np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])))
+    return out
+
+
+CELLS = 1 << 20   # rows x leaves held at once
+
+
+def shap_values(forest: Forest, X: np.ndarray, groups: list[PathGroup] | None = None) -> tuple[float, np.ndarray]:
+    """(expected value, (rows, features) SHAP matrix): one array operation a feature
+    position for all leaves of a path length."""
+    groups = path_groups(forest) if groups is None else groups
+    phi = np.zeros((len(X), forest.n_features))
+    base = sum(float((g.value * g.cover.prod(axis=1)).sum()) for g in groups)
+    for g in groups:
+        leaves, d = g.feature.shape
+        if d == 0:
+            continue
+        target = [np.eye(forest.n_features)[g.feature[:, i]] for i in range(d)]
+        step = max(1, CELLS // leaves)
+        for at in range(0, len(X), step):
+            x = X[at:at + step][:, g.feature]
+            a = ((x > g.above) & (x <= g.upto)).astype(float)
             for i in range(d):
-                coefs = np.ones((n, 1))
+                coefs = np.ones((len(x), leaves, 1))
                 for j in range(d):
-                    if j == i:
-                        continue
-                    nxt = np.zeros((n, coefs.shape[1] + 1))
-                    nxt[:, :-1] += coefs * b[j]
-                    nxt[:, 1:] += coefs * a[:, j:j + 1]
-                    coefs = nxt
-                phi[:, lp.features[i]] += v * (a[:, i] - b[i]) * (coefs @ wk)
+                    if j != i:
+                        more = np.zeros((len(x), leaves, coefs.shape[2] + 1))
+                        more[:, :, :-1] += coefs * g.cover[:, j, None]
+                        more[:, :, 1:] += coefs * a[:, :, j, None]
+                        coefs = more
+                phi[at:at + step] += (g.value * (a[:, :, i] - g.cover[:, i]) * (coefs @ g.weights)) @ target[i]
     return base, phi
+
+
+def leaf_table(forest: Forest) -> list[list[float]]:
+    """Weighted leaf values per tree, leaves from left to right as Spark numbers them."""
+    out = []
+    for tree, w in zip(forest.trees, forest.weights):
+        values, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            if tree.feature[node] < 0:
+                values.append(float(w * tree.value[node]))
+            else:
+                stack += [int(tree.right[node]), int(tree.left[node])]
+        out.append(values)
+    return out

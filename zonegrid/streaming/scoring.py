@@ -2,7 +2,7 @@
 
 Scoring is stateless, so each micro-batch runs the batch path through
 ``foreachBatch``: validate -> land (partitioned by ``valid``) -> features ->
-``model.transform`` -> decorate -> write. Outputs go to
+the scoring body of ``plans.scoring`` -> write. Outputs go to
 ``<out>/batch_id=<n>`` with overwrite, so a replayed batch after a failure
 rewrites the same folder (idempotent, exactly-once with the checkpoint).
 """
@@ -10,31 +10,15 @@ rewrites the same folder (idempotent, exactly-once with the checkpoint).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions import surge
-from ..operators import matrix
 from ..operators import requests as R
-from ..plans.scoring import land_validated, read_landed
+from ..plans.scoring import land_validated, read_landed, score_valid
 
 BODY_SCHEMA = "request_id string, body string"
 
 
-def score_valid(valid: DataFrame, model, features: list[str], calibration: dict) -> DataFrame:
-    aligned = R.align_to_manifest(R.request_features(valid), features)
-    scored = model.transform(matrix.assemble(aligned, features, label=None))
-    pred = F.col("prediction")
-    p10, p90 = calibration.get("p10"), calibration.get("p90")
-    none = F.lit(None).cast("double")
-    return scored.select(
-        "request_id", pred.alias("prediction"), surge.surge_level(pred).alias("surge_level"),
-        (pred + F.lit(p10) if p10 is not None else none).alias("band_lower"),
-        (pred + F.lit(p90) if p90 is not None else none).alias("band_upper"),
-        surge.recommendation(pred, F.col("precip")).alias("recommendation"), "defaults_used")
-
-
 def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str, model, features: list[str],
-          calibration: dict, available_now: bool = True):
+          calibration: dict, leaves: list[list[float]], available_now: bool = True):
     """Start the stream; returns the StreamingQuery."""
     stream = spark.readStream.schema(BODY_SCHEMA).parquet(source_dir)
     out = out_dir.rstrip("/")
@@ -43,7 +27,7 @@ def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: st
         landed = f"{out}/_validated/batch_id={batch_id}"
         land_validated(R.validate(batch), landed)
         valid = read_landed(batch.sparkSession, landed, valid=True)
-        (score_valid(valid, model, features, calibration)
+        (score_valid(valid, model, features, calibration, leaves)
          .write.mode("overwrite").parquet(f"{out}/scored/batch_id={batch_id}"))
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)

@@ -12,11 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
-from ..functions import surge
 from ..ml import explain, registry, train
 from ..ml import trees as T
 from ..operators import folds, matrix
 from ..operators import requests as R
+from ..plans import scoring as scoring_plan
 from ..plans import training
 from ..session import shared_path
 from ..sources.files import folder_fingerprint, is_missing_path
@@ -49,6 +49,7 @@ class Trained:
             self.data, self.test_predictions = out["data"], out["test_predictions"]
             self.calibration, self.metrics, self.n_trees = out["calibration"], out["metrics"], out["n_trees"]
         self.forest = T.load_forest(spark, self.path, len(self.features))
+        self.leaves = T.leaf_table(self.forest)
 
     def _load(self, spark, sf_dir) -> bool:
         try:
@@ -87,16 +88,11 @@ def q_grid_search(spark, sf_dir):
     """Tail sample of train -> expanding-window grid search -> best by mean MAE."""
     data, _ = training.prepare(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
     tail = folds.tail_sample(data.where(F.col("split") == "train"), P.tuning.max_samples)
-    grid = dict(P.tuning.param_grid)
-    # Thousands of small jobs read the sample: cut its lineage, in few partitions.
-    tail = tail.select("Zone", "Time_Bin", "features", "label").coalesce(2).checkpoint(eager=True)
-    rows = train.grid_search(tail, grid, P.model.seed, P.tuning.cv_splits, max_bins=P.model.max_bins)
-    df = spark.createDataFrame(rows, "n_estimators long, max_depth long, learning_rate double, "
-                                     "mean_mae double, n_folds long")
-    best = df.agg(F.min_by(F.struct("n_estimators", "max_depth", "learning_rate"), "mean_mae").alias("b"))
-    return rounded(df.join(best.select("b.*").withColumn("is_best", F.lit(True)),
-                           ["n_estimators", "max_depth", "learning_rate"], "left")
-                   .withColumn("is_best", F.coalesce("is_best", F.lit(False))))
+    found = train.grid_search(tail.select("Zone", "Time_Bin", "features", "label"), dict(P.tuning.param_grid),
+                              P.tuning.cv_splits, max_bins=P.model.max_bins).checkpoint(eager=True)
+    names = ["n_estimators", "max_depth", "learning_rate"]
+    best = train.best_of(found).select(*names, F.lit(True).alias("is_best"))
+    return rounded(found.join(best, names, "left").withColumn("is_best", F.coalesce("is_best", F.lit(False))))
 
 
 def request_matrix(spark, sf_dir):
@@ -108,24 +104,8 @@ def request_matrix(spark, sf_dir):
 @register("score_requests")
 def q_score_requests(spark, sf_dir):
     """Predict + level + confidence + holdout band + recommendation."""
-    aligned, t = request_matrix(spark, sf_dir)
-    scored = t.model.transform(matrix.assemble(aligned, t.features, label=None))
-    # one pass: dispersion is computed on the scored rows, no join back by id
-    disp = explain.tree_dispersion(scored, t.forest, t.features,
-                                   keep=["prediction", "precip", "defaults_used"])
-    p10, p90 = t.calibration.get("p10"), t.calibration.get("p90")
-    pred = F.col("prediction")
-    none = F.lit(None).cast("double")
-    out = disp.select(
-        "request_id", pred.alias("prediction"),
-        surge.surge_level(pred).alias("surge_level"),
-        F.col("confidence_text").alias("confidence"),
-        (pred + F.lit(p10) if p10 is not None else none).alias("band_lower"),
-        (pred + F.lit(p90) if p90 is not None else none).alias("band_upper"),
-        surge.recommendation(pred, F.col("precip")).alias("recommendation"),
-        "defaults_used",
-    )
-    return rounded(out)
+    t = trained(spark, sf_dir)
+    return rounded(scoring_plan.score_valid(valid_requests(spark, sf_dir), t.model, t.features, t.calibration, t.leaves))
 
 
 @register("model_registry")
@@ -155,7 +135,9 @@ def q_gain_importance(spark, sf_dir):
 @register("tree_dispersion")
 def q_tree_dispersion(spark, sf_dir):
     aligned, t = request_matrix(spark, sf_dir)
-    return rounded(explain.tree_dispersion(aligned, t.forest, t.features))
+    scored = explain.with_leaves(t.model).transform(matrix.assemble(aligned, t.features, label=None))
+    return rounded(explain.tree_dispersion(scored, t.leaves).select(
+        "request_id", "n_trees", "forest_prediction", "tree_std", "confidence", "confidence_text"))
 
 
 @register("shap_topk")
@@ -175,6 +157,6 @@ def q_stream_score_requests(spark, sf_dir):
     landed_bodies(spark, sf_dir)
     src = _BODIES[(spark.sparkContext.applicationId, sf_dir)]
     out, ckpt = run_path(spark, "stream-scored"), run_path(spark, "stream-checkpoint")
-    q = stream_scoring.start(spark, src, out, ckpt, t.model, t.features, t.calibration)
+    q = stream_scoring.start(spark, src, out, ckpt, t.model, t.features, t.calibration, t.leaves)
     q.awaitTermination()
     return rounded(stream_scoring.read_scored(spark, out).drop("batch_id"))
