@@ -17,7 +17,9 @@ Steps
 4. Lists that are not one component by now may hold further links. Their documents meet
    once more by the rarest values of their full sets, where the places of a value and
    the sizes tell exactly who can link: near copies that differ from the others in more
-   than a link allows leave the common lists, and no link is lost.
+   than a link allows leave the common lists. These lists, too, are compared with their
+   first members as long as that links any; then the pairs that are left, of different
+   components and places and sizes that allow a link, are verified. No link is lost.
 5. Links join components; ids follow by the least document.
 
 Defined results
@@ -214,20 +216,21 @@ def pair(a: str, b: str) -> list:
 
 def with_first(members: DataFrame, percent: int) -> DataFrame:
     """(u, v): each member of a list with the list's first one."""
-    first = (members.groupBy("value").agg(F.min(F.struct("pos", "n", "rid")).alias("first"))
-             .select("value", F.col("first.n").alias("first_n"), F.col("first.rid").alias("first_rid")))
-    return (members.join(first, "value").where(F.col("rid") != F.col("first_rid"))
+    first = (members.groupBy("value").agg(F.min(F.struct("pos", "n", "rid", "label")).alias("first"))
+             .select("value", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("n", "rid", "label")]))
+    return (members.join(first, "value").where("label <> first_label")
             .where(100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n"))
             .select(*pair("rid", "first_rid")).distinct())
 
 
-def within(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of the given lists' documents that may link, by full sets.
+def by_full_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(value, rid, n, pos, most): the documents of the given lists by the rarest values
+    of their full sets.
 
     Sets of n and m values that link share (n + m) * percent / (100 + percent) of them.
     A document whose value stands at ``pos`` shares at most n - pos values where no rarer
     one is shared, so its partner has ``most`` values at the utmost. Documents for which
-    a list has no such partner leave it, and with them most lists are one component."""
+    a list has no such partner leave it."""
     def exploded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for rid, packed in zip(part["rid"], part["hashes"]):
@@ -237,9 +240,13 @@ def within(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     values = sets.join(docs.select("rid"), "rid").mapInPandas(exploded, "rid long, value long")
     own = docs.select("rid", "n", F.col("n").alias("kept"), F.ceil(F.col("n") * percent / 100).alias("need"))
     most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
-    rows = stored(rarest(values, own).select("value", "rid", "n", most.alias("most")), "bottomk-within")
+    rows = stored(rarest(values, own).select("value", "rid", "n", "pos", most.alias("most")), "bottomk-full")
     least = rows.groupBy("value").agg(F.min("n").alias("least_n"))
-    rows = divided(rows.join(least, "value").where("most >= least_n").select("value", "rid", "n", "most"), labels)
+    return stored(rows.join(least, "value").where("most >= least_n").drop("least_n"), "bottomk-full")
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """(u, v): the pairs of each list that may link by their places and sizes."""
     other = rows.select("value", *[F.col(c).alias(f"other_{c}") for c in ("rid", "n", "most", "label")])
     return (rows.join(other, "value")
             .where("rid > other_rid AND label <> other_label AND most >= other_n AND other_most >= n")
@@ -248,12 +255,15 @@ def within(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 def joined(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rid, label): the component of every document in a list."""
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        return merged(labels, verified(stored(pairs, "bottomk-pairs"), sets, percent))
+
     labels = stored(members.select("rid").distinct().withColumn("label", F.col("rid")), "bottomk-labels")
-    likely = stored(estimated(with_first(members, percent), reps), "bottomk-pairs")
-    labels = merged(labels, verified(likely, sets, percent))
-    rest = divided(members, labels)
-    pairs = stored(within(rest, labels, sets, percent), "bottomk-pairs")
-    return merged(labels, verified(pairs, sets, percent))
+    labels = linked(estimated(with_first(members.join(labels, "rid"), percent), reps), labels)
+    rows, before = by_full_sets(divided(members, labels), sets, percent), None
+    while labels is not before:         # first members again, as long as they link any
+        before, labels = labels, linked(with_first(divided(rows, labels), percent), labels)
+    return linked(within(divided(rows, labels)), labels)
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5,
