@@ -47,5 +47,14 @@ def test_keys_reach_their_rules(spark):
     q = entry.queries()
     levels = {r.surge_level for r in q["surge_level_rolling"](spark, "/root/testdata/sf0.01").select("surge_level").distinct().collect()}
     assert len(levels - {None}) == 5, levels
+    sf = "/root/testdata/sf0.01"
+    advice = {r[0] for r in q["recommendation_rolling"](spark, sf).select("recommendation").distinct().collect()}
+    assert len(advice - {None}) == 6                   # five levels, one of them with the rain text
+    tags = {t for r in q["factor_tags_hourly"](spark, sf).collect() for t in r["tags"]}
+    assert len(tags) == 5, tags
+    reasons = {t for r in q["validate_requests"](spark, sf).collect() for t in r["reasons"]}
+    assert {"zoneId: must be an integer", "temp: must be a number"} <= reasons
+    clamped = q["clamp_all"](spark, sf).agg({"zoneId": "max", "hour": "min", "precip": "max"}).first()
+    assert set(clamped) == {263, 0, 50.0}
     kept, active = (q[k](spark, SF).count() for k in ("split_filtered", "split_active"))
     assert 0 < active < kept

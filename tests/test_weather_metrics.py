@@ -45,6 +45,19 @@ def test_upsample_fills_gaps_in_observations(spark):
     assert [r.temp for r in out] == [1.0] * 12 + [2.0] * 4
 
 
+def test_two_stations_by_place_and_window(spark):
+    from zonegrid.operators.weather import in_window, join_weather, nearest_stations
+    both = _hourly(spark).union(_hourly(spark).selectExpr("'far' AS station", "ts", "temp + 100 AS temp", "precip"))
+    w15 = weather.upsample(in_window(both, "2025-01-01", "2025-01-01"))
+    rows = spark.createDataFrame([(1, T0), (2, T0), (3, T0)], "Zone long, Time_Bin timestamp_ntz")
+    zones = spark.createDataFrame([(1, 40.0, -74.0), (2, 41.0, -73.0)], "Zone long, lat double, lon double")
+    near = nearest_stations(zones, [("nyc", 40.1, -74.1), ("far", 41.1, -73.1)])
+    got = {r.Zone: r.temp for r in join_weather(rows, w15, by_zone=near).collect()}
+    assert got == {1: 10.0, 2: 110.0, 3: None}
+    assert {r.temp for r in join_weather(rows, w15).collect()} == {10.0}
+    assert in_window(both, "2025-01-02", "2025-01-05").count() == 0
+
+
 def _residuals(spark):
     rows = list(zip([1.0, 2.0, 3.0, 4.0, 5.0], [1.1, 1.9, 3.2, 3.8, 5.1]))
     return spark.createDataFrame(rows, "y_true double, y_pred double")
@@ -101,8 +114,8 @@ def test_folds_follow_expanding_window_rule(spark, n):
     assert F is not None
 
 
-@pytest.mark.parametrize("accuracy,slack", [(10000, 8), (10, 1)])
-def test_exact_quantiles_match_numpy(spark, accuracy, slack):
+@pytest.mark.parametrize("accuracy,slack,limit", [(10000, 8, 200_000), (10000, 8, 20), (100, 4, 3)])
+def test_exact_quantiles_match_numpy(spark, accuracy, slack, limit):
     from zonegrid.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.exponential(1.0, 700), np.full(300, 2.5)])  # skewed, with a tie block
@@ -110,9 +123,9 @@ def test_exact_quantiles_match_numpy(spark, accuracy, slack):
     df = spark.createDataFrame(rows, "g int, v double")
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
     got = {r.g: [r[f"q{i}"] for i in range(len(probs))]
-           for r in exact_quantiles(df, F.col("v"), probs, ["g"], accuracy, slack).collect()}
+           for r in exact_quantiles(df, F.col("v"), probs, ["g"], accuracy, slack, limit).collect()}
     for g in range(3):
         expect = np.quantile(np.array([v for k, v in rows if k == g]), probs)
         assert np.allclose(got[g], expect, rtol=0, atol=1e-12), (g, got[g], expect)
-    whole = exact_quantiles(df, F.col("v"), probs, None, accuracy, slack).first()
+    whole = exact_quantiles(df, F.col("v"), probs, None, accuracy, slack, limit).first()
     assert np.allclose([whole[f"q{i}"] for i in range(len(probs))], np.quantile(vals, probs), atol=1e-12)

@@ -1,5 +1,6 @@
-"""Command-line jobs: ``python -m zonegrid {retrieve,train,score} ...``.
+"""Command-line jobs: ``python -m zonegrid {refresh,retrieve,train,score} ...``.
 
+refresh   files of a folder against a manifest -> their status; the manifest is brought up to date
 retrieve  monthly trip Parquet (yellow_tripdata_*.parquet, fhvhv_tripdata_*.parquet)
           -> aggregate checkpoint + feature table partitioned by split
 train     feature table + landed hourly weather -> model, registry record, run log
@@ -16,14 +17,16 @@ import json
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from . import fixed
 from .ml import registry
 from .params import SHIPPED, Params
 from .plans import retrieval, training
 from .plans.scoring import land_validated, read_landed
 from .operators import requests as R
 from .operators import weather
-from .sources import sinks
+from .sources import files, sinks
 from .sources.trips import read_trips
 
 
@@ -41,8 +44,14 @@ def _params(a) -> Params:
         p = replace(p, split_date=a.split_date)
     if getattr(a, "holidays", None):
         p = replace(p, holidays=tuple(a.holidays.split(",")))
-    if getattr(a, "n_estimators", None):
-        p = replace(p, model=replace(p.model, n_estimators=a.n_estimators))
+    for name in ("der_outlier_lower", "der_outlier_upper", "min_active_requests", "weather_start", "weather_end"):
+        if getattr(a, name, None) is not None:
+            p = replace(p, **{name: getattr(a, name)})
+    for name in ("n_estimators", "early_stopping_rounds"):
+        if getattr(a, name, None) is not None:
+            p = replace(p, model=replace(p.model, **{name: getattr(a, name)}))
+    if getattr(a, "tune", False):
+        p = replace(p, tuning=replace(p.tuning, enabled=True))
     return p
 
 
@@ -54,6 +63,12 @@ def main(argv=None) -> dict:
     r.add_argument("--out", required=True)
     r.add_argument("--split-date")
     r.add_argument("--holidays")
+    r.add_argument("--der-outlier-lower", type=float)
+    r.add_argument("--der-outlier-upper", type=float)
+    r.add_argument("--min-active-requests", type=int)
+    f = sub.add_parser("refresh")
+    f.add_argument("--data", required=True)
+    f.add_argument("--manifest", required=True)
     t = sub.add_parser("train")
     t.add_argument("--features", required=True)
     t.add_argument("--weather", required=True, help="hourly table: station, ts, temp, precip")
@@ -61,6 +76,12 @@ def main(argv=None) -> dict:
     t.add_argument("--split-date")
     t.add_argument("--n-estimators", type=int)
     t.add_argument("--no-cv", action="store_true")
+    t.add_argument("--early-stopping-rounds", type=int)
+    t.add_argument("--tune", action="store_true", help="grid search first")
+    t.add_argument("--station", default=fixed.DEFAULT_STATION)
+    t.add_argument("--weather-start", help="first day of the observations that are read")
+    t.add_argument("--weather-end", help="last day")
+    t.add_argument("--run", help="name of the run: a run of this name that was ended goes on")
     s = sub.add_parser("score")
     s.add_argument("--requests", required=True, help="Parquet with request_id, body")
     s.add_argument("--registry", required=True)
@@ -71,10 +92,17 @@ def main(argv=None) -> dict:
     if a.job == "retrieve":
         res = retrieval.run_retrieval(spark, read_trips(spark, a.data), p, a.out)
         out = {"features": res["features"], "aggregate": res["aggregate"], "audit": res["audit"]}
+    elif a.job == "refresh":
+        status = files.refresh_manifest(spark, a.data, a.manifest)
+        out = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     elif a.job == "train":
-        w15 = weather.upsample(spark.read.parquet(a.weather), "exact", p.series_chunk_days)
+        hourly = weather.in_window(spark.read.parquet(a.weather), p.weather_start, p.weather_end)
+        hourly = hourly.where(F.col("station") == a.station).withColumn("station", F.lit(fixed.DEFAULT_STATION))
+        if hourly.limit(1).count() == 0:
+            raise ValueError(f"no observations of station {a.station} from {p.weather_start} to {p.weather_end}")
+        w15 = weather.upsample(hourly, "exact", p.series_chunk_days)
         res = training.train_and_save(spark, sinks.read_split(spark, a.features), w15, p, a.registry,
-                                      run_cv=not a.no_cv)
+                                      run_cv=not a.no_cv, run=a.run)
         out = {"model": res["path"], "n_trees": res["n_trees"], "metrics": res["metrics"]}
     else:
         from pyspark.ml.regression import GBTRegressionModel

@@ -66,6 +66,8 @@ CONFIDENCE_ONE_TREE = 0.85
 CONFIDENCE_ON_FAILURE = 0.80
 ERROR_BAND_LEVEL = 0.8
 
+DEFAULT_STATION = "nyc"
+
 # --- fixed values: metrics ----------------------------------------------------
 MAPE_EPSILON = 1e-8
 

@@ -25,13 +25,14 @@ def drop_incomplete(df: DataFrame, features: list[str]) -> DataFrame:
     return df.dropna(subset=[*features, fixed.TARGET])
 
 
-def training_table(split_rows: DataFrame, weather_15: DataFrame) -> DataFrame:
+def training_table(split_rows: DataFrame, weather_15: DataFrame, station: str = fixed.DEFAULT_STATION) -> DataFrame:
     """Filtered feature rows + weather + hour/day features (training-time columns)."""
-    return add_cyclical_features(join_weather(split_rows, weather_15), "Time_Bin")
+    return add_cyclical_features(join_weather(split_rows, weather_15, station), "Time_Bin")
 
 
-def training_matrix(split_rows: DataFrame, weather_15: DataFrame) -> tuple[DataFrame, list[str]]:
-    t = training_table(split_rows, weather_15)
+def training_matrix(split_rows: DataFrame, weather_15: DataFrame,
+                    station: str = fixed.DEFAULT_STATION) -> tuple[DataFrame, list[str]]:
+    t = training_table(split_rows, weather_15, station)
     feats = model_feature_names(t)
     return drop_incomplete(t, feats), feats
 

@@ -67,14 +67,31 @@ def upsample(hourly: DataFrame, align: str = "exact", chunk_days: int | None = 7
     return with_next.select("station", F.explode(grid).alias("Time_Bin"), "temp", "precip")
 
 
-def join_weather(features: DataFrame, weather_15: DataFrame, station: str | None = None) -> DataFrame:
-    """Left join on Time_Bin. The weather grid is bounded by the time range
+def in_window(hourly: DataFrame, first_day: str, last_day: str) -> DataFrame:
+    """Observations from ``first_day`` to the end of ``last_day``; the limits reach the scan."""
+    end = F.date_add(F.to_date(F.lit(last_day)), 1).cast("timestamp_ntz")
+    return hourly.where((F.col("ts") >= F.lit(first_day).cast("timestamp_ntz")) & (F.col("ts") < end))
+
+
+def nearest_stations(zones: DataFrame, stations: list[tuple[str, float, float]]) -> DataFrame:
+    """(Zone, station): the station nearest to each zone (Zone, lat, lon), the first by
+    name where two are as near. ``stations`` are (name, lat, lon) settings of the run;
+    distances are planar, with degrees of longitude shortened by the latitude."""
+    def away(name: str, lat: float, lon: float) -> Column:
+        east = (F.col("lon") - lon) * F.cos(F.radians("lat"))
+        return F.struct(((F.col("lat") - lat) * (F.col("lat") - lat) + east * east).alias("d"), F.lit(name).alias("station"))
+    return zones.select("Zone", F.array_min(F.array(*[away(*s) for s in stations]))["station"].alias("station"))
+
+
+def join_weather(features: DataFrame, weather_15: DataFrame, station: str = fixed.DEFAULT_STATION,
+                 by_zone: DataFrame | None = None) -> DataFrame:
+    """Left join on Time_Bin with the weather of one named station, or of each zone's
+    own (``by_zone``: Zone, station; a zone without one gets none). The weather grid is bounded by the time range
     (96 rows per station-day); the join strategy is left to the optimizer and
     AQE, which broadcasts it only after measuring its real size."""
-    w = weather_15
-    if station is not None:
-        w = w.where(F.col("station") == station)
-    else:   # one row a bin, whatever the number of stations: that of the first one
-        w = (w.groupBy("Time_Bin").agg(F.min_by(F.struct("temp", "precip"), "station").alias("w"))
-             .select("Time_Bin", "w.temp", "w.precip"))
-    return features.join(w.select("Time_Bin", "temp", "precip"), "Time_Bin", "left")
+    cols = ["Time_Bin", "temp", "precip"]
+    if by_zone is None:
+        return features.join(weather_15.where(F.col("station") == station).select(*cols), "Time_Bin", "left")
+    return (features.join(by_zone.select("Zone", "station"), "Zone", "left")
+            .join(weather_15.select("station", *cols), ["station", "Time_Bin"], "left").drop("station")
+            .select(*features.columns, "temp", "precip"))

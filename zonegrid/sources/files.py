@@ -59,6 +59,19 @@ def write_manifest(current: DataFrame, path: str) -> None:
      .write.mode("append").parquet(path))
 
 
+def refresh_manifest(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
+    """Status of every file against the manifest, which then records the new and changed
+    ones. Checksums are written once, next to the manifest, and read for both."""
+    found = manifest_status(file_checksums(spark, folder), read_manifest(spark, manifest))
+    path = f"{manifest.rstrip('/')}-status"
+    found.write.mode("overwrite").parquet(path)
+    status = spark.read.parquet(path)
+    fresh = status.where(F.col("status") != "unchanged")
+    if fresh.limit(1).count():
+        write_manifest(fresh, manifest)
+    return status
+
+
 def folder_fingerprint(spark: SparkSession, folder: str) -> str:
     """Number and combined hash of the files below ``folder`` (path, size, time), listed
     by Spark; contents are not read."""

@@ -4,7 +4,8 @@ The test request table is derived from the training-time feature rows (so it
 grows with the data): every row becomes a camelCase request, and a selector
 ``c = (Zone * 7 + minute_of_day / 15) % 20`` corrupts some of them the ways a
 client can (out-of-range ids and hours, missing or non-finite numbers, hours
-as text, snake_case field names, missing optional fields).
+as text, snake_case field names, missing optional fields, a null zone, numbers
+written as Java literals).
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ def request_bodies(rows: DataFrame) -> DataFrame:
         "lagDER30": F.col("`Lag_DER_t-30`"),
         "demandVelocity": F.col("DemandVelocity_t"),
         "lagDemandVelocity15": F.col("`Lag_DemandVelocity_t-15`"),
-        "temp": F.when(c == 3, F.lit(None)).otherwise(F.col("temp")),
+        "temp": F.when(c == 3, F.lit(None))
+        .when((c == 19) & (F.col("hour") % 2 == 0), F.parse_json(F.lit('"1.0d"')))
+        .when(c == 19, F.parse_json(F.lit('"0x10p0"'))).otherwise(_num(F.col("temp"))),
         "precip": F.when(c == 4, nan).when(c == 5, inf).otherwise(F.col("precip")),
         "hour": F.when(c == 6, _num(F.lit(24))).when(c == 7, _num(F.lit(-1)))
         .when(c == 8, _num(F.lit("7.9"))).when(c == 9, F.parse_json(F.lit('"7.9"')))
@@ -52,7 +55,10 @@ def request_bodies(rows: DataFrame) -> DataFrame:
                  + fixed.REQUEST_OPTIONAL_FIELDS)
     camel_body = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
     snake_body = F.to_json(F.struct(*[v.alias(snake[k]) for k, v in fields.items()]))
+    # ``to_json`` leaves null fields out; a null zone is written by hand.
+    null_zone = F.concat(F.lit('{"zoneId":null,'), F.substr(
+        F.to_json(F.struct(*[v.alias(k) for k, v in fields.items() if k != "zoneId"])), F.lit(2)))
     return rows.withColumn("_c", selector()).select(
         F.concat_ws("-", F.col("Zone").cast("string"), F.date_format("Time_Bin", "yyyyMMddHHmm")).alias("request_id"),
-        F.when(c == 17, snake_body).otherwise(camel_body).alias("body"),
+        F.when(c == 17, snake_body).when(c == 18, null_zone).otherwise(camel_body).alias("body"),
     )

@@ -20,8 +20,11 @@ def run_path(spark: SparkSession, name: str) -> str:
 
 
 def write_aggregate_checkpoint(cells: DataFrame, path: str) -> None:
-    """The zone x bin aggregate, partitioned by month for pruning."""
-    (cells.withColumn("month_key", F.date_format("Time_Bin", "yyyy-MM"))
+    """The zone x bin aggregate, partitioned by month for pruning. Rows are first
+    gathered by month in pieces of the session's advisory partition size (small months
+    together, large ones cut), so that the files of a month follow its size and not the
+    number of tasks."""
+    (cells.withColumn("month_key", F.date_format("Time_Bin", "yyyy-MM")).hint("rebalance", "month_key")
      .write.mode("overwrite").option("compression", "snappy")
      .partitionBy("month_key").parquet(path))
 
@@ -34,9 +37,9 @@ def read_aggregate_checkpoint(spark: SparkSession, path: str, months: list[str]
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """Train and test in one write, partitioned by ``split``, snappy,
-    rows clustered by (Zone, Time_Bin) inside each file."""
-    (df.sortWithinPartitions("Zone", "Time_Bin")
+    """Train and test in one write, partitioned by ``split``, snappy, rows clustered
+    by (Zone, Time_Bin) inside each file; files of the advisory partition size, as above."""
+    (df.hint("rebalance", "split").sortWithinPartitions("split", "Zone", "Time_Bin")
      .write.mode("overwrite").option("compression", "snappy")
      .partitionBy("split").parquet(path))
 

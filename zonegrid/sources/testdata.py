@@ -53,14 +53,15 @@ def trip_sources(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("event_type").isin(*YELLOW_EVENT_TYPES).alias("_yellow"),
     )
     cols = ["PULocationID", "DOLocationID", "extra"]
-    yellow = base.where(F.col("_yellow")).select(
+    kind = F.coalesce(F.col("_yellow"), F.lit(False))    # events without a type are the other source's
+    yellow = base.where(kind).select(
         F.col("p").alias("tpep_pickup_datetime"), F.col("d").alias("tpep_dropoff_datetime"), *cols)
-    fhvhv = base.where(~F.col("_yellow")).select(
+    fhvhv = base.where(~kind).select(
         F.col("p").alias("pickup_datetime"), F.col("d").alias("dropoff_datetime"), *cols)
     return yellow, fhvhv
 
 
-def weather_hourly(events: DataFrame) -> DataFrame:
+def weather_hourly(events: DataFrame, station: str = WEATHER_STATION) -> DataFrame:
     """Landed hourly weather table ``(station, ts, temp, precip)``."""
     hourly = (
         events.where(F.col("ts").isNotNull())
@@ -70,13 +71,28 @@ def weather_hourly(events: DataFrame) -> DataFrame:
     )
     cents = F.coalesce(F.col("cents"), F.lit(0))
     return hourly.select(
-        F.lit(WEATHER_STATION).alias("station"),
+        F.lit(station).alias("station"),
         "ts",
         (F.lit(-10.0) + (cents % 5500) / 100.0).alias("temp"),
         F.when(F.col("n") % 5 == 0, (cents % 300) / 100.0).otherwise(F.lit(0.0)).alias("precip"),
     )
 
 
+#: Two stations for the assignment by place: the hours of the yellow events and of the rest.
+STATIONS = (("east", 40.64, -73.78), ("west", 40.78, -74.17))
+
+
+def weather_by_station(events: DataFrame) -> DataFrame:
+    yellow = F.coalesce(F.col("event_type").isin(*YELLOW_EVENT_TYPES), F.lit(False))
+    return weather_hourly(events.where(yellow), "east").union(weather_hourly(events.where(~yellow), "west"))
+
+
+def zone_positions(rows: DataFrame) -> DataFrame:
+    """(Zone, lat, lon) of the zones in ``rows``: a made-up grid, as the data has none."""
+    return rows.select("Zone").distinct().select(
+        "Zone", (F.lit(40.5) + F.col("Zone") / 500).alias("lat"), (F.lit(-74.2) + (F.col("Zone") % 20) / 40).alias("lon"))
+
+
 # SQL text of the same adapters, for the DuckDB oracle.
 SQL_TRIPS = """
 trips AS (
@@ -87,12 +103,18 @@ trips AS (
   FROM events
 )"""
 
-SQL_WEATHER_HOURLY = """
-weather_hourly AS (
-  SELECT 'nyc' AS station, h AS ts,
+def sql_weather_hourly(station: str, where: str = "true") -> str:
+    return f"""
+  SELECT '{station}' AS station, h AS ts,
          -10.0 + (cents % 5500) / 100.0 AS temp,
          CASE WHEN n % 5 = 0 THEN (cents % 300) / 100.0 ELSE 0.0 END AS precip
   FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n,
                coalesce(sum(CAST(round(value * 100) AS BIGINT)), 0) AS cents
-        FROM events WHERE ts IS NOT NULL GROUP BY 1)
-)"""
+        FROM events WHERE ts IS NOT NULL AND {where} GROUP BY 1)"""
+
+
+SQL_WEATHER_HOURLY = f"weather_hourly AS ({sql_weather_hourly('nyc')})"
+SQL_WEATHER_WINDOW = (f"weather_hourly AS (SELECT * FROM ({sql_weather_hourly('nyc')}) "
+                      "WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21')")
+SQL_WEATHER_STATIONS = ("weather_hourly AS (" + sql_weather_hourly("east", "coalesce(event_type IN ('click', 'view'), false)")
+                        + " UNION ALL" + sql_weather_hourly("west", "NOT coalesce(event_type IN ('click', 'view'), false)") + ")")

@@ -170,6 +170,29 @@ def q_weather_join(spark, sf_dir):
     return rounded(weather.join_weather(split_rows(spark, sf_dir), weather_15(spark, sf_dir)).select(*_JOIN_COLS))
 
 
+@register("weather_window", final_sql(cte(td.SQL_WEATHER_WINDOW, SQL_WEATHER_15, "result AS (SELECT * FROM w15)"),
+                                      ["station", "Time_Bin", "temp", "precip"], {"temp", "precip"}))
+def q_weather_window(spark, sf_dir):
+    """S7 with a date window that leaves out some of the observations."""
+    hourly = weather.in_window(td.weather_hourly(td.table(spark, sf_dir, "events")), "2024-01-05", "2024-01-20")
+    return rounded(weather.upsample(hourly, "exact", P.series_chunk_days).select("station", "Time_Bin", "temp", "precip"))
+
+
+@register("weather_by_place", final_sql(cte(*PREP, td.SQL_WEATHER_STATIONS, SQL_WEATHER_15, """
+    zn AS (SELECT Zone, 40.5 + Zone / 500 AS lat, -74.2 + (Zone % 20) / 40 AS lon FROM (SELECT DISTINCT Zone FROM kept)),
+    near AS (SELECT Zone, CASE WHEN
+        pow(lat - 40.64, 2) + pow((lon + 73.78) * cos(radians(lat)), 2)
+        <= pow(lat - 40.78, 2) + pow((lon + 74.17) * cos(radians(lat)), 2) THEN 'east' ELSE 'west' END AS station FROM zn),
+    result AS (SELECT kept.*, w15.temp, w15.precip FROM kept JOIN near USING (Zone)
+               LEFT JOIN w15 ON w15.station = near.station AND w15.Time_Bin = kept.Time_Bin)"""), _JOIN_COLS, CYC_DOUBLES))
+def q_weather_by_place(spark, sf_dir):
+    """J2 with two stations: each zone has the weather of the nearer one."""
+    events, rows = td.table(spark, sf_dir, "events"), split_rows(spark, sf_dir)
+    grid = weather.upsample(td.weather_by_station(events), "exact", P.series_chunk_days)
+    places = weather.nearest_stations(td.zone_positions(rows), list(td.STATIONS))
+    return rounded(weather.join_weather(rows, grid, by_zone=places).select(*_JOIN_COLS))
+
+
 _CYC_COLS = [*_JOIN_COLS, "hour", "hour_sin", "hour_cos", "day_of_week", "is_weekend"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import bounds as B
 from ..functions import surge
@@ -60,10 +61,10 @@ req AS (
   FROM cyc),
 val AS (
   SELECT request_id, c,
-    CAST(CASE c WHEN 0 THEN 264 WHEN 1 THEN 0 WHEN 2 THEN 161 ELSE Zone END AS BIGINT) AS zone_id,
+    CAST(CASE c WHEN 0 THEN 264 WHEN 1 THEN 0 WHEN 2 THEN 161 WHEN 18 THEN 161 ELSE Zone END AS BIGINT) AS zone_id,
     SupplyElasticity AS supply_elasticity, "Lag_DER_t-15" AS lag_der_15, "Lag_DER_t-30" AS lag_der_30,
     DemandVelocity_t AS demand_velocity, "Lag_DemandVelocity_t-15" AS lag_demand_velocity_15,
-    CASE WHEN c = 3 THEN NULL ELSE temp END AS temp,
+    CASE WHEN c IN (3, 19) THEN NULL ELSE temp END AS temp,
     CASE c WHEN 4 THEN 'NaN'::DOUBLE WHEN 5 THEN 'Infinity'::DOUBLE ELSE precip END AS precip,
     CAST(CASE c WHEN 6 THEN 24 WHEN 7 THEN -1 WHEN 8 THEN 7 WHEN 9 THEN NULL WHEN 10 THEN 7 ELSE hour END AS INTEGER) AS hour,
     CAST(CASE WHEN c = 11 THEN 7 ELSE day_of_week END AS INTEGER) AS day_of_week,
@@ -84,7 +85,7 @@ rs AS (
          WHEN NOT isfinite(demand_velocity) THEN 'demandVelocity: must be a finite number' END,
     CASE WHEN lag_demand_velocity_15 IS NULL THEN 'lagDemandVelocity15: field required'
          WHEN NOT isfinite(lag_demand_velocity_15) THEN 'lagDemandVelocity15: must be a finite number' END,
-    CASE WHEN temp IS NULL THEN 'temp: field required'
+    CASE WHEN c = 19 THEN 'temp: must be a number' WHEN temp IS NULL THEN 'temp: field required'
          WHEN NOT isfinite(temp) THEN 'temp: must be a finite number' END,
     CASE WHEN precip IS NULL THEN 'precip: field required'
          WHEN NOT isfinite(precip) THEN 'precip: must be a finite number' END,
@@ -92,7 +93,7 @@ rs AS (
          WHEN hour NOT BETWEEN 0 AND 23 THEN 'hour: must be between 0 and 23' END,
     CASE WHEN day_of_week IS NULL THEN 'dayOfWeek: field required'
          WHEN day_of_week NOT BETWEEN 0 AND 6 THEN 'dayOfWeek: must be between 0 and 6' END,
-    CASE WHEN zone_id NOT BETWEEN 1 AND 263 THEN 'zoneId: must be between 1 and 263' END,
+    CASE WHEN c = 18 THEN 'zoneId: must be an integer' WHEN zone_id NOT BETWEEN 1 AND 263 THEN 'zoneId: must be between 1 and 263' END,
     CASE WHEN month NOT BETWEEN 1 AND 12 THEN 'month: must be between 1 and 12' END
   ], lambda x: x IS NOT NULL) AS reasons
   FROM val),
@@ -184,6 +185,18 @@ def q_recommendation(spark, sf_dir):
                             surge.recommendation(F.col("DER_t"), F.col("precip")).alias("recommendation")))
 
 
+@register("recommendation_rolling", final_sql(cte(*CYC, f"""result AS (
+    SELECT Zone, Time_Bin, DER_rolling_mean_1h, precip,
+           {_SQL_RECO.replace('DER_t', 'DER_rolling_mean_1h')} AS recommendation FROM joined)"""),
+    ["Zone", "Time_Bin", "DER_rolling_mean_1h", "precip", "recommendation"], {"DER_rolling_mean_1h", "precip"}))
+def q_recommendation_rolling(spark, sf_dir):
+    """F10 on the rolling mean, whose values reach every branch, the rain text too."""
+    j = weather.join_weather(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
+    mean = F.col("DER_rolling_mean_1h")
+    return rounded(j.select("Zone", "Time_Bin", mean, "precip",
+                            surge.recommendation(mean, F.col("precip")).alias("recommendation")))
+
+
 @register("error_band", final_sql(cte(*MAT, SQL_PRED, """
     cal AS (SELECT quantile_cont(y_true - y_pred, 0.1) AS p10, quantile_cont(y_true - y_pred, 0.9) AS p90
             FROM pred WHERE split = 'test'),
@@ -211,23 +224,43 @@ def surge_band(cal) -> list:
 _CLAMP_COLS = ["request_id", *B.FIELD_COLUMNS]
 
 
+# The bounds of the original's form, with the outlier limits of the test parameters.
+SQL_BOUNDS = """
+bnd(field, min, max, step) AS (VALUES
+  ('zoneId', 1.0::DOUBLE, 263.0::DOUBLE, NULL::DOUBLE), ('hour', 0.0, 23.0, NULL), ('dayOfWeek', 0.0, 6.0, NULL),
+  ('supplyElasticity', 0.0, 10.0, 0.05), ('lagDER15', 0.01, 15.0, 0.05), ('lagDER30', 0.01, 15.0, 0.05),
+  ('demandVelocity', -200.0, 200.0, 1.0), ('lagDemandVelocity15', -200.0, 200.0, 1.0),
+  ('temp', -30.0, 45.0, 0.5), ('precip', 0.0, 50.0, 0.1))"""
+
+
 def _sql_clamp() -> str:
     parts = []
-    for name, lo, hi, _ in B.default_bounds(P.der_outlier_lower, P.der_outlier_upper):
-        col = B.FIELD_COLUMNS[name]
-        c = f"least({hi}, greatest({lo}, CAST({col} AS DOUBLE)))"
+    for name, col in B.FIELD_COLUMNS.items():
+        lo, hi = (f"(SELECT {end} FROM bnd WHERE field = '{name}')" for end in ("min", "max"))
+        c = f"CASE WHEN {col} IS NOT NULL THEN least({hi}, greatest({lo}, CAST({col} AS DOUBLE))) END"
         parts.append(f"CAST(floor({c} + 0.5) AS BIGINT) AS {name}" if name in ("zoneId", "hour", "dayOfWeek")
                      else f"{c} AS {name}")
     return ", ".join(parts)
 
 
-@register("clamp_requests", final_sql(cte(*CYC, SQL_REQUESTS, f"result AS (SELECT request_id, {_sql_clamp()} FROM validated WHERE valid)"),
+@register("clamp_requests", final_sql(cte(*CYC, SQL_REQUESTS, SQL_BOUNDS,
+                                          f"result AS (SELECT request_id, {_sql_clamp()} FROM validated WHERE valid)"),
                                       _CLAMP_COLS, set(B.FIELD_COLUMNS) - {"zoneId", "hour", "dayOfWeek"}))
 def q_clamp_requests(spark, sf_dir):
     v = valid_requests(spark, sf_dir)
     return rounded(B.clamp_requests(v, B.default_bounds(P.der_outlier_lower, P.der_outlier_upper)))
 
 
+@register("clamp_all", final_sql(cte(*CYC, SQL_REQUESTS, SQL_BOUNDS,
+                                     f"result AS (SELECT request_id, {_sql_clamp()} FROM validated)"),
+                                 _CLAMP_COLS, set(B.FIELD_COLUMNS) - {"zoneId", "hour", "dayOfWeek"}))
+def q_clamp_all(spark, sf_dir):
+    """F13 over every typed request, so that values beyond the bounds and nulls occur."""
+    path = landed_requests(spark, f"requests:{sf_dir}", lambda: validated(spark, sf_dir))
+    return rounded(B.clamp_requests(read_landed(spark, path, valid=None),
+                                    B.default_bounds(P.der_outlier_lower, P.der_outlier_upper)))
+
+
 # request field -> training-table column, for bounds observed in the data
 OBSERVED = {"supplyElasticity": "SupplyElasticity", "lagDER15": "Lag_DER_t-15", "lagDER30": "Lag_DER_t-30",
             "demandVelocity": "DemandVelocity_t", "lagDemandVelocity15": "Lag_DemandVelocity_t-15",
@@ -235,25 +268,24 @@ OBSERVED = {"supplyElasticity": "SupplyElasticity", "lagDER15": "Lag_DER_t-15",
 
 
 def observed_bounds(rows):
-    """Override table from the data: observed min/max per numeric field, no step."""
+    """Override table from the data: observed min/max per numeric field."""
     aggs = []
     for name, col in OBSERVED.items():
         aggs += [F.min(F.col(f"`{col}`")).alias(f"{name}__min"), F.max(F.col(f"`{col}`")).alias(f"{name}__max")]
-    wide = rows.agg(*aggs)
     stack = ", ".join(f"'{n}', `{n}__min`, `{n}__max`" for n in OBSERVED)
-    return wide.selectExpr(f"stack({len(OBSERVED)}, {stack}) AS (field, min, max)").withColumn(
-        "step", F.lit(None).cast("double"))
+    observed = rows.agg(*aggs).selectExpr(f"stack({len(OBSERVED)}, {stack}) AS (field, min, max)")
+    # A hundred steps over the temperatures; precipitation is bounded below only.
+    return observed.select(
+        "field", "min", F.when(F.col("field") != "precip", F.col("max")).alias("max"),
+        F.when(F.col("field") == "temp", (F.col("max") - F.col("min")) / 100).alias("step"))
 
 
 def _sql_bounds_merge() -> str:
-    defaults = " UNION ALL ".join(
-        f"SELECT '{n}' AS field, {lo} AS min, {hi} AS max, {'NULL' if st is None else st} AS step"
-        for n, lo, hi, st in B.default_bounds(P.der_outlier_lower, P.der_outlier_upper))
     obs = " UNION ALL ".join(
-        f"SELECT '{n}' AS field, min(\"{c}\") AS o_min, max(\"{c}\") AS o_max, CAST(NULL AS DOUBLE) AS o_step FROM cyc"
+        f"SELECT '{n}' AS field, min(\"{c}\") AS o_min, {'NULL' if n == 'precip' else f'max(\"{c}\")'} AS o_max, "
+        + (f"(max(\"{c}\") - min(\"{c}\")) / 100" if n == "temp" else "CAST(NULL AS DOUBLE)") + " AS o_step FROM cyc"
         for n, c in OBSERVED.items())
     return f"""
-    dflt AS ({defaults}),
     ovr AS ({obs}),
     result AS (
       SELECT d.field,
@@ -262,10 +294,10 @@ def _sql_bounds_merge() -> str:
         CASE WHEN d.field IN ('zoneId', 'hour', 'dayOfWeek') THEN CAST(NULL AS DOUBLE)
              WHEN o.o_min IS NOT NULL AND o.o_max IS NOT NULL THEN coalesce(o.o_step, d.step)
              ELSE d.step END AS step
-      FROM dflt d LEFT JOIN ovr o ON d.field = o.field)"""
+      FROM bnd d LEFT JOIN ovr o ON d.field = o.field)"""
 
 
-@register("bounds_merge", final_sql(cte(*CYC, _sql_bounds_merge()), ["field", "min", "max", "step"],
+@register("bounds_merge", final_sql(cte(*CYC, SQL_BOUNDS, _sql_bounds_merge()), ["field", "min", "max", "step"],
                                     {"min", "max", "step"}))
 def q_bounds_merge(spark, sf_dir):
     defaults = B.bounds_frame(spark, P.der_outlier_lower, P.der_outlier_upper)
@@ -286,3 +318,23 @@ def q_factor_tags(spark, sf_dir):
                                                     F.col("supply_elasticity")).alias("tags"))
 
 
+@register("factor_tags_hourly", final_sql(cte(*CYC, """hrs AS (
+      SELECT date_trunc('hour', Time_Bin) AS ts, sum(ActiveRequests) AS requests, min(SupplyElasticity) AS elasticity,
+             max(precip) AS precip FROM joined GROUP BY 1),
+    result AS (SELECT ts, list_filter([
+      CASE WHEN precip > 1 THEN 'Rain impact' END,
+      CASE WHEN hour(ts) BETWEEN 7 AND 9 THEN 'Morning rush' END,
+      CASE WHEN hour(ts) BETWEEN 17 AND 19 THEN 'Evening rush' END,
+      CASE WHEN velocity > 20 THEN 'High velocity' END,
+      CASE WHEN elasticity < 0.5 THEN 'Low supply' END], lambda x: x IS NOT NULL) AS tags
+      FROM (SELECT *, (requests - lag(requests) OVER (ORDER BY ts)) * 24 AS velocity FROM hrs))"""), ["ts", "tags"]))
+def q_factor_tags_hourly(spark, sf_dir):
+    """F16 per hour over all zones, with the change of requests per day as velocity, so
+    that all tags occur. The window runs over one row an hour."""
+    j = weather.join_weather(split_rows(spark, sf_dir), weather_15(spark, sf_dir))
+    hours = j.groupBy(F.date_trunc("hour", "Time_Bin").cast("timestamp_ntz").alias("ts")).agg(
+        F.sum("ActiveRequests").alias("requests"), F.min("SupplyElasticity").alias("elasticity"),
+        F.max("precip").alias("precip"))
+    velocity = (F.col("requests") - F.lag("requests").over(W.orderBy("ts"))) * 24
+    return hours.withColumn("velocity", velocity).select(
+        "ts", surge.factor_tags(F.col("precip"), F.hour("ts"), F.col("velocity"), F.col("elasticity")).alias("tags"))
