@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from zonegrid.llm import bpe, langid, pll, toxicity
 
@@ -45,6 +46,27 @@ def test_bpe_is_the_librarys_and_round_trips(spark, ranks, library, monkeypatch)
         assert r.ids == library.encode_ordinary(text) and bytes(r.bytes) == text.encode()
 
 
+def test_bpe_cuts_only_where_the_pattern_does(library):
+    """Texts of all kinds of white space: pieces give the library's matches."""
+    import pandas as pd
+    import regex
+    r = random.Random(9)
+    parts = ["a", "Word", "don't", "'s", "12", "?!", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85",
+             "\u200b", "\u3000", "\u4e2d", "\u0301", "\U0001f600", "_"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    found = list(bpe.runs(iter([pd.DataFrame({"doc": [str(i) for i in range(len(texts))], "body": texts})]),
+                          public_tokenizers.PATTERN))
+    at = 0
+    for _, names, counts, codes, words in found:
+        stop = 0
+        for n in counts:
+            assert [words[c] for c in codes[stop:stop + n]] == regex.findall(public_tokenizers.PATTERN, texts[at])
+            stop, at = stop + n, at + 1
+    assert at == len(texts)
+    assert [x[4] for x in found] == [x[4] for x in bpe.runs(iter([pd.DataFrame(
+        {"doc": [str(i) for i in range(len(texts))], "body": texts})]), public_tokenizers.PATTERN, positions=False)]
+
+
 def test_bpe_edges(spark, ranks):
     given = docs(spark, ["same text"] * 3, ids=[None, 2 ** 60 + 1, 2 ** 60 + 1])
     got = bpe.encode(given, ranks, public_tokenizers.PATTERN).collect()
@@ -174,6 +196,13 @@ def test_toxicity_separates_and_keeps_clean(spark):
     assert toxicity.reject(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_takes_ids_of_any_type(spark):
+    given, labels = toxic_fixture(spark)
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    model = toxicity.fit(named(given), named(labels))
+    assert toxicity.reject(named(given), model).count() == 320
+
+
 def test_toxicity_without_labels_rejects_nothing(spark):
     given, labels = toxic_fixture(spark, 20)
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.selectExpr("doc_id", "cast(null as int) toxic")):

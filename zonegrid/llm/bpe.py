@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 import xxhash
 import zstandard
@@ -112,31 +113,77 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+class Pieces(dict):
+    """piece -> its number, in order of first appearance. The pieces of a text are what
+    single blanks part it into, a text's first piece as a tuple. ``uncut`` are the numbers
+    of pieces that are empty or have white space at an end: there the blank beside them
+    may belong to a longer run of white space."""
+
+    def __init__(self):
+        self.uncut: set[int] = set()
+
+    def __missing__(self, piece: str | tuple) -> int:
+        self[piece] = n = len(self)
+        text = piece[0] if isinstance(piece, tuple) else piece
+        if not text or text[0].isspace() or text[-1].isspace():
+            self.uncut.add(n)
+        return n
+
+
 def runs(parts: Iterator[pd.DataFrame], pattern: str, positions: bool = True) -> Iterator[tuple]:
     """(name, docs, words per doc, word numbers, words) of successive runs; without
-    ``positions`` no word numbers."""
+    ``positions`` no word numbers.
+
+    No match of the known pattern goes on beyond a non-blank character that a blank
+    follows, and none depends on what comes before. So a blank between two characters
+    that aren't white space always begins a match: texts are cut there, and each distinct
+    piece of a run is matched once, with its blank. A text with other blanks, or any
+    text under another pattern, is matched whole."""
     split = regex.compile(pattern)
-    docs, counts, codes, words, size, name = [], [], [], Numbers(), 0, xxhash.xxh3_128()
+    cut = pattern == public_tokenizers.PATTERN
+    size, name = 0, xxhash.xxh3_128()
+    docs, texts, words, pieces = [], [], Numbers(), Pieces()
 
     def done():
+        """Word numbers of the run: those of the distinct pieces, put in their places."""
+        numbers, sizes = [], []
+        for piece in pieces:
+            n = pieces[piece]
+            found = () if n in pieces.uncut else split.findall(piece[0] if isinstance(piece, tuple) else " " + piece)
+            sizes.append(len(found))
+            numbers.extend(map(words.__getitem__, found))
+        numbers, sizes = np.array(numbers, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+        begins, counts, codes = np.cumsum(sizes) - sizes, [], []
+        for whole, own in texts if positions else ():
+            if not whole:
+                long = sizes[own]
+                first = np.cumsum(long) - long
+                own = numbers[np.repeat(begins[own] - first, long) + np.arange(int(long.sum()))]
+            counts.append(len(own))
+            codes.append(own)
         return (name.hexdigest(), docs, counts,
                 np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32), list(words))
 
     for part in parts:
         for doc, text in zip(part["doc"].tolist(), part["body"]):
             text = text or ""
-            found = split.findall(text)
             docs.append(doc)
-            counts.append(len(found))
+            own = None
+            if cut:
+                first, *rest = text.split(" ")
+                own = [pieces[(first,)], *map(pieces.__getitem__, rest)]
+                if pieces.uncut and not pieces.uncut.isdisjoint(own):
+                    own = None
+            whole = own is None
+            if whole:
+                own = list(map(words.__getitem__, split.findall(text)))
             if positions:
-                codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.uint32, count=len(found)))
-            else:
-                words.update(dict.fromkeys(found))   # in order of first appearance, too
+                texts.append((whole, np.array(own, dtype=np.uint32 if whole else np.int64)))
             name.update(repr((doc, len(text))).encode() + text.encode())
             size += len(text)
             if size >= CHUNK:
                 yield done()
-                docs, counts, codes, words, size, name = [], [], [], Numbers(), 0, xxhash.xxh3_128()
+                docs, texts, words, pieces, size, name = [], [], Numbers(), Pieces(), 0, xxhash.xxh3_128()
     if docs:
         yield done()
 

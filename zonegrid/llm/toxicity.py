@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, free_name, small_batches
 
@@ -196,12 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
         for part in parts:
             got = [features(t) for t in part["body"]]
             at = [{place[f]: c for f, c in x.items() if f in place} for x in got]
-            yield pd.DataFrame({"doc": part["doc"], "toxic": part["toxic"],
+            yield pd.DataFrame({"doc": part["doc"], "toxic": part["toxic"],      # ids as text: of any type
                                 "n": [len(x) for x in got],
                                 "at": [list(x) for x in at], "c": [list(x.values()) for x in at]})
 
-    got = (sample.mapInPandas(numbers, "doc long, toxic int, n long, at array<int>, c array<int>")
-           .toPandas())
+    got = (sample.withColumn("doc", F.col("doc").cast("string"))
+           .mapInPandas(numbers, "doc string, toxic int, n long, at array<int>, c array<int>").toPandas())
+    if isinstance(sample.schema["doc"].dataType, T.IntegralType):
+        got["doc"] = got["doc"].astype("int64")           # numbers go by size
     got = got.iloc[np.lexsort([got["n"], got["doc"]])].reset_index(drop=True)
     rows = np.repeat(np.arange(len(got)), [len(x) for x in got["at"]])
     cols = np.array([i for x in got["at"] for i in x], dtype=np.int64)
