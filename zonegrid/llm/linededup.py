@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import col, free_name, row_key, stored
 
+ENDS = [(k, side, name) for k in ("p0", "p1") for side, name in ((1, "head"), (-1, "tail"))]
 MIN_WORDS = 10   # one edit in ten words: lines below match only if equal
 
 
@@ -53,22 +54,28 @@ def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """One row a text, without the text: h1, h2, copies, first (struct doc, line_no)."""
-    return found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"),
-                                         F.count("*").alias("copies"))
-
-
-def block_keys(found: DataFrame) -> DataFrame:
+    """One row a text, without the text, written once: h1, h2, copies, first (struct doc,
+    line_no) and, for longer lines, p0 and p1 and the hashes of the first and last p words."""
+    words = F.expr("size(split(line, ' '))")
+    counted = (found.withColumn("words", words)
+               .withColumns({k: F.when(F.col("words") >= MIN_WORDS, half(f"words - {i}"))
+                             for i, k in enumerate(("p0", "p1"))})
+               .withColumn("p1", F.when(F.col("p1") != F.col("p0"), F.col("p1"))))
+    hashed = counted.withColumns({f"{k}_{name}": F.expr(
+        f"IF({k} IS NULL, NULL, xxhash64({side}, {k}, substring_index(line, ' ', {side} * {k})))")
+        for k, side, name in ENDS})
+    same = ["p0", "p1", *[f"{k}_{name}" for k, _, name in ENDS]]
+    return stored(hashed.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies"),
+        *[F.first(c).alias(c) for c in same]), "distinct-lines")
+
+
+def block_keys(texts: DataFrame) -> DataFrame:
     """(h1, h2, block, side, p): hashes of the first p and the last p words of each
     longer line; side is 1 or -1."""
-    words = F.expr("size(split(line, ' '))")
-    ends = [F.expr(f"named_struct('side', {side}, 'p', p{k}, 'block', "
-                   f"xxhash64({side}, p{k}, substring_index(line, ' ', {side} * p{k})))")
-            for k in (0, 1) for side in (1, -1)]
-    return (found.withColumn("words", words)
-            .withColumns({"p0": half("words"), "p1": half("words - 1")}).where(F.col("words") >= MIN_WORDS)
-            .select("h1", "h2", F.inline(F.when(F.col("p0") == F.col("p1"), F.array(*ends[:2]))
-                                         .otherwise(F.array(*ends))))
+    ends = F.array(*[F.struct(F.lit(side).alias("side"), F.col(k).alias("p"), F.col(f"{k}_{name}").alias("block"))
+                     for k, side, name in ENDS])
+    return (texts.where("p0 IS NOT NULL").select("h1", "h2", F.inline(ends)).where("block IS NOT NULL")
             .select("h1", "h2", "block", "side", "p"))
 
 
@@ -82,7 +89,7 @@ def candidates(found: DataFrame, texts: DataFrame) -> DataFrame:
     text, at their first place. An edit stands at word ``after`` or later, or at
     least ``before`` words from the end (null: that end isn't shared). Only here do
     texts move; they are written once."""
-    keys = block_keys(found)
+    keys = block_keys(texts)
     shared = (keys.groupBy("block").agg(F.min("h1").alias("least"), F.max("h1").alias("most"))
               .where("least <> most").select("block"))
     some = (keys.join(shared, "block", "left_semi")
