@@ -39,3 +39,25 @@ def test_manifest_status(spark, tmp_path):
     files.write_manifest(cur, kept)
     assert {r.status for r in files.manifest_status(cur, files.read_manifest(spark, kept)).collect()} == {"unchanged"}
     assert {r.status for r in files.manifest_status(cur, empty).collect()} == {"new"}
+
+
+def test_large_files_by_byte_ranges(spark, tmp_path):
+    """Beyond the range size a checksum joins those of the ranges; below it nothing changes."""
+    import hashlib
+    data = {"long.parquet": bytes(range(256)) * 11 + b"end", "edge.parquet": b"x" * 2000, "short.parquet": b"ab",
+            "empty.parquet": b""}
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    for name, content in data.items():
+        (folder / name).write_bytes(content)
+    size = 1000
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def expected(b):
+        return sha(b) if len(b) <= size else sha("".join(sha(b[i:i + size]) for i in range(0, len(b), size)).encode())
+    got = {r["name"]: (r["sha256"], r["bytes"]) for r in
+           files.file_checksums(spark, str(folder), range_bytes=size).collect()}
+    del data["empty.parquet"]                      # files without content are not listed
+    assert got == {n: (expected(b), len(b)) for n, b in data.items()}
+    whole = {r["name"]: r["sha256"] for r in files.file_checksums(spark, str(folder)).collect()}
+    assert whole == {n: sha(b) for n, b in data.items()}

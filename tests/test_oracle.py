@@ -12,7 +12,8 @@ import oracle_check  # noqa: E402
 SF = "/root/testdata/sf0.001"
 KEYS = ["trips_union", "demand", "supply", "imbalance", "imbalance_outer", "feature_table", "split_counts",
         "weather_upsample", "training_matrix", "regression_metrics", "residual_calibration", "cv_folds",
-        "validate_requests", "surge_level", "bounds_merge"]
+        "validate_requests", "surge_level", "bounds_merge", "forest_gain", "forest_dispersion", "forest_shap",
+        "forest_folds"]
 
 
 @pytest.fixture(scope="module")

@@ -183,3 +183,27 @@ def test_distributed_dispersion_and_shap(spark, fitted):
         assert abs(s.expected_value + s.shap_sum - p) < 1e-9
         vals = [abs(t.shap_value) for t in s.top_features]
         assert len(vals) == 4 and vals == sorted(vals, reverse=True)
+
+
+def test_expressions_walk_like_the_model(spark, fitted):
+    """Leaf numbers and node covers by column expressions equal those of Spark's model."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from zonegrid.ml import explain, walk
+    res, forest, X, _, path = fitted
+    df = spark.createDataFrame([tuple(map(float, x)) + (0.5,) for x in X], ", ".join(f"`{c}` double" for c in FEATS) + ", y double")
+    own = explain.with_leaves(res.model).transform(assemble(df, FEATS, label=None))
+    both = walk.with_leaf_numbers(own, forest, FEATS, "mine")
+    assert both.where(vector_to_array("mine") != vector_to_array(explain.LEAF)).count() == 0
+    assert both.count() == len(X)
+    found = walk.measured(forest, walk.node_statistics(df, forest, FEATS, "y"))
+    for tree in found.trees:
+        inner = np.flatnonzero(tree.feature >= 0)
+        assert tree.cover[0] == len(X)
+        assert (tree.cover[inner] == tree.cover[tree.left[inner]] + tree.cover[tree.right[inner]]).all()
+        assert np.allclose(tree.gain, 0)      # a constant label gains nothing
+    none = walk.node_statistics(df.limit(0), forest, FEATS, "y")
+    assert none.count() == 0
+    frame = walk.node_frame(spark, forest).select("tree", "id", "feature").where(F.col("feature") >= 0)
+    assert frame.count() == sum(int((t.feature >= 0).sum()) for t in forest.trees)

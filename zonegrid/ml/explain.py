@@ -22,8 +22,12 @@ from . import trees as T
 def gain_importance(spark: SparkSession, model_path: str, names: list[str]) -> DataFrame:
     """Mean split gain per feature (gain x rows at the split), share of the
     total, unused features absent, ordered by gain (A8, T5)."""
-    nodes = T.node_table(spark, model_path).where(F.col("left") >= 0)
-    per = nodes.groupBy("feature").agg(F.avg(F.col("gain") * F.col("cover")).alias("gain"))
+    return gain_shares(T.node_table(spark, model_path), names)
+
+
+def gain_shares(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``gain_importance`` of a table of nodes."""
+    per = nodes.where(F.col("left") >= 0).groupBy("feature").agg(F.avg(F.col("gain") * F.col("cover")).alias("gain"))
     names_arr = F.array(*[F.lit(n) for n in names])
     total = F.sum("gain").over(Window.partitionBy())
     return (per.select(F.element_at(names_arr, F.col("feature") + 1).alias("feature"), "gain",

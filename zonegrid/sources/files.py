@@ -1,8 +1,8 @@
 """File-level jobs: checksum manifest and output inventory.
 
-Both are Spark jobs over the ``binaryFile`` source: files are spread over
-tasks, checksums run next to the data, and only the small per-file result
-table reaches the driver when the caller asks for it.
+Both are Spark jobs over the ``binaryFile`` source: files, and byte ranges of large
+ones, are spread over tasks, checksums run next to the data, and only the small
+per-file result table reaches the driver when the caller asks for it.
 """
 
 from __future__ import annotations
@@ -16,12 +16,65 @@ from pyspark.sql import functions as F
 MANIFEST_SCHEMA = "name string, sha256 string, bytes long, path string"
 
 
-def file_checksums(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
-    """name, sha256, bytes, path for every matching file (content read once, 2 GB per-file limit)."""
+RANGE_BYTES = 256 * 1024 * 1024
+PIECE_BYTES = 4 * 1024 * 1024
+
+
+def range_digests(ranges: DataFrame, range_bytes: int) -> DataFrame:
+    """``ranges`` (path, bytes, start) with the SHA-256 of up to ``range_bytes`` bytes from
+    ``start``; a task holds one piece of a file at a time."""
+    piece = PIECE_BYTES
+
+    def run(batches):
+        import hashlib
+        import re
+
+        import pandas as pd
+        from pyarrow import fs
+
+        def digest(path, start, end):
+            local = re.match("file:/+", path)
+            store, name = (fs.LocalFileSystem(), "/" + path[local.end():]) if local else fs.FileSystem.from_uri(path)
+            found = hashlib.sha256()
+            with store.open_input_file(name) as f:
+                f.seek(start)
+                while start < end:
+                    data = f.read(min(piece, end - start))
+                    if not data:
+                        raise OSError(f"{path} ends at {start}, before {end}")
+                    found.update(data)
+                    start += len(data)
+            return found.hexdigest()
+
+        for pdf in batches:
+            ends = [min(s + range_bytes, b) for s, b in zip(pdf["start"], pdf["bytes"])]
+            yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["bytes"], "start": pdf["start"],
+                                "digest": [digest(*x) for x in zip(pdf["path"], pdf["start"], ends)]})
+
+    return ranges.mapInPandas(run, "path string, bytes long, start long, digest string")
+
+
+def file_checksums(spark: SparkSession, folder: str, glob: str = "*.parquet",
+                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """name, sha256, bytes, path for every matching file, whose content is read once.
+
+    Up to ``range_bytes`` it is the file's SHA-256. A longer file is read in ranges of that
+    size, each by a task of its own, and has the SHA-256 of the ranges' hexadecimal
+    digests in order: compare such values only at the same ``range_bytes``. Files without
+    content are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
-                        F.sha2(F.col("content"), 256).alias("sha256"),
-                        F.col("length").alias("bytes"), "path")
+    whole = files.where(F.col("length") <= range_bytes).select(
+        "path", F.sha2(F.col("content"), 256).alias("sha256"), F.col("length").alias("bytes"))
+    ranges = (files.where(F.col("length") > range_bytes)
+              .select("path", F.col("length").alias("bytes"),
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1,
+                                           F.lit(range_bytes).cast("long"))).alias("start"))
+              .repartition("path", "start"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "digest"))),
+                                      lambda r: r["digest"]), "")
+    long = range_digests(ranges, range_bytes).groupBy("path", "bytes").agg(F.sha2(joined, 256).alias("sha256"))
+    return whole.unionByName(long).select(F.element_at(F.split("path", "/"), -1).alias("name"),
+                                          "sha256", "bytes", "path")
 
 
 def changed_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
