@@ -179,6 +179,13 @@ def test_masks_hit_every_window_with_two_substitutions():
                    for mask in decontam.MASKS for at in range(decontam.WINDOW - len(mask) + 1))
 
 
+def test_short_masks_hit_every_substitution():
+    for size, masks in decontam.SHORT.items():
+        for gone in range(size) if decontam.least_agreement(size) < size else [None]:
+            assert any(all(at + i != gone for i, bit in enumerate(mask) if bit == "1")
+                       for mask in masks for at in range(size - len(mask) + 1)), (size, gone)
+
+
 def brute_overlaps(texts, items):
     number = {}
     words = [np.array([number.setdefault(w, len(number)) for w in re.findall(r"\w+", (t or "").lower())], dtype=int)
@@ -186,9 +193,9 @@ def brute_overlaps(texts, items):
     out = set()
     for n, b in enumerate(words[len(texts):]):
         size = min(12, len(b))
-        if len(b) < 5:
+        if len(b) < 3:
             continue
-        need = 10 if size == 12 else size
+        need = 10 if size == 12 else size - 1 if size >= 5 else size
         for d, a in enumerate(words[:len(texts)]):
             if len(a) < size or np.isin(a, b).sum() < need:
                 continue
@@ -201,8 +208,13 @@ def brute_overlaps(texts, items):
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(3000)]
-    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (40, 30, 25, 12, 11, 8, 5, 4, 1)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (40, 30, 25, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1)]
     texts = [None, "", "w1"]
+    for item in items[4:]:                       # every place of a short item substituted, and two places
+        w = item.split()
+        for i in range(len(w)):
+            for j in {i, (i + 2) % len(w)}:
+                texts.append(" ".join(["before", *("other" if k in (i, j) else x for k, x in enumerate(w)), "after"]))
     for _ in range(150):
         body = [r.choice(vocabulary) for _ in range(r.randint(0, 80))]
         part = r.choice(items).split()

@@ -2,14 +2,15 @@
 
 Texts are lower-cased word sequences. A document holds an item of the benchmark
 if some ``WINDOW`` = 12 aligned words agree in at least ``AGREE`` = 10 places: up
-to two words of them may be substituted. Items of 5 to 11 words must occur whole;
-shorter ones tell nothing and are never found.
+to two words of them may be substituted. Items of 5 to 11 words are aligned as a
+whole and may have one word substituted; items of 3 and 4 words must occur whole.
+One or two words tell nothing and are never found.
 
 Steps
 1. Every position of every item is hashed under the ``MASKS``; a 0 in a mask is a
    word that doesn't count. Together the masks hit every window of twelve with
-   any two substitutions (tests check all 66). Items under twelve words are
-   hashed whole.
+   any two substitutions (tests check all 66). Items under twelve words have
+   shorter masks, which hit them with any one substitution (tests check all).
 2. Documents are hashed alike. A bitmap of the item hashes (two probes; at most
    ``MAX_BITS`` whatever the benchmark's size) drops most seeds at once; it only
    spares work. What passes is kept with the words around it, once a cluster.
@@ -45,14 +46,23 @@ from .common import col, free_name, row_key, small_batches, stored
 
 #: Spaced seeds, found by search: all 12-word windows with any 2 substitutions are hit.
 MASKS = ("11101011", "101100111", "111111")
-WINDOW, AGREE, LEAST = 12, 10, 5
+WINDOW, AGREE = 12, 10
 REACH = 16          # words kept on both sides of a cluster: more than a window beyond a seed
 CUT = 4096          # words after which a cluster is cut
 MIN_BITS, MAX_BITS = 20, 27   # size of the bitmap as a power of two: 128 KB to 16 MB
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)   # fixed value: 2^64 / golden ratio, odd
-SHORT = tuple("1" * n for n in range(LEAST, WINDOW))
+#: By item length: half the words stand before or after one substitution; of five words,
+#: where half would be two, three in a row or the four around the middle.
+SHORT = {3: ("111",), 4: ("1111",), 5: ("111", "11011"), 6: ("111",), 7: ("111",), 8: ("1111",), 9: ("1111",),
+         10: ("11111",), 11: ("11111",)}
+ALL_MASKS = (*MASKS, *sorted({m for masks in SHORT.values() for m in masks}))
+
+
+def least_agreement(size: int) -> int:
+    """Agreeing words that an aligned window of ``size`` words needs."""
+    return AGREE if size == WINDOW else size - 1 if size >= 5 else size
 
 
 class Hashes(dict):
@@ -97,7 +107,7 @@ def item_seeds(items: DataFrame, item: str, text: str) -> DataFrame:
             rows = []
             for name, body in zip(part["item"], part["body"]):
                 h = word_hashes(body, known)
-                masks = MASKS if len(h) >= WINDOW else SHORT[len(h) - LEAST:][:1] if len(h) >= LEAST else ()
+                masks = MASKS if len(h) >= WINDOW else SHORT.get(len(h), ())
                 for mask in masks:
                     rows += [(name, h.view(np.int64), s, i)
                              for i, s in enumerate(seeds(h, mask).view(np.int64).tolist())]
@@ -134,7 +144,7 @@ def clusters(docs: DataFrame, doc: str, text: str, bits: int, packed: np.ndarray
 
     def hits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, places = [], []
-        for mask in (*MASKS, *SHORT):
+        for mask in ALL_MASKS:
             s = seeds(h, mask)
             one, two = probes(s, bits)
             at = np.flatnonzero(there(one))
@@ -182,7 +192,7 @@ def agreement(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
         return None
     same = words[a:b] == item[a - shift:b - shift]
     total = np.concatenate([[0], np.cumsum(same)])
-    good = np.flatnonzero(total[size:] - total[:-size] >= (AGREE if size == WINDOW else size))
+    good = np.flatnonzero(total[size:] - total[:-size] >= least_agreement(size))
     if not len(good):
         return None
     inside = np.zeros(len(same) + 1, dtype=np.int64)
