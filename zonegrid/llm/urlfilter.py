@@ -4,7 +4,9 @@ DataFrame functions and Spark's FP-growth only. A url's tokens are its scheme, t
 words of its host labels, the words of its path and the fields of its query, each
 marked by its part; numbers are left out. Labelled urls are transactions of their
 tokens and the label; FP-growth mines the frequent combinations, and the rules
-"tokens -> block" with enough support, confidence and lift stay.
+"tokens -> block" with enough support, confidence and lift stay, if a share as high
+would be unlikely among urls at large (``min_z`` standard errors) and no rule of fewer
+of their tokens has the same confidence or more: such a rule says it all.
 
 Matching is by an inverted index: a rule is posted under its rarest token only.
 Distinct token sets are matched, not rows: they look their tokens up, and a rule
@@ -54,6 +56,7 @@ class Params:
     min_support: float = 0.005
     min_confidence: float = 0.6
     min_lift: float = 1.5
+    min_z: float = 3.0   # standard errors above the share of blocked urls
 
 
 def rest_of(url: Column) -> Column:
@@ -102,8 +105,10 @@ def mine(labelled: DataFrame, params: Params = Params(), url: str = "url", label
     if items.isEmpty():
         return None
     model = FPGrowth(itemsCol="items", minSupport=params.min_support, minConfidence=params.min_confidence).fit(items)
+    base, urls = F.col("confidence") / F.col("lift"), F.col("support") * items.count() / F.col("confidence")
+    z = (F.col("confidence") - base) / F.sqrt(base * (1 - base) / urls)
     rules = (model.associationRules
-             .where((F.col("consequent")[0] == LABEL + BLOCK) & (F.col("lift") >= params.min_lift)
+             .where((F.col("consequent")[0] == LABEL + BLOCK) & (F.col("lift") >= params.min_lift) & (z >= params.min_z)
                     & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
              .select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "lift", "support"))
     often = (model.freqItemsets.where(F.size("items") == 1)
@@ -111,7 +116,18 @@ def mine(labelled: DataFrame, params: Params = Params(), url: str = "url", label
     keys = (rules.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(often, "token")
             .groupBy("rule_tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
             .select("rule_tokens", F.col("rarest.token").alias("key")))
-    return rules.join(keys, "rule_tokens")
+    return needed(rules.join(keys, "rule_tokens"))
+
+
+def needed(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that a rule of fewer of their tokens makes needless. A
+    shorter rule stands under its key, which the longer one must hold."""
+    less = rules.select("key", F.col("rule_tokens").alias("less"), F.col("confidence").alias("as_sure"))
+    covered = (rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("key")).join(less, "key")
+               .where((F.size("less") < F.size("rule_tokens")) & (F.col("as_sure") >= F.col("confidence"))
+                      & (F.size(F.array_except("less", "rule_tokens")) == 0))
+               .select("rule_tokens"))
+    return rules.join(covered, "rule_tokens", "left_anti")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
