@@ -213,7 +213,7 @@ def test_toxicity_without_labels_rejects_nothing(spark):
 def test_lm_counts_scores_and_edges(spark):
     texts = ["the cat sat on the mat . " * 30] * 30 + ["cat the mat on . sat the " * 30, "zz qq xx yy", None, "", "the the"]
     given = docs(spark, texts)
-    model, counts = pll.fit(given, pll.Params(words=10, buckets=4, sample_tokens=20_000))
+    model, counts = pll.fit(given, pll.Params(words=10, sample_tokens=20_000))
     plain = {}
     for t in texts:
         for w in pll.tokens_of(t):
@@ -223,10 +223,14 @@ def test_lm_counts_scores_and_edges(spark):
     assert got[0].mean_log_prob > got[30].mean_log_prob + 0.5      # order matters, from both sides
     assert abs(got[0].log_prob - got[1].log_prob) < 1e-2 and got[0].n_tokens == 210
     assert got[32].n_tokens == 0 and got[32].log_prob == 0 and got[33].mean_log_prob is None
-    whole = pll.Codes(model.number, model.buckets).of("the cat sat")
+    whole = pll.Codes(model.classes(), model.forms).of("the zz never")
     line, places = pll.joined([whole], 3)
-    z = pll.hidden(model, line, places, 3) @ model.out + model.bias
-    want = (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(3), whole].sum()
+    h = pll.hidden(model, line, places, 3)
+    groups, z = np.exp(h @ model.top + model.lean), np.exp(h @ model.out + model.bias)
+    inside = z.reshape(3, -1, pll.GROUP)
+    p = (groups / groups.sum(axis=1, keepdims=True))[:, :, None] * inside / inside.sum(axis=2, keepdims=True)
+    assert np.allclose(p.sum(axis=(1, 2)), 1)
+    want = np.log(p.reshape(3, -1)[np.arange(3), whole]).sum()
     assert abs(pll.log_probabilities(model, [whole], 3)[0] - want) < 1e-4
     hidden = pll.hidden(model, line, places, 3)
     line[places[1]] = 1 + line[places[1]] % 5                       # a token doesn't see itself
@@ -242,22 +246,25 @@ def test_lm_gives_every_word_its_own_probability(spark, monkeypatch, known):
     r = random.Random(4)
     texts = [" ".join(r.choice(["the", "of", *(f"w{k}" for k in range(i % 40))]) for _ in range(60)) for i in range(80)]
     given = docs(spark, [*texts, *texts[:3], None])
-    model, counts = pll.fit(given, pll.Params(words=2, buckets=3))
+    model, counts = pll.fit(given, pll.Params(words=2))
     n = {c.word: c.n for c in counts.collect()}
-    words = [*n, "never"]
+    new = ["?", "77777", "q7", *("q" * (3 * k + 1) for k in range(5)), *("\u00e9" * (3 * k + 1) for k in range(5))]
+    assert [pll.form(w) for w in new] == list(range(pll.FORMS)) and not set(new) & set(n)
+    words = [*n, *new]
     got = pll.score(docs(spark, words), model, out="found").collect()
     p = {words[x.doc_id]: np.exp(x.found.log_prob) for x in got}
-    bucket = pll.Codes(model.number, model.buckets)
+    own_class = pll.Codes(model.classes(), model.forms)
     groups = {}
     for w in n:
-        groups.setdefault(bucket[w], []).append(w)
-    for c, own in groups.items():               # in a bucket, words stand to each other as their counts do
+        groups.setdefault(own_class[w][0], []).append(w)
+    for c, own in groups.items():               # in a class, words stand to each other as their counts do
         assert np.allclose([p[w] / p[own[0]] for w in own], [n[w] / n[own[0]] for w in own])
+        if c >= model.forms:                    # and a new word of their form like one that is seen once
+            assert np.isclose(p[new[c - model.forms]], p[own[0]] / n[own[0]])
+        elif c > len(model.number):             # words of about one count
+            assert max(n[w] for w in own) < 1.5 * min(n[w] for w in own)
     assert len({round(np.log(p[w]), 6) for own in groups.values() for w in own}) > 20
-    fresh = {c: p[own[0]] / n[own[0]] for c, own in groups.items() if c > len(model.number)}
-    assert np.isclose(p["never"], fresh[bucket["never"]])
-    total = sum(p[w] for w in n) + sum(fresh.values())       # all words, and a new one in each bucket
-    assert 1 - 1e-3 < total <= 1 + 1e-6                      # the boundary's class has the rest
+    assert 1 - 1e-3 < sum(p.values()) <= 1 + 1e-6            # all words, and a new one of each form
     copies = {x.doc_id: x.found.log_prob for x in pll.score(given, model, out="found").collect()}
     assert abs(copies[0] - copies[80]) < 1e-3 and len(copies) == 84
 
@@ -272,3 +279,38 @@ def test_lm_learns_from_documents_outside_the_sample(spark):
     alone = np.mean([np.log(n[w] / sum(n.values())) for w in ("xa", "xb", "xc", "xd")])
     got = {x.doc_id: x.found for x in pll.score(given, model, out="found").collect()}
     assert got[130].mean_log_prob > alone + 0.5
+
+
+def test_lm_gradients_equal_differences():
+    r = np.random.RandomState(5)
+    m = pll.Model({}, {}, {}, 1, r.normal(0, 0.5, (4, 32, 3)), r.normal(0, 0.5, 3), r.normal(0, 0.5, (3, 2)),
+                  r.normal(0, 0.5, 2), r.normal(0, 0.5, (3, 32)), r.normal(0, 0.5, 32), np.zeros(32))
+    line, places = pll.joined([r.randint(1, 32, 9), r.randint(1, 32, 1)], 2)
+
+    def loss():
+        order, parts = pll.by_group(m, line, places)
+        return -pll.predict(m, line, places[order], parts, 2)[-1].mean()
+
+    grads = pll.Steps(m, 2, 0.01, 16).gradients(line, places)
+    for k in pll.Steps.NAMES:
+        value = getattr(m, k)
+        for at in [tuple(r.randint(d) for d in value.shape) for _ in range(12)]:
+            kept = value[at]
+            value[at] = kept + 1e-2
+            up = loss()
+            value[at] = kept - 1e-2
+            down = loss()
+            value[at] = kept
+            assert abs((up - down) / 2e-2 - grads[k][at]) < 1e-4, k
+
+
+def test_lm_reads_pieces_as_whole_texts_and_draws_bounded_windows():
+    texts = [*ODD, "a\x1cb\u2028c\u00a0d e\u200bf", "\u0130stanbul \u03a3\u03a3 \u03a3.", "x" * 70 + " y " + "z-" * 50]
+    codes = pll.Codes({"a": 1, "x": 2}, 3)
+    for t in texts:
+        words = pll.tokens_of(t)
+        assert codes.of(t).tolist() == [{"a": 1, "x": 2}.get(w) or 3 + pll.form(w) for w in words]
+        assert codes.rare_of(t) == pll.Counter(w for w in words if w not in ("a", "x"))
+    line = np.arange(1, 10_001)
+    assert pll.drawn(line, 3, 40, 1).shape == (280,)
+    assert pll.drawn(line[:2], 1, 40, 1).tolist() == [0, 1, 2, 1, 2, 0] and len(pll.drawn(line[:0], 3, 40, 1)) == 0

@@ -3,23 +3,28 @@
 Each token of a text is predicted from the ``side`` tokens before and after it,
 itself hidden, by a small window network trained in numpy:
 
-    h = tanh(sum of position-wise embeddings + a),   P = softmax(h W + b)
+    h = tanh(sum of position-wise embeddings + a)
+    P(class | both sides) = softmax(h T + t)[group] * softmax(h W_group + b_group)[class]
 
 A document's score is the sum of the log probabilities of all its tokens.
 Tokens are lower-cased words and single marks. The vocabulary is every word of the
-corpus, counted in Spark. The network predicts classes: the most frequent words
-are classes of their own, the others share ``buckets`` by hash, and
-
-    P(token) = P(class | both sides) * P(word | class),   P(word | class) = n / (N + 1)
-
-with n the word's count in the corpus and N that of its class; the 1 is for a word
-that the counts don't hold. A frequent word alone in its class has P(word | class) 1.
-Counts of the ``KNOWN`` next words go to the tasks; what else a text holds is
-joined with the count table on the word. The output bias starts at the corpus's
-log frequencies. A bounded sample of documents (about ``sample_docs``, drawn with a
-fixed seed) gives the network its start; then every token of every document trains
+corpus, counted in Spark, in classes by frequency: the most frequent words are classes
+of their own, the ``KNOWN`` next ones share a class with the words of about their count
+(half an octave), all others one with the words of their form (marks, numbers, letters
+by length). Classes stand in order of frequency, ``GROUP`` behind each other in a group,
+so a token costs two short softmaxes. Then
+
+    P(token) = P(class | both sides) * P(word | class),   P(word | class) = n / N
+
+with n the word's count in the corpus and N that of its class (N + 1 in the classes by
+form; the 1 is for a word that the counts don't hold). Counts of the known words go to
+the tasks; what else a text holds is joined with the count table on the word. The
+biases start at the corpus's log frequencies. A sample bounded in documents (about
+``sample_docs``, drawn with a fixed seed) and in windows (``sample_tokens``, as many from
+each document) gives the network its start; then every token of every document trains
 it: each task takes steps over its documents from that start, and the networks that
-the tasks arrive at are averaged, weighted by their tokens.
+the tasks arrive at are averaged, weighted by their tokens. So scores depend a little
+on how the rows lie in partitions.
 
 Defined results
   null or empty text    no tokens: score 0, mean null
@@ -28,18 +33,20 @@ Defined results
   ties in counts        the word that sorts first gets the smaller number
   repeated rows         count as often as they stand; equal texts score alike, up
                         to rounding
-  new words             count as one word seen once in their bucket
+  new words             count as one word seen once in the class of their form
   empty table           empty result
   extra columns         kept by ``score``
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,19 +56,24 @@ from pyspark.sql import functions as F
 from .common import col, free_name, small_batches, stored
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-BLOCK = 1 << 11       # tokens scored at once: their logits stay in the cache
-HELD = 300_000        # distinct words a task counts before it passes them on
+DIGIT = re.compile(r"\d")
+GROUP = 16            # classes of a group
+FORMS = 13            # classes by form
+BLOCK = 1 << 13       # tokens scored at once
+HELD = 300_000        # distinct blank-delimited pieces a task holds
+HELD_CHARS = 1 << 25  # characters of text a task counts before it passes its words on
+LONG = 64             # characters of the longest piece that is held
 KNOWN = 200_000       # words whose counts go to the tasks; the others are joined
+UNUSED = -30.0        # bias of numbers that no token has
 
 
 @dataclass(frozen=True)
 class Params:
-    words: int = 159          # words with numbers of their own
-    buckets: int = 32         # numbers the other words share
+    words: int = 159          # words with classes of their own
     side: int = 3             # tokens seen on each side
     width: int = 16
     sample_docs: int = 2_000  # bound of the sample the network starts from (expected number)
-    sample_tokens: int = 200_000   # windows drawn from it for each pass
+    sample_tokens: int = 200_000   # bound of the windows drawn from it
     passes: int = 3
     rate: float = 0.01
     rounds: int = 1           # passes over all documents after the start
@@ -70,45 +82,77 @@ class Params:
 
 @dataclass
 class Model:
-    number: dict[str, int]   # of the frequent words; 0 is the boundary
-    buckets: int
+    number: dict[str, int]   # classes of the frequent words; 0 is the boundary
+    known: dict[str, int]    # counts of the next frequent words
+    bands: dict[int, int]    # their classes, by band of the count
+    forms: int               # class of form 0; the other forms follow
     embed: np.ndarray        # (2 side, numbers, width)
     shift: np.ndarray
-    out: np.ndarray
+    top: np.ndarray          # (width, groups)
+    lean: np.ndarray
+    out: np.ndarray          # (width, numbers): those of a group side by side
     bias: np.ndarray
-    totals: np.ndarray       # by class: log(N + 1) of a bucket, 0 of a frequent word
-    known: dict[str, int]    # counts of the next frequent words
-    counts: DataFrame        # (word, n) of the words that are in neither
+    totals: np.ndarray       # by class: log N, 0 of a frequent word
+    counts: DataFrame | None = None   # (word, n) of the words that are in neither
 
     @property
     def numbers(self) -> int:
         return len(self.bias)
 
+    def classes(self) -> dict[str, int]:
+        return {**self.number, **{w: self.bands[band(n)] for w, n in self.known.items()}}
+
     def shared(self) -> dict:
         """What tasks need of it; its size is set by Params and KNOWN."""
         return {k: v for k, v in vars(self).items() if k != "counts"}
 
 
+def band(n: int) -> int:
+    return math.floor(2 * math.log2(n))
+
+
+def form(word: str) -> int:
+    """Marks, numbers, words with digits, then letters by length, those outside ASCII apart."""
+    if not (word[0].isalnum() or word[0] == "_"):
+        return 0
+    if DIGIT.search(word):
+        return 1 if word.isdecimal() else 2
+    return (3 if word.isascii() else 8) + min((len(word) - 1) // 3, 4)
+
+
 class Codes(dict):
-    """token -> number: its own, that in ``known``, or that of its bucket; forgets all
-    when too large."""
+    """Blank-delimited piece -> numbers of its tokens, by ``index`` or from ``forms`` on by
+    form; no token goes across a blank. ``rare`` has the words of a piece that are numbered
+    by form. Forgets all between texts when too large."""
 
-    def __init__(self, number: dict[str, int], buckets: int, known: dict[str, int] | None = None) -> None:
+    def __init__(self, index: dict[str, int], forms: int) -> None:
         super().__init__()
-        self.number, self.buckets, self.known = number, buckets, known or {}
+        self.index, self.forms, self.rare = index, forms, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        words = TOKEN.findall(piece)
+        found = tuple([self.index.get(w) or self.forms + form(w) for w in words])
+        if len(piece) <= LONG:
+            self[piece] = found
+            rare = [w for w in words if w not in self.index]
+            if rare:
+                self.rare[piece] = rare
+        return found
 
-    def __missing__(self, token: str) -> int:
+    def of(self, text: str | None) -> np.ndarray:
         if len(self) > HELD:
             self.clear()
-        n = self.number.get(token) or self.known.get(token) or self.bucket(token)
-        self[token] = n
-        return n
+            self.rare.clear()
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces_of(text))), dtype=np.int64)
 
-    def bucket(self, token: str) -> int:
-        return len(self.number) + 1 + zlib.crc32(token.encode()) % self.buckets
+    def rare_of(self, text: str | None) -> Counter:
+        """Its words that are numbered by form, just after ``of`` the same text."""
+        long = (w for p in pieces_of(text) if len(p) > LONG for w in TOKEN.findall(p) if w not in self.index)
+        return Counter(chain(long, *(self.rare[p] for p in pieces_of(text) if p in self.rare)))
 
-    def of(self, text: str | None) -> np.ndarray:
-        return np.array([self[t] for t in tokens_of(text)], dtype=np.int64)
+
+def pieces_of(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -116,18 +160,27 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over every token of the corpus; tasks combine before the shuffle."""
+    """(word, n) over every token of the corpus; tasks combine before the shuffle and split
+    each distinct piece once."""
     small_batches(docs.sparkSession)
 
+    def words_of(held: Counter) -> pd.DataFrame:
+        words: Counter = Counter()
+        for piece, n in held.items():
+            for w in TOKEN.findall(piece):
+                words[w] += n
+        return pd.DataFrame(words.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
+
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        held, chars = Counter(), 0
         for part in parts:
             for body in part["body"]:
-                held.update(tokens_of(body))
-                if len(held) > HELD:
-                    yield pd.DataFrame(held.items(), columns=["word", "n"])
-                    held = Counter()
-        yield pd.DataFrame(held.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
+                held.update(pieces_of(body))
+                chars += len(body or "")
+                if len(held) > HELD or chars > HELD_CHARS:
+                    yield words_of(held)
+                    held, chars = Counter(), 0
+        yield words_of(held)
 
     return (docs.select(col(text).alias("body")).mapInPandas(count, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -148,10 +201,43 @@ def hidden(m: Model, line: np.ndarray, places: np.ndarray, side: int) -> np.ndar
     return np.tanh(h, out=h)
 
 
+def chosen(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log softmax of each column of ``z`` at its row ``own``; ``z`` becomes the softmax."""
+    z -= z.max(axis=0)
+    log = z[own, np.arange(len(own))]
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    z /= total
+    return log - np.log(total)
+
+
+def by_group(m: Model, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, slice]]]:
+    """(places in order of their group, (group, its places, its numbers) for those that occur)."""
+    group = (line[at] // GROUP).astype(np.int16)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=m.numbers // GROUP)).tolist()
+    parts = [(g, slice(a, b), slice(g * GROUP, (g + 1) * GROUP))
+             for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+    return order, parts
+
+
+def predict(m: Model, line: np.ndarray, at: np.ndarray, parts: list, side: int) -> tuple[np.ndarray, ...]:
+    """(h, P of groups, P in the group, log P) for places ``at`` in order of their group."""
+    y = line[at]
+    h = hidden(m, line, at, side)
+    groups = m.top.T @ h.T
+    groups += m.lean[:, None]
+    inside = np.empty((GROUP, len(at)), dtype=np.float32)
+    for _, rows, own in parts:
+        inside[:, rows] = m.out[:, own].T @ h[rows].T
+        inside[:, rows] += m.bias[own, None]
+    return h, groups, inside, chosen(groups, y // GROUP) + chosen(inside, y % GROUP)
+
+
 class Steps:
     """Adam on a model, changed in place; gradients by hand."""
 
-    NAMES = ("embed", "shift", "out", "bias")
+    NAMES = ("embed", "shift", "top", "lean", "out", "bias")
 
     def __init__(self, m: Model, side: int, rate: float, batch: int) -> None:
         self.m, self.side, self.rate, self.batch, self.step = m, side, rate, batch, 0
@@ -162,50 +248,70 @@ class Steps:
         for a in range(0, len(places), self.batch):
             self.take(line, places[a:a + self.batch])
 
-    def take(self, line: np.ndarray, at: np.ndarray) -> None:
-        m, row, y = self.m, np.arange(len(at)), line[at]
-        h = hidden(m, line, at, self.side)
-        dz = h @ m.out
-        dz += m.bias
-        dz -= dz.max(axis=1, keepdims=True)
-        np.exp(dz, out=dz)
-        dz *= 1 / (len(y) * dz.sum(axis=1, keepdims=True))
-        dz[row, y] -= np.float32(1 / len(y))
-        dh = (dz @ m.out.T) * (1 - h * h)
-        grads = {"out": h.T @ dz, "bias": dz.sum(axis=0), "shift": dh.sum(axis=0), "embed": np.empty_like(m.embed)}
+    def gradients(self, line: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of the tokens at ``at``."""
+        m = self.m
+        order, parts = by_group(m, line, at)
+        at = at[order]
+        h, groups, inside, _ = predict(m, line, at, parts, self.side)
+        y, row = line[at], np.arange(len(at))
+        for z, own in (groups, y // GROUP), (inside, y % GROUP):
+            z[own, row] -= 1
+            z *= np.float32(1 / len(at))
+        dh = groups.T @ m.top.T
+        grads = {"top": h.T @ groups.T, "lean": groups.sum(axis=1), "out": np.zeros_like(m.out),
+                 "bias": np.zeros_like(m.bias), "embed": np.empty_like(m.embed)}
+        for _, rows, own in parts:
+            dh[rows] += inside[:, rows].T @ m.out[:, own].T
+            grads["out"][:, own] = (inside[:, rows] @ h[rows]).T
+            grads["bias"][own] = inside[:, rows].sum(axis=1)
+        dh *= 1 - h * h
+        grads["shift"] = dh.sum(axis=0)
         columns = np.ascontiguousarray(dh.T, dtype=np.float64)
         for i, back in enumerate([*range(-self.side, 0), *range(1, self.side + 1)]):
             near = line[at + back]
             for k, column in enumerate(columns):
                 grads["embed"][i, :, k] = np.bincount(near, weights=column, minlength=m.numbers)
+        return grads
+
+    def take(self, line: np.ndarray, at: np.ndarray) -> None:
+        grads = self.gradients(line, at)
         self.step += 1
         for k in self.NAMES:
             self.first[k] += 0.1 * (grads[k] - self.first[k])
             self.second[k] += 0.001 * (grads[k] ** 2 - self.second[k])
-            value = getattr(m, k)
+            value = getattr(self.m, k)
             value -= (self.rate * (self.first[k] / (1 - 0.9 ** self.step))
                       / (np.sqrt(self.second[k] / (1 - 0.999 ** self.step)) + 1e-8)).astype(np.float32)
 
 
-def train(m: Model, texts: list[np.ndarray], p: Params) -> None:
+def drawn(codes: np.ndarray, side: int, limit: int, seed: int) -> np.ndarray:
+    """At most ``limit`` windows of a text, behind each other: each has a token and its sides."""
+    line, places = joined([codes], side)
+    if len(places) > limit:
+        places = np.random.RandomState(seed).choice(places, limit, replace=False)
+    return line[places[:, None] + np.arange(-side, side + 1)].astype(np.int16).ravel()
+
+
+def train(m: Model, windows: np.ndarray, p: Params) -> None:
     """Passes over shuffled windows of the sample."""
-    random = np.random.RandomState(p.seed)
-    line, places = joined(texts, p.side)
+    random, size = np.random.RandomState(p.seed), 2 * p.side + 1
     steps = Steps(m, p.side, p.rate, 512)
+    places = np.arange(p.side, len(windows), size)
     for _ in range(p.passes):
-        steps.over(line, places[random.permutation(len(places))[:p.sample_tokens]])
+        steps.over(windows, random.permutation(places))
 
 
 def train_round(docs: DataFrame, m: Model, p: Params) -> None:
     """One pass over all of ``docs`` (a column body): the mean of the tasks' networks."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast({**m.shared(), "known": {}})
+    shared = docs.sparkSession.sparkContext.broadcast(m.shared())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(**shared.value, counts=None)
+        own = Model(**shared.value)
         for k in Steps.NAMES:
             setattr(own, k, getattr(own, k).copy())   # tasks of a worker share what is broadcast
-        codes, steps = Codes(own.number, own.buckets), Steps(own, p.side, p.rate, 1024)
+        codes, steps = Codes(own.classes(), own.forms), Steps(own, p.side, p.rate, 2048)
         random, n = np.random.RandomState(p.seed), 0
         for part in parts:
             line, places = joined([codes.of(t) for t in part["body"]], p.side)
@@ -248,51 +354,65 @@ def fit(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple
     counts = stored(word_counts(docs, text), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(p.words).collect()
     number = {r["word"]: i + 1 for i, r in enumerate(top)}
-    first = len(number) + 1
-    rest = (counts.where(~F.col("word").isin(list(number)))
-            .groupBy((F.crc32(F.col("word").cast("binary")) % p.buckets).cast("int").alias("bucket"))
-            .agg(F.sum("n").alias("n")).collect())
-    share = np.zeros(p.buckets)
-    for r in rest:
-        share[r["bucket"]] = r["n"]
-    n = np.concatenate([[0.0], [r["n"] for r in top], share]) + 0.5
-    random = np.random.RandomState(p.seed)
     known, others = known_words(counts.where(~F.col("word").isin(list(number))))
-    model = Model(number, p.buckets,
-                  random.normal(0, 0.1, (2 * p.side, first + p.buckets, p.width)).astype(np.float32),
-                  np.zeros(p.width, dtype=np.float32),
-                  random.normal(0, 0.1, (p.width, first + p.buckets)).astype(np.float32),
-                  np.log(n / n.sum()).astype(np.float32),
-                  np.concatenate([np.zeros(first), np.log(share + 1)]), known, others)
+    sums: Counter = Counter()
+    for n in known.values():
+        sums[band(n)] += n
+    bands = {b: len(number) + 1 + i for i, b in enumerate(sorted(sums, reverse=True))}
+    forms = len(number) + 1 + len(bands)
+
+    @F.pandas_udf("int")
+    def form_of(words: pd.Series) -> pd.Series:
+        return words.map(form)
+
+    unknown = dict(others.groupBy(form_of("word").alias("form")).agg(F.sum("n").alias("n")).collect())
+    groups = -(-(forms + FORMS) // GROUP)
+    n = np.concatenate([[0.0], [r["n"] for r in top], [sums[b] for b in bands],
+                        [unknown.get(f, 0) + 1 for f in range(FORMS)]])
+    bias = np.full(groups * GROUP, UNUSED)
+    bias[1:len(n)] = np.log(n[1:])
+    totals = np.zeros(len(bias))
+    totals[len(number) + 1:len(n)] = np.log(n[len(number) + 1:])
+    lean = np.logaddexp.reduce(bias.reshape(groups, GROUP), axis=1)
+    random = np.random.RandomState(p.seed)
 
-    @F.pandas_udf("array<short>")
-    def numbers(texts: pd.Series) -> pd.Series:
-        codes = Codes(number, p.buckets)
-        return texts.map(lambda t: codes.of(t).astype(np.int16))
+    def small(*shape: int) -> np.ndarray:
+        return random.normal(0, 0.1, shape).astype(np.float32)
 
+    model = Model(number, known, bands, forms, small(2 * p.side, len(bias), p.width), np.zeros(p.width, dtype=np.float32),
+                  small(p.width, groups), (lean - np.logaddexp.reduce(lean)).astype(np.float32),
+                  small(p.width, len(bias)), (bias - np.repeat(lean, GROUP)).astype(np.float32), totals, others)
     body = col(text)
     some = docs.where(body.isNotNull() & (body != "")).select(body.alias("body"))
-    share = p.sample_docs / max(1, some.count())   # a share of the rows, so that no text is moved to be ordered
-    sample = some.where(F.rand(p.seed) < share).select(numbers("body").alias("codes")).toPandas()
-    texts = [np.asarray(c, dtype=np.int64) for c in sample["codes"]]
-    if any(len(c) for c in texts):
-        train(model, texts, p)
+    rows = some.count()
+    share = p.sample_docs / max(1, rows)   # a share of the rows, so that no text is moved to be ordered
+    limit = p.sample_tokens // max(1, min(p.sample_docs, rows))
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
+
+    @F.pandas_udf("array<short>")
+    def windows(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Model(**shared.value)
+        codes = Codes(m.classes(), m.forms)
+        for texts in parts:
+            yield texts.map(lambda t: drawn(codes.of(t), p.side, limit, zlib.crc32(t.encode()) ^ p.seed))
+
+    sample = some.where(F.rand(p.seed) < share).select(windows("body").alias("codes")).toPandas()
+    line = np.concatenate([np.zeros(0), *sample["codes"]]).astype(np.int64)
+    if len(line):
+        train(model, line, p)
     for _ in range(p.rounds):
         train_round(some, model, p)
     return model, counts
 
 
 def log_probabilities(m: Model, codes: list[np.ndarray], side: int) -> np.ndarray:
-    """Per text the summed log P of its tokens, each from both sides."""
+    """Per text the summed log P of its tokens' classes, each from both sides."""
     line, places = joined(codes, side)
     each = np.empty(len(places))
     for a in range(0, len(places), BLOCK):
         at = places[a:a + BLOCK]
-        z = hidden(m, line, at, side) @ m.out
-        z += m.bias
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(at)), line[at]]
-        each[a:a + BLOCK] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        order, parts = by_group(m, line, at)
+        each[a + order] = predict(m, line, at[order], parts, side)[-1]
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     total, some = np.zeros(len(codes)), sizes > 0
     if some.any():
@@ -309,20 +429,19 @@ def score(docs: DataFrame, model: Model, params: Params = Params(), text: str =
 
     @F.pandas_udf("log_prob double, n_tokens long, rest array<struct<word:string,times:int>>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = Model(**shared.value, counts=None)
-        codes = Codes(m.number, m.buckets, {w: m.numbers + i for i, w in enumerate(m.known)})
-        of = np.array([*range(m.numbers), *map(codes.bucket, m.known)], dtype=np.int64)
+        m = Model(**shared.value)
+        codes = Codes({**m.number, **{w: m.numbers + i for i, w in enumerate(m.known)}}, m.forms)
+        of = np.array([*range(m.numbers), *(m.bands[band(n)] for n in m.known.values())], dtype=np.int64)
         own = np.concatenate([np.zeros(m.numbers), np.log([*m.known.values()])]) - m.totals[of]   # log P(word | class)
         for texts in parts:
             sums, n, classes, rest = [], [], [], []
             for t in texts:
-                words = tokens_of(t)
-                at = np.array([codes[w] for w in words], dtype=np.int64)
-                joint = np.flatnonzero((at > len(m.number)) & (at < m.numbers)).tolist()   # words to be joined
-                rest.append([{"word": w, "times": k} for w, k in Counter(words[i] for i in joint).items()])
+                at = codes.of(t)
+                joint = ((at >= m.forms) & (at < m.numbers)).any()   # it holds words to be joined
+                rest.append([{"word": w, "times": k} for w, k in codes.rare_of(t).items()] if joint else [])
                 classes.append(of[at])
                 sums.append(own[at].sum())
-                n.append(len(words))
+                n.append(len(at))
             yield pd.DataFrame({"log_prob": log_probabilities(m, classes, params.side) + np.array(sums),
                                 "n_tokens": n, "rest": rest})
 
