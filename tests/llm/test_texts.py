@@ -306,11 +306,13 @@ def test_lm_gradients_equal_differences():
 
 def test_lm_reads_pieces_as_whole_texts_and_draws_bounded_windows():
     texts = [*ODD, "a\x1cb\u2028c\u00a0d e\u200bf", "\u0130stanbul \u03a3\u03a3 \u03a3.", "x" * 70 + " y " + "z-" * 50]
-    codes = pll.Codes({"a": 1, "x": 2}, 3)
+    codes, apart = pll.Codes({"a": 1, "x": 2}, 3), pll.Named({"a": 1, "x": 2}, 3)
     for t in texts:
         words = pll.tokens_of(t)
         assert codes.of(t).tolist() == [{"a": 1, "x": 2}.get(w) or 3 + pll.form(w) for w in words]
-        assert codes.rare_of(t) == pll.Counter(w for w in words if w not in ("a", "x"))
+        named = apart.of(t)
+        assert apart.others(named) == pll.Counter(w for w in words if w not in ("a", "x"))
+        assert np.where(named < 3, named, 3 + (named - 3) % pll.GROUP).tolist() == codes.of(t).tolist()
     line = np.arange(1, 10_001)
     assert pll.drawn(line, 3, 40, 1).shape == (280,)
     assert pll.drawn(line[:2], 1, 40, 1).tolist() == [0, 1, 2, 1, 2, 0] and len(pll.drawn(line[:0], 3, 40, 1)) == 0

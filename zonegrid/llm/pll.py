@@ -43,10 +43,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,7 +59,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 DIGIT = re.compile(r"\d")
 GROUP = 16            # classes of a group
 FORMS = 13            # classes by form
-BLOCK = 1 << 13       # tokens scored at once
+BLOCK = 1 << 11       # tokens scored at once
 HELD = 300_000        # distinct blank-delimited pieces a task holds
 HELD_CHARS = 1 << 25  # characters of text a task counts before it passes its words on
 LONG = 64             # characters of the longest piece that is held
@@ -121,34 +121,54 @@ def form(word: str) -> int:
 
 
 class Codes(dict):
-    """Blank-delimited piece -> numbers of its tokens, by ``index`` or from ``forms`` on by
-    form; no token goes across a blank. ``rare`` has the words of a piece that are numbered
-    by form. Forgets all between texts when too large."""
+    """Blank-delimited piece -> numbers of its tokens (the bytes of an int32 array), by
+    ``index`` or from ``forms`` on by form; no token goes across a blank. Forgets all
+    between texts when too large."""
 
     def __init__(self, index: dict[str, int], forms: int) -> None:
         super().__init__()
-        self.index, self.forms, self.rare = index, forms, {}
+        self.index, self.forms = index, forms
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        words = TOKEN.findall(piece)
-        found = tuple([self.index.get(w) or self.forms + form(w) for w in words])
+    def __missing__(self, piece: str) -> bytes:
+        found = array("i", [self.index.get(w) or self.other(w) for w in split(piece)]).tobytes()
         if len(piece) <= LONG:
             self[piece] = found
-            rare = [w for w in words if w not in self.index]
-            if rare:
-                self.rare[piece] = rare
         return found
 
+    def other(self, word: str) -> int:
+        return self.forms + form(word)
+
     def of(self, text: str | None) -> np.ndarray:
         if len(self) > HELD:
             self.clear()
-            self.rare.clear()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces_of(text))), dtype=np.int64)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces_of(text))), dtype=np.int32)
+
+
+class Named(Codes):
+    """Numbers words outside ``index`` apart, from ``forms`` on, ``GROUP`` for each: its form
+    is added, and ``words`` holds them until the next text."""
+
+    def __init__(self, index: dict[str, int], forms: int) -> None:
+        super().__init__(index, forms)
+        self.words: list[str] = []
+
+    def other(self, word: str) -> int:
+        self.words.append(word)
+        return self.forms + GROUP * (len(self.words) - 1) + form(word)
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > HELD or len(self.words) > HELD:
+            self.clear()
+            self.words = []
+        return super().of(text)
+
+    def others(self, numbers: np.ndarray) -> Counter:
+        """The words outside ``index`` among ``numbers``, those of the last text."""
+        return Counter(self.words[k] for k in ((numbers[numbers >= self.forms] - self.forms) // GROUP).tolist())
+
 
-    def rare_of(self, text: str | None) -> Counter:
-        """Its words that are numbered by form, just after ``of`` the same text."""
-        long = (w for p in pieces_of(text) if len(p) > LONG for w in TOKEN.findall(p) if w not in self.index)
-        return Counter(chain(long, *(self.rare[p] for p in pieces_of(text) if p in self.rare)))
+def split(piece: str) -> list[str]:
+    return [piece] if piece.isalnum() else TOKEN.findall(piece)
 
 
 def pieces_of(text: str | None) -> list[str]:
@@ -167,7 +187,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def words_of(held: Counter) -> pd.DataFrame:
         words: Counter = Counter()
         for piece, n in held.items():
-            for w in TOKEN.findall(piece):
+            for w in split(piece):
                 words[w] += n
         return pd.DataFrame(words.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
 
@@ -194,21 +214,25 @@ def joined(codes: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden(m: Model, line: np.ndarray, places: np.ndarray, side: int) -> np.ndarray:
-    """tanh of what stands around each place, without what stands there."""
-    h = np.tile(m.shift, (len(places), 1))
+    """tanh of what stands around each place, without what stands there; the places lie in
+    a run of the line."""
+    a, b, width = places.min(), places.max() + 1, len(m.shift)
+    every = m.embed.transpose(1, 0, 2).reshape(m.numbers, -1).take(line[a - side:b + side], axis=0)
+    h = np.tile(m.shift, (b - a, 1))
     for i, back in enumerate([*range(-side, 0), *range(1, side + 1)]):
-        h += m.embed[i][line[places + back]]
+        h += every[side + back:side + back + b - a, i * width:(i + 1) * width]
+    h = h.take(places - a, axis=0)
     return np.tanh(h, out=h)
 
 
-def chosen(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log softmax of each column of ``z`` at its row ``own``; ``z`` becomes the softmax."""
+def chosen(z: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log softmax of each column of ``z`` at its row ``own``; ``z`` becomes the softmax but
+    for a factor, its columns' sums, which are returned second."""
     z -= z.max(axis=0)
     log = z[own, np.arange(len(own))]
     np.exp(z, out=z)
     total = z.sum(axis=0)
-    z /= total
-    return log - np.log(total)
+    return log - np.log(total), total
 
 
 def by_group(m: Model, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, slice]]]:
@@ -222,16 +246,18 @@ def by_group(m: Model, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, li
 
 
 def predict(m: Model, line: np.ndarray, at: np.ndarray, parts: list, side: int) -> tuple[np.ndarray, ...]:
-    """(h, P of groups, P in the group, log P) for places ``at`` in order of their group."""
+    """(h, weights of the groups, their sums, weights in the group, their sums, log P) for
+    places ``at`` in order of their group; P is a weight by its sum."""
     y = line[at]
     h = hidden(m, line, at, side)
     groups = m.top.T @ h.T
     groups += m.lean[:, None]
     inside = np.empty((GROUP, len(at)), dtype=np.float32)
     for _, rows, own in parts:
-        inside[:, rows] = m.out[:, own].T @ h[rows].T
-        inside[:, rows] += m.bias[own, None]
-    return h, groups, inside, chosen(groups, y // GROUP) + chosen(inside, y % GROUP)
+        np.add(m.out[:, own].T @ h[rows].T, m.bias[own, None], out=inside[:, rows])
+    first, all_groups = chosen(groups, y // GROUP)
+    second, all_inside = chosen(inside, y % GROUP)
+    return h, groups, all_groups, inside, all_inside, first + second
 
 
 class Steps:
@@ -244,34 +270,43 @@ class Steps:
         self.first = {k: np.zeros_like(getattr(m, k)) for k in self.NAMES}
         self.second = {k: np.zeros_like(getattr(m, k)) for k in self.NAMES}
 
-    def over(self, line: np.ndarray, places: np.ndarray) -> None:
-        for a in range(0, len(places), self.batch):
-            self.take(line, places[a:a + self.batch])
+    def over(self, line: np.ndarray, places: np.ndarray, random: np.random.RandomState) -> None:
+        """Steps over runs of places, the runs in any order."""
+        for k in random.permutation(-(-len(places) // self.batch)):
+            self.take(line, places[k * self.batch:(k + 1) * self.batch])
 
     def gradients(self, line: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the tokens at ``at``."""
         m = self.m
         order, parts = by_group(m, line, at)
         at = at[order]
-        h, groups, inside, _ = predict(m, line, at, parts, self.side)
+        h, groups, all_groups, inside, all_inside, _ = predict(m, line, at, parts, self.side)
         y, row = line[at], np.arange(len(at))
-        for z, own in (groups, y // GROUP), (inside, y % GROUP):
-            z[own, row] -= 1
-            z *= np.float32(1 / len(at))
+        share = np.float32(1 / len(at))
+        for z, total, own in (groups, all_groups, y // GROUP), (inside, all_inside, y % GROUP):
+            z *= share / total
+            z[own, row] -= share
         dh = groups.T @ m.top.T
         grads = {"top": h.T @ groups.T, "lean": groups.sum(axis=1), "out": np.zeros_like(m.out),
-                 "bias": np.zeros_like(m.bias), "embed": np.empty_like(m.embed)}
+                 "bias": np.zeros_like(m.bias), "embed": np.zeros_like(m.embed)}
         for _, rows, own in parts:
             dh[rows] += inside[:, rows].T @ m.out[:, own].T
             grads["out"][:, own] = (inside[:, rows] @ h[rows]).T
             grads["bias"][own] = inside[:, rows].sum(axis=1)
         dh *= 1 - h * h
         grads["shift"] = dh.sum(axis=0)
-        columns = np.ascontiguousarray(dh.T, dtype=np.float64)
-        for i, back in enumerate([*range(-self.side, 0), *range(1, self.side + 1)]):
-            near = line[at + back]
-            for k, column in enumerate(columns):
-                grads["embed"][i, :, k] = np.bincount(near, weights=column, minlength=m.numbers)
+        a, b, width, side = at.min(), at.max() + 1, len(m.shift), self.side
+        spread = np.zeros((b - a, width), dtype=dh.dtype)
+        spread[at - a] = dh
+        wide = np.zeros((b - a + 2 * side, 2 * side * width), dtype=dh.dtype)
+        for i, back in enumerate([*range(-side, 0), *range(1, side + 1)]):
+            wide[side + back:side + back + b - a, i * width:(i + 1) * width] = spread
+        seen = line[a - side:b + side].astype(np.int16)
+        order = np.argsort(seen, kind="stable")
+        seen = seen[order]
+        starts = np.flatnonzero(np.diff(seen, prepend=-1))
+        sums = np.add.reduceat(wide.take(order, axis=0), starts, axis=0)
+        grads["embed"][:, seen[starts]] = sums.reshape(len(starts), 2 * side, width).transpose(1, 0, 2)
         return grads
 
     def take(self, line: np.ndarray, at: np.ndarray) -> None:
@@ -299,7 +334,7 @@ def train(m: Model, windows: np.ndarray, p: Params) -> None:
     steps = Steps(m, p.side, p.rate, 512)
     places = np.arange(p.side, len(windows), size)
     for _ in range(p.passes):
-        steps.over(windows, random.permutation(places))
+        steps.over(random.permutation(windows.reshape(-1, size)).ravel(), places, random)
 
 
 def train_round(docs: DataFrame, m: Model, p: Params) -> None:
@@ -315,7 +350,7 @@ def train_round(docs: DataFrame, m: Model, p: Params) -> None:
         random, n = np.random.RandomState(p.seed), 0
         for part in parts:
             line, places = joined([codes.of(t) for t in part["body"]], p.side)
-            steps.over(line, random.permutation(places))
+            steps.over(line, places, random)
             n += len(places)
         flat = np.concatenate([getattr(own, k).ravel() for k in Steps.NAMES] if n else [np.zeros(0)])
         yield pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "value": flat.astype(np.float64),
@@ -430,15 +465,18 @@ def score(docs: DataFrame, model: Model, params: Params = Params(), text: str =
     @F.pandas_udf("log_prob double, n_tokens long, rest array<struct<word:string,times:int>>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(**shared.value)
-        codes = Codes({**m.number, **{w: m.numbers + i for i, w in enumerate(m.known)}}, m.forms)
-        of = np.array([*range(m.numbers), *(m.bands[band(n)] for n in m.known.values())], dtype=np.int64)
-        own = np.concatenate([np.zeros(m.numbers), np.log([*m.known.values()])]) - m.totals[of]   # log P(word | class)
+        index = {w: i for i, w in enumerate([*m.number, *m.known], 1)}
+        codes, first = Named(index, len(index) + 1), len(index) + 1
+        of = np.array([0, *m.number.values(), *(m.bands[band(n)] for n in m.known.values()),
+                       *range(m.forms, m.forms + FORMS)], dtype=np.int64)
+        own = -m.totals[of]                                              # log P(word | class), or what
+        own[len(m.number) + 1:first] += np.log([*m.known.values()])      # the joined count adds to
         for texts in parts:
             sums, n, classes, rest = [], [], [], []
             for t in texts:
-                at = codes.of(t)
-                joint = ((at >= m.forms) & (at < m.numbers)).any()   # it holds words to be joined
-                rest.append([{"word": w, "times": k} for w, k in codes.rare_of(t).items()] if joint else [])
+                given = codes.of(t)
+                at = np.where(given < first, given, first + (given - first) % GROUP)
+                rest.append([{"word": w, "times": k} for w, k in codes.others(given).items()])
                 classes.append(of[at])
                 sums.append(own[at].sum())
                 n.append(len(at))
