@@ -207,3 +207,28 @@ def test_expressions_walk_like_the_model(spark, fitted):
     assert none.count() == 0
     frame = walk.node_frame(spark, forest).select("tree", "id", "feature").where(F.col("feature") >= 0)
     assert frame.count() == sum(int((t.feature >= 0).sum()) for t in forest.trees)
+
+
+def test_fits_run_in_partitions_of_their_rows(spark, monkeypatch):
+    """However many partitions the rows come in, a fit's tasks follow their number."""
+    import datetime as dt
+    rows = [(float(i % 7), float(i % 3), float(i % 7 - i % 3), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), 1)
+            for i in range(240)]
+    df = assemble(spark.createDataFrame(rows, "a double, b double, `Target_DER_t+15` double, Time_Bin timestamp_ntz, Zone long"),
+                  ["a", "b"]).repartition(40).cache()
+    seen, real = [], train.GBTRegressor.fit
+
+    def fit(self, data):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return real(self, data)
+    monkeypatch.setattr(train.GBTRegressor, "fit", fit)
+    p = ModelParams(n_estimators=2, max_depth=2, early_stopping_rounds=1, early_stopping_on="train_tail")
+    train.fit(df, p)
+    train.fit_with_stopping(df, None, p)
+    assert seen == [(1, 240), (1, 216), (1, 240)]
+    del seen[:]
+    train.cv_scores(df, p, 2, threads=1)
+    assert seen == [(1, 80), (1, 160)]
+    monkeypatch.setattr(train, "ROWS_PER_TASK", 100)
+    assert train.fit_rows(df).rdd.getNumPartitions() == 3 and train.fit_rows(df).count() == 240
+    assert train.fit_rows(df.limit(0)).rdd.getNumPartitions() <= 1

@@ -8,12 +8,16 @@ search is a distributed aggregation over the cached feature vectors.
   keep the best prefix unless it is followed by ``patience`` non-improving
   rounds, and cut the model to that many trees: there is no second fit.
 * Grid search: all fits of the bounded tail sample are one job (``boost``).
+* A tree takes a job a level, and each task of it sends its histograms of all open
+  nodes. Rows are fitted in partitions of ``ROWS_PER_TASK``, whatever the number of
+  partitions they were prepared in.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,7 @@ from . import boost
 
 
 DEFAULT_MAX_BINS = ModelParams().max_bins
+ROWS_PER_TASK = 50_000   # rows of one task of a fit; at 21 features some 10 MB
 
 
 def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int,
@@ -34,6 +39,11 @@ def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int,
                         seed=int(seed), lossType="squared", maxBins=int(max_bins))
 
 
+def fit_rows(rows: DataFrame) -> DataFrame:
+    """``features`` and ``label`` of all rows, in no more partitions than their number asks for."""
+    return rows.select("features", "label").coalesce(max(1, ceil(rows.count() / ROWS_PER_TASK)))
+
+
 def best_with_patience(errors: list[float], patience: int) -> int:
     """Number of trees to keep: best prefix, stopping after ``patience`` misses."""
     best, best_err = 0, float("inf")
@@ -70,7 +80,7 @@ class FitResult:
 def fit(train: DataFrame, params: ModelParams, stop_on: DataFrame | None = None) -> FitResult:
     """Fit with optional patience-based early stopping on ``stop_on``."""
     est = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed, params.max_bins)
-    model = est.fit(train)
+    model = est.fit(fit_rows(train))
     errors: list = []
     keep = params.n_estimators
     if stop_on is not None and params.early_stopping_rounds > 0:
@@ -98,7 +108,7 @@ def fit_with_stopping(train: DataFrame, test: DataFrame, params: ModelParams) ->
     found = fit(head, params, tail)
     # refit on all train rows with the number of trees found on the tail
     final = regressor(found.n_trees, params.learning_rate, params.max_depth, params.seed, params.max_bins).fit(
-        train.select("features", "label"))
+        fit_rows(train))
     return FitResult(final, found.n_trees, found.errors)
 
 
@@ -117,7 +127,7 @@ def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None =
     def run(pair):
         tr, va = pair
         m = regressor(params.n_estimators, params.learning_rate, params.max_depth, params.seed,
-                      params.max_bins).fit(tr)
+                      params.max_bins).fit(fit_rows(tr))
         return float(m.evaluateEachIteration(va, "absolute")[-1])
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
