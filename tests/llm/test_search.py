@@ -213,3 +213,27 @@ def test_pipeline_stages_take_empty_and_odd_tables(spark):
             assert out.count() == given.count() or name == "simhash"
             if name != "byte_bpe":
                 assert out.columns == given.columns
+
+
+def test_diagonals_of_a_cluster_and_item_go_together(spark, monkeypatch):
+    """A passage that comes again and again meets its item on many diagonals: the words of
+    the document go to the check once, and few words are remembered meanwhile."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from zonegrid.llm import decontam
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, " ".join([passage] * 30)), (2, "nothing of the kind"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join([passage] * 3))], "item_id long, text string")
+    seen, real = [], DataFrame.mapInPandas
+
+    def spy(self, *args, **kw):
+        if "item_words" in self.columns:
+            seen.append(self.count())
+        return real(self, *args, **kw)
+    monkeypatch.setattr(DataFrame, "mapInPandas", spy)
+    got = [(r.doc, r.item, r.agree, r.words, r.start) for r in decontam.overlaps(docs, items).collect()]
+    assert got == [(1, 7, 36, 36, 0)] and seen == [1]
+    known = decontam.Hashes()
+    for i in range(decontam.KNOWN + 5):
+        known[f"w{i}"]
+    assert len(known) == 5 and decontam.KNOWN < 100_000

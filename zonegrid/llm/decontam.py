@@ -15,7 +15,8 @@ Steps
    ``MAX_BITS`` whatever the benchmark's size) drops most seeds at once; it only
    spares work. What passes is kept with the words around it, once a cluster.
 3. Document seeds and item seeds are joined in Spark on the hash; each hit names
-   a diagonal (document place minus item place).
+   a diagonal (document place minus item place). The diagonals of a cluster and item
+   travel together, so that the words around them go once for all.
 4. Each (cluster, item) is verified on the words along its diagonals.
 
 Defined results
@@ -49,6 +50,7 @@ MASKS = ("11101011", "101100111", "111111")
 WINDOW, AGREE = 12, 10
 REACH = 16          # words kept on both sides of a cluster: more than a window beyond a seed
 CUT = 4096          # words after which a cluster is cut
+KNOWN = 65_536      # words whose hashes a task remembers: some 10 MB
 MIN_BITS, MAX_BITS = 20, 27   # size of the bitmap as a power of two: 128 KB to 16 MB
 
 WORD = re.compile(r"\w+")
@@ -69,7 +71,7 @@ class Hashes(dict):
     """word -> 64-bit hash; forgets all when it has too many words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode())
         return h
@@ -211,7 +213,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
     pairs = (found.select("doc", "cluster", F.explode(F.arrays_zip("hash", "at")).alias("s"))
              .select("doc", "cluster", F.col("s.hash").alias("hash"), F.col("s.at").alias("doc_at"))
              .join(made.select("hash", "item", F.col("at").alias("item_at")), "hash")
-             .select("doc", "cluster", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct())
+             .groupBy("doc", "cluster", "item")
+             .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts")))
     bodies = made.select("item", "words").distinct().withColumnRenamed("words", "item_words")
     places = found.select(F.col("doc").alias("d"), F.col("cluster").alias("c"), "start", "words").distinct()
     joined = (pairs.join(places, pairs["doc"].eqNullSafe(places["d"]) & (pairs["cluster"] == places["c"]))
@@ -221,11 +224,11 @@ def overlaps(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for d, i, shift, start, words, body in part[
-                    ["doc", "item", "shift", "start", "words", "item_words"]].itertuples(index=False):
-                got = agreement(np.asarray(words), np.asarray(body), shift - start)
-                if got:
-                    rows.append((d, i, got[0], got[1], start + got[2]))
+            for d, i, shifts, start, words, body in part[
+                    ["doc", "item", "shifts", "start", "words", "item_words"]].itertuples(index=False):
+                words, body = np.asarray(words), np.asarray(body)
+                found = [agreement(words, body, int(shift) - start) for shift in shifts]
+                rows += [(d, i, got[0], got[1], start + got[2]) for got in found if got]
             yield pd.DataFrame(rows, columns=["doc", "item", "agree", "words", "start"]).astype(
                 {"agree": "int32", "words": "int32", "start": "int32"})
 
