@@ -316,3 +316,42 @@ def test_lm_reads_pieces_as_whole_texts_and_draws_bounded_windows():
     line = np.arange(1, 10_001)
     assert pll.drawn(line, 3, 40, 1).shape == (280,)
     assert pll.drawn(line[:2], 1, 40, 1).tolist() == [0, 1, 2, 1, 2, 0] and len(pll.drawn(line[:0], 3, 40, 1)) == 0
+
+
+def test_byte_bpe_pieces_and_short_words(monkeypatch):
+    """One match over all distinct pieces gives the matches of each text, and the merge
+    without a heap gives the ids of the merge with one."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+    import public_tokenizers
+    import regex
+
+    from zonegrid.llm import bpe
+    rng = random.Random(5)
+    signs = [" ", " ", "  ", "\n", "\t", "a", "Bc", "'s", "'ll", "12", "1234", "\u00e9", "\u4e2d", "!", "...", "\x1c", "\u00a0"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(20))) for _ in range(3000)] + ["", None, " ", "a", " a", "a "]
+    part = pd.DataFrame({"doc": [str(i) for i in range(len(texts))], "body": texts})
+    calls, split = [], regex.compile(public_tokenizers.PATTERN)
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return split.findall(text)
+    monkeypatch.setattr(bpe.regex, "compile", lambda pattern: Counted())
+    for pattern in (public_tokenizers.PATTERN, "other"):
+        (_, _, counts, codes, words), = bpe.runs(iter([part]), pattern)
+        found, ends = np.array(words, dtype=object)[codes.astype(int)].tolist(), np.cumsum(counts)
+        assert [found[e - n:e] for n, e in zip(counts, ends)] == [split.findall(t or "") for t in texts]
+    monkeypatch.undo()
+    plain = pd.DataFrame({"doc": ["1"], "body": [" ".join(f"w{i}" for i in range(500))]})
+    del calls[:]
+    monkeypatch.setattr(bpe.regex, "compile", lambda pattern: Counted())
+    assert len(next(bpe.runs(iter([plain]), public_tokenizers.PATTERN, positions=False))[4]) and len(calls) <= 2
+    monkeypatch.undo()
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    words = [bytes(rng.choices(b"aabcdeht .\n\xc3\xa9\xff0", k=rng.randrange(60))) for _ in range(3000)]
+    short = [bpe.merge(w, ranks) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.merge(w, ranks) for w in words]

@@ -37,7 +37,9 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,7 @@ from pyspark.sql import functions as F
 from .common import col, small_batches
 
 CHUNK = 4_000_000         # characters of a run of documents
+SHORT = 48                # bytes of a word that is merged without a heap
 VOCABULARY = 64 << 20     # most bytes of ranks that may be broadcast
 
 
@@ -63,11 +66,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``merge`` of few bytes, where looking through all pairs is faster than a heap."""
+    none, rank = float("inf"), ranks.get
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [rank(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word: adjacent parts of least rank merge until none is in the table."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT:
+        return merge_short(word, ranks)
     ends, prev = list(range(1, n + 1)), list(range(-1, n - 1))   # part i is word[i:ends[i]]
     heap = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
     heapq.heapify(heap)
@@ -94,12 +115,9 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Numbers(dict):
+def numbered() -> defaultdict:
     """word -> its number, in order of first appearance."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -113,21 +131,10 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-class Pieces(dict):
-    """piece -> its number, in order of first appearance. The pieces of a text are what
-    single blanks part it into, a text's first piece as a tuple. ``uncut`` are the numbers
-    of pieces that are empty or have white space at an end: there the blank beside them
-    may belong to a longer run of white space."""
-
-    def __init__(self):
-        self.uncut: set[int] = set()
-
-    def __missing__(self, piece: str | tuple) -> int:
-        self[piece] = n = len(self)
-        text = piece[0] if isinstance(piece, tuple) else piece
-        if not text or text[0].isspace() or text[-1].isspace():
-            self.uncut.add(n)
-        return n
+def blanks_alone(pieces: list[str]) -> bool:
+    """Whether every blank between the pieces of a text stands between characters that
+    aren't white space, and none is at an end of the text."""
+    return "" not in pieces and list(map(str.strip, pieces)) == pieces
 
 
 def runs(parts: Iterator[pd.DataFrame], pattern: str, positions: bool = True) -> Iterator[tuple]:
@@ -142,23 +149,27 @@ def runs(parts: Iterator[pd.DataFrame], pattern: str, positions: bool = True) ->
     split = regex.compile(pattern)
     cut = pattern == public_tokenizers.PATTERN
     size, name = 0, xxhash.xxh3_128()
-    docs, texts, words, pieces = [], [], Numbers(), Pieces()
+    docs, texts, words, pieces, firsts = [], [], numbered(), numbered(), numbered()
+
+    def numbers_of(body: str) -> np.ndarray:
+        return np.array(list(map(words.__getitem__, split.findall(body))), dtype=np.uint32)
 
     def done():
         """Word numbers of the run: those of the distinct pieces, put in their places."""
-        numbers, sizes = [], []
-        for piece in pieces:
-            n = pieces[piece]
-            found = () if n in pieces.uncut else split.findall(piece[0] if isinstance(piece, tuple) else " " + piece)
-            sizes.append(len(found))
-            numbers.extend(map(words.__getitem__, found))
-        numbers, sizes = np.array(numbers, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+        # The distinct pieces, a blank before each, are one text: a piece has no other
+        # blank, so that its matches go from one that begins with a blank to the next.
+        found = split.findall(" " + " ".join(pieces)) if pieces else []
+        begins = np.flatnonzero([word[0] == " " for word in found])
+        each = [numbers_of(first) for first in firsts]
+        sizes = np.concatenate([np.diff(begins, append=len(found)), [len(x) for x in each]]).astype(np.int64)
+        numbers = np.concatenate([np.array(list(map(words.__getitem__, found)), dtype=np.uint32), *each])
         begins, counts, codes = np.cumsum(sizes) - sizes, [], []
-        for whole, own in texts if positions else ():
-            if not whole:
+        for first, own in texts if positions else ():
+            if first is not None:
+                own = np.concatenate([[len(pieces) + first], own]).astype(np.int64)
                 long = sizes[own]
-                first = np.cumsum(long) - long
-                own = numbers[np.repeat(begins[own] - first, long) + np.arange(int(long.sum()))]
+                start = np.cumsum(long) - long
+                own = numbers[np.repeat(begins[own] - start, long) + np.arange(int(long.sum()))]
             counts.append(len(own))
             codes.append(own)
         return (name.hexdigest(), docs, counts,
@@ -168,28 +179,25 @@ def runs(parts: Iterator[pd.DataFrame], pattern: str, positions: bool = True) ->
         for doc, text in zip(part["doc"].tolist(), part["body"]):
             text = text or ""
             docs.append(doc)
-            own = None
-            if cut:
-                first, *rest = text.split(" ")
-                own = [pieces[(first,)], *map(pieces.__getitem__, rest)]
-                if pieces.uncut and not pieces.uncut.isdisjoint(own):
-                    own = None
-            whole = own is None
-            if whole:
+            first, own = None, text.split(" ") if cut else []
+            if cut and blanks_alone(own):
+                first, own = firsts[own[0]], list(map(pieces.__getitem__, own[1:]))
+            else:
                 own = list(map(words.__getitem__, split.findall(text)))
             if positions:
-                texts.append((whole, np.array(own, dtype=np.uint32 if whole else np.int64)))
+                texts.append((first, np.array(own, dtype=np.uint32)))
             name.update(repr((doc, len(text))).encode() + text.encode())
             size += len(text)
             if size >= CHUNK:
                 yield done()
-                docs, texts, words, pieces, size, name = [], [], Numbers(), Pieces(), 0, xxhash.xxh3_128()
+                docs, texts, words, pieces, firsts = [], [], numbered(), numbered(), numbered()
+                size, name = 0, xxhash.xxh3_128()
     if docs:
         yield done()
 
 
 def bucket_of(words: list[str], buckets: int) -> np.ndarray:
-    return np.array([zlib.crc32(w.encode()) % buckets for w in words], dtype=np.int64)
+    return np.array(list(map(zlib.crc32, map(str.encode, words))), dtype=np.int64) % buckets
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc: str = "doc_id",
