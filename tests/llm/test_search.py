@@ -152,7 +152,7 @@ def test_nearest_neighbours(spark):
 def test_queries_are_registered_once_each():
     import __spark_entry__ as entry
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_queries_match_their_oracles(spark):
