@@ -269,6 +269,31 @@ def test_lm_gives_every_word_its_own_probability(spark, monkeypatch, known):
     assert abs(copies[0] - copies[80]) < 1e-3 and len(copies) == 84
 
 
+def test_lm_numbers_the_texts_once_for_training_and_scoring(spark, monkeypatch):
+    texts = ["the cat sat on the mat, " * 20] * 20 + ["zz qq, xx", None, "", " \n", "_a b_c... (cat) d'e caf\u00e9\u0301"]
+    given = docs(spark, texts).coalesce(1)
+    model, _ = pll.fit(given, pll.Params(words=4))
+    apart = {x.doc_id: x.lm for x in pll.score(given, model, pll.Params(words=4)).collect()}
+    calls = []
+    number = pll.numbered
+    monkeypatch.setattr(pll, "numbered", lambda *args: calls.append(args) or number(*args))
+    found = pll.fit_and_score(given, pll.Params(words=4), keep=["doc_id"])
+    got = {x.doc_id: x.lm for x in found.collect()}
+    assert found.columns == ["doc_id", "lm"] and len(calls) == 1 and set(got) == set(apart)
+    for k, x in got.items():
+        assert x.n_tokens == apart[k].n_tokens == len(pll.tokens_of(texts[k]))
+        assert abs(x.log_prob - apart[k].log_prob) < 1e-6
+
+
+def test_lm_splits_pieces_as_the_pattern_does():
+    marks = ["", ".", "!!", "_", "_.", "\u2026", "\u0301,", "9", "\u00b2", "\u0663"]
+    for piece in {a + w + b for a in marks for w in ["word", "\u00e9t\u00e9", "_", "'", "4"] for b in marks}:
+        words = pll.TOKEN.findall(piece)
+        assert pll.split(piece) == words
+        codes = pll.Codes({"word": 1, ".": 2}, 3)
+        assert codes.of(piece).tolist() == [{"word": 1, ".": 2}.get(w) or 3 + pll.form(w) for w in words]
+
+
 def test_lm_learns_from_documents_outside_the_sample(spark):
     r = random.Random(6)
     noise = [f"n{k}" for k in range(20)]

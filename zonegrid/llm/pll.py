@@ -19,7 +19,8 @@ so a token costs two short softmaxes. Then
 with n the word's count in the corpus and N that of its class (N + 1 in the classes by
 form; the 1 is for a word that the counts don't hold). Counts of the known words go to
 the tasks; what else a text holds is joined with the count table on the word. The
-biases start at the corpus's log frequencies. A sample bounded in documents (about
+biases start at the corpus's log frequencies. ``fit_and_score`` splits and numbers the texts
+once and keeps the classes of their tokens, two bytes each, for training and scoring. A sample bounded in documents (about
 ``sample_docs``, drawn with a fixed seed) and in windows (``sample_tokens``, as many from
 each document) gives the network its start; then every token of every document trains
 it: each task takes steps over its documents from that start, and the networks that
@@ -42,8 +43,9 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import sys
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,6 +59,7 @@ from .common import col, free_name, small_batches, stored
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 DIGIT = re.compile(r"\d")
+MARKS = string.punctuation.replace("_", "")
 GROUP = 16            # classes of a group
 FORMS = 13            # classes by form
 BLOCK = 1 << 11       # tokens scored at once
@@ -100,12 +103,17 @@ class Model:
         return len(self.bias)
 
     def classes(self) -> dict[str, int]:
-        return {**self.number, **{w: self.bands[band(n)] for w, n in self.known.items()}}
+        of = {n: self.bands[band(n)] for n in set(self.known.values())}
+        return {**self.number, **dict(zip(self.known, map(of.__getitem__, self.known.values())))}
 
     def shared(self) -> dict:
         """What tasks need of it; its size is set by Params and KNOWN."""
         return {k: v for k, v in vars(self).items() if k != "counts"}
 
+    def network(self) -> dict:
+        """What tasks need that read numbered texts."""
+        return {**self.shared(), "number": {}, "known": {}}
+
 
 def band(n: int) -> int:
     return math.floor(2 * math.log2(n))
@@ -115,22 +123,28 @@ def form(word: str) -> int:
     """Marks, numbers, words with digits, then letters by length, those outside ASCII apart."""
     if not (word[0].isalnum() or word[0] == "_"):
         return 0
-    if DIGIT.search(word):
+    if not word.isalpha() and DIGIT.search(word):
         return 1 if word.isdecimal() else 2
     return (3 if word.isascii() else 8) + min((len(word) - 1) // 3, 4)
 
 
 class Codes(dict):
     """Blank-delimited piece -> numbers of its tokens (the bytes of an int32 array), by
-    ``index`` or from ``forms`` on by form; no token goes across a blank. Forgets all
-    between texts when too large."""
+    ``index`` or from ``forms`` on by form; no token goes across a blank. A piece of several
+    tokens is made of theirs. Forgets all between texts when too large."""
 
     def __init__(self, index: dict[str, int], forms: int) -> None:
         super().__init__()
         self.index, self.forms = index, forms
+        self.own = [n.to_bytes(4, sys.byteorder) for n in range(forms + FORMS)]   # one object a number
 
     def __missing__(self, piece: str) -> bytes:
-        found = array("i", [self.index.get(w) or self.other(w) for w in split(piece)]).tobytes()
+        words = split(piece)
+        if len(words) == 1:
+            n = self.index.get(piece) or self.other(piece)
+            found = self.own[n] if n < len(self.own) else n.to_bytes(4, sys.byteorder)
+        else:
+            found = b"".join(map(self.__getitem__, words))
         if len(piece) <= LONG:
             self[piece] = found
         return found
@@ -168,7 +182,11 @@ class Named(Codes):
 
 
 def split(piece: str) -> list[str]:
-    return [piece] if piece.isalnum() else TOKEN.findall(piece)
+    """The tokens of a piece without blanks; most are a word, or one with marks behind it."""
+    if piece.isalnum():
+        return [piece]
+    word = piece.rstrip(MARKS)
+    return [word, *piece[len(word):]] if word.isalnum() else TOKEN.findall(piece)
 
 
 def pieces_of(text: str | None) -> list[str]:
@@ -185,10 +203,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def words_of(held: Counter) -> pd.DataFrame:
-        words: Counter = Counter()
+        words: dict[str, int] = {}
         for piece, n in held.items():
             for w in split(piece):
-                words[w] += n
+                words[w] = words.get(w, 0) + n
         return pd.DataFrame(words.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,26 +355,27 @@ def train(m: Model, windows: np.ndarray, p: Params) -> None:
         steps.over(random.permutation(windows.reshape(-1, size)).ravel(), places, random)
 
 
-def train_round(docs: DataFrame, m: Model, p: Params) -> None:
-    """One pass over all of ``docs`` (a column body): the mean of the tasks' networks."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(m.shared())
+def train_round(numbers: DataFrame, m: Model, p: Params) -> None:
+    """One pass over all of ``numbers``: the mean of the tasks' networks."""
+    small_batches(numbers.sparkSession)
+    shared = numbers.sparkSession.sparkContext.broadcast(m.network())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(**shared.value)
         for k in Steps.NAMES:
             setattr(own, k, getattr(own, k).copy())   # tasks of a worker share what is broadcast
-        codes, steps = Codes(own.classes(), own.forms), Steps(own, p.side, p.rate, 2048)
+        steps = Steps(own, p.side, p.rate, 2048)
         random, n = np.random.RandomState(p.seed), 0
         for part in parts:
-            line, places = joined([codes.of(t) for t in part["body"]], p.side)
+            line, places = joined([classes_in(c) for c in part["codes"]], p.side)
             steps.over(line, places, random)
             n += len(places)
         flat = np.concatenate([getattr(own, k).ravel() for k in Steps.NAMES] if n else [np.zeros(0)])
         yield pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "value": flat.astype(np.float64),
                             "n": np.full(len(flat), n, dtype=np.int64)})
 
-    mean = (docs.select("body").mapInPandas(run, "place int, value double, n long").groupBy("place")
+    texts = numbers.select("lm.codes").where(F.col("codes").isNotNull())
+    mean = (texts.mapInPandas(run, "place int, value double, n long").groupBy("place")
             .agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).toPandas().sort_values("place"))
     if len(mean):
         flat, begin = mean["value"].to_numpy(dtype=np.float32), 0
@@ -383,8 +402,8 @@ def known_words(counts: DataFrame) -> tuple[dict[str, int], DataFrame]:
     return dict(zip(some["word"], some["n"].tolist())), counts.where(level < least)
 
 
-def fit(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple[Model, DataFrame]:
-    """(model, counts): the network, and the corpus counts (word, n) it rests on."""
+def begin(docs: DataFrame, params: Params, text: str) -> tuple[Model, DataFrame]:
+    """(model, counts): the network after its start on the sample, and the corpus counts."""
     p = params
     counts = stored(word_counts(docs, text), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(p.words).collect()
@@ -435,11 +454,27 @@ def fit(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple
     line = np.concatenate([np.zeros(0), *sample["codes"]]).astype(np.int64)
     if len(line):
         train(model, line, p)
-    for _ in range(p.rounds):
-        train_round(some, model, p)
     return model, counts
 
 
+def fit(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple[Model, DataFrame]:
+    """(model, counts): the network, and the corpus counts (word, n) it rests on."""
+    model, counts = begin(docs, params, text)
+    for _ in range(params.rounds):
+        train_round(numbered(docs, model, text, []), model, params)
+    return model, counts
+
+
+def fit_and_score(docs: DataFrame, params: Params = Params(), text: str = "text", out: str = "lm",
+                  keep: list[str] | None = None) -> DataFrame:
+    """``score`` by the model of ``fit``, the texts numbered once for both."""
+    model, _ = begin(docs, params, text)
+    numbers = stored(numbered(docs, model, text, keep or docs.columns), "lm-numbers")
+    for _ in range(params.rounds):
+        train_round(numbers, model, params)
+    return scored(numbers, model, params, out)
+
+
 def log_probabilities(m: Model, codes: list[np.ndarray], side: int) -> np.ndarray:
     """Per text the summed log P of its tokens' classes, each from both sides."""
     line, places = joined(codes, side)
@@ -455,42 +490,68 @@ def log_probabilities(m: Model, codes: list[np.ndarray], side: int) -> np.ndarra
     return total
 
 
-def score(docs: DataFrame, model: Model, params: Params = Params(), text: str = "text",
-          out: str = "lm", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with a struct ``out``: log_prob, n_tokens,
-    mean_log_prob."""
+def classes_in(codes: bytes | None) -> np.ndarray:
+    return np.frombuffer(codes or b"", dtype=np.int16)
+
+
+def numbered(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """(given, row, lm): the columns ``keep``, a number for the row, and of its text the classes
+    of its tokens (null without text), the sum of their log P(word | class), the number of
+    them, and the words that are to be joined with their counts."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.shared())
 
-    @F.pandas_udf("log_prob double, n_tokens long, rest array<struct<word:string,times:int>>")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("codes binary, own double, n_tokens long, words array<string>, times array<long>")
+    def number(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(**shared.value)
-        index = {w: i for i, w in enumerate([*m.number, *m.known], 1)}
-        codes, first = Named(index, len(index) + 1), len(index) + 1
-        of = np.array([0, *m.number.values(), *(m.bands[band(n)] for n in m.known.values()),
-                       *range(m.forms, m.forms + FORMS)], dtype=np.int64)
+        level = {n: i for i, n in enumerate(set(m.known.values()), len(m.number) + 1)}   # a number for each count
+        first = len(m.number) + len(level) + 1
+        codes = Named({**m.number, **dict(zip(m.known, map(level.__getitem__, m.known.values())))}, first)
+        of = np.array([0, *m.number.values(), *(m.bands[band(n)] for n in level),
+                       *range(m.forms, m.forms + FORMS)], dtype=np.int16)
         own = -m.totals[of]                                              # log P(word | class), or what
-        own[len(m.number) + 1:first] += np.log([*m.known.values()])      # the joined count adds to
+        own[len(m.number) + 1:first] += np.log([*level])                 # the joined count adds to
         for texts in parts:
-            sums, n, classes, rest = [], [], [], []
+            classes, sums, n, words, times = [], [], [], [], []
             for t in texts:
                 given = codes.of(t)
                 at = np.where(given < first, given, first + (given - first) % GROUP)
-                rest.append([{"word": w, "times": k} for w, k in codes.others(given).items()])
-                classes.append(of[at])
+                others = codes.others(given)
+                classes.append(of[at].tobytes() if t else None)
                 sums.append(own[at].sum())
                 n.append(len(at))
-            yield pd.DataFrame({"log_prob": log_probabilities(m, classes, params.side) + np.array(sums),
-                                "n_tokens": n, "rest": rest})
+                words.append([*others])
+                times.append([*others.values()])
+            yield pd.DataFrame({"codes": classes, "own": sums, "n_tokens": n, "words": words, "times": times})
+
+    return docs.select(F.struct(*[col(c) for c in keep]).alias("given") if keep else F.lit(None).alias("given"),
+                       F.monotonically_increasing_id().alias("row"), number(col(text)).alias("lm"))
+
+
+def scored(numbers: DataFrame, model: Model, params: Params, out: str) -> DataFrame:
+    """What ``numbers`` (stored, so that a row keeps its number) was given, with the struct ``out``."""
+    small_batches(numbers.sparkSession)
+    shared = numbers.sparkSession.sparkContext.broadcast(model.network())
+
+    @F.pandas_udf("double")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Model(**shared.value)
+        for codes in parts:
+            yield pd.Series(log_probabilities(m, [classes_in(c) for c in codes], params.side))
 
-    # Written once, with a number for each row, whatever stands in its columns.
-    judged = stored(docs.select(F.struct(*[col(c) for c in keep or docs.columns]).alias("given"),
-                                judge(col(text)).alias("lm"), F.monotonically_increasing_id().alias("row")), "lm-scores")
-    rest = judged.select("row", F.inline("lm.rest"))
+    judged = numbers.select("given", "row", "lm.n_tokens", (judge("lm.codes") + F.col("lm.own")).alias("classes"))
+    rest = numbers.select("row", F.inline(F.arrays_zip("lm.words", "lm.times"))).toDF("row", "word", "times")
     more = (rest.join(model.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more")))
-    log_prob = F.col("lm.log_prob") + F.coalesce("more", F.lit(0.0))
-    found = free_name(docs, "lm_found")
+    log_prob = F.col("classes") + F.coalesce("more", F.lit(0.0))
+    found = free_name(numbers.select("given.*"), "lm_found")
     return (judged.join(more, "row", "left")
-            .select("given.*", F.struct(log_prob.alias("log_prob"), "lm.n_tokens", F.when(
-                F.col("lm.n_tokens") > 0, log_prob / F.col("lm.n_tokens")).alias("mean_log_prob")).alias(found))
+            .select("given.*", F.struct(log_prob.alias("log_prob"), "n_tokens", F.when(
+                F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob")).alias(found))
             .withColumn(out, F.col(found)).drop(found))
+
+
+def score(docs: DataFrame, model: Model, params: Params = Params(), text: str = "text",
+          out: str = "lm", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``out``: log_prob, n_tokens,
+    mean_log_prob."""
+    return scored(stored(numbered(docs, model, text, keep or docs.columns), "lm-numbers"), model, params, out)

@@ -106,8 +106,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, _ = pll.fit(docs)
-    return pll.score(docs, model, keep=["doc_id"]).select("doc_id", "lm.log_prob", "lm.n_tokens", "lm.mean_log_prob")
+    return pll.fit_and_score(docs, keep=["doc_id"]).select("doc_id", "lm.log_prob", "lm.n_tokens", "lm.mean_log_prob")
 
 
 @register
