@@ -232,3 +232,47 @@ def test_fits_run_in_partitions_of_their_rows(spark, monkeypatch):
     monkeypatch.setattr(train, "ROWS_PER_TASK", 100)
     assert train.fit_rows(df).rdd.getNumPartitions() == 3 and train.fit_rows(df).count() == 240
     assert train.fit_rows(df.limit(0)).rdd.getNumPartitions() <= 1
+
+
+def test_task_functions_need_no_installed_package(fitted, tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from zonegrid.ml import boost
+    _, forest, X, spark_pred, _ = fitted
+    sent = (T.shap_values, T.Forest([], forest.weights, len(FEATS)), X, T.path_groups(forest), boost.fold_errors)
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps(sent))
+    code = """if True:
+        import pickle, sys
+        import numpy as np
+        shap_values, frame, X, groups, fold_errors = pickle.load(open("sent", "rb"))
+        base, phi = shap_values(frame, X, groups)
+        fold_errors(X, X[:, 0], np.arange(len(X)) < 9, [1, 2], 2, 0.1, 8)
+        assert "zonegrid" not in sys.modules
+        pickle.dump(base + phi.sum(axis=1), open("found", "wb"))"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    assert np.allclose(pickle.loads((tmp_path / "found").read_bytes()), spark_pred, atol=1e-9)
+
+
+def test_cross_validation_and_final_fit_run_at_the_same_time(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import threading
+
+    from zonegrid.params import Params
+    from zonegrid.plans import training
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("train" if i < 60 else "test", 1, t0 + dt.timedelta(minutes=15 * i),
+             *map(float, np.random.default_rng(i).uniform(0, 1, len(FEATS))), float(i % 5)) for i in range(80)]
+    df = spark.createDataFrame(rows, "split string, Zone long, Time_Bin timestamp_ntz, "
+                               + ", ".join(f"`{c}` double" for c in FEATS) + ", `Target_DER_t+15` double")
+    data = assemble(df, FEATS).select("split", "Zone", "Time_Bin", "features", "label")
+    monkeypatch.setattr(training, "prepare", lambda *_: (data, FEATS))
+    both = threading.Barrier(2, timeout=60)
+    for name in ("cv_scores", "fit_with_stopping"):
+        real = getattr(train, name)
+        monkeypatch.setattr(train, name, lambda *a, real=real, **k: both.wait() >= 0 and real(*a, **k))
+    p = Params(model=ModelParams(n_estimators=3, max_depth=2, early_stopping_rounds=2))
+    out = training.train_and_save(spark, None, None, p, str(tmp_path / "registry"))
+    assert out["metrics"]["cv_mae_mean"] > 0 and out["n_train"] == 60 and 1 <= out["n_trees"] <= 3

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import surge
 from . import trees as T
+from .trees import Forest, PathGroup, shap_values
 
 
 def gain_importance(spark: SparkSession, model_path: str, names: list[str]) -> DataFrame:
@@ -87,12 +88,13 @@ def shap_topk(df: DataFrame, forest: T.Forest, features: list[str], k: int = 12,
     groups = T.path_groups(forest)
     if shipped_bytes(groups) > MAX_BROADCAST_BYTES:
         raise ValueError(f"leaf paths of {shipped_bytes(groups)} bytes exceed the broadcast limit {MAX_BROADCAST_BYTES}")
-    shared = df.sparkSession.sparkContext.broadcast(groups)
-    frame = T.Forest([], forest.weights, forest.n_features)
+    shared = df.sparkSession.sparkContext.broadcast([tuple(vars(g).values()) for g in groups])
+    frame = Forest([], forest.weights, forest.n_features)
 
     def run(batches):
+        paths = [PathGroup(*g) for g in shared.value]
         for pdf in batches:
-            base, phi = T.shap_values(frame, _matrix(pdf, features), shared.value)
+            base, phi = shap_values(frame, _matrix(pdf, features), paths)
             yield pd.DataFrame({id_col: pdf[id_col], "expected_value": base, "shap": list(phi)})
 
     out = df.select(id_col, *[F.col(f"`{c}`") for c in features]).mapInPandas(
