@@ -84,6 +84,21 @@ def test_shap_equals_brute_force_shapley(fitted):
         assert abs(val - phi[0, i]) < 1e-9
 
 
+def test_shap_cases_are_worked_out_once_a_leaf(fitted, monkeypatch):
+    """With tables no contribution is computed per row; without room for them the values are the same."""
+    _, forest, X, _, _ = fitted
+    groups = T.path_groups(forest)
+    assert [g.table.shape for g in groups if g.feature.size] == [
+        (len(g.value), 2 ** g.feature.shape[1], g.feature.shape[1]) for g in groups if g.feature.size]
+    monkeypatch.setattr(T, "TABLE_BYTES", 0)
+    plain = T.path_groups(forest)
+    assert all(g.table.size == 0 for g in plain)
+    base, phi = T.shap_values(forest, X, plain)
+    monkeypatch.setattr(T, "contributions", None)
+    again, quick = T.shap_values(forest, X, groups)
+    assert base == again and np.allclose(phi, quick, atol=1e-12)
+
+
 def test_gain_fractions_sum_to_one(spark, fitted):
     from zonegrid.ml.explain import gain_importance
     _, forest, _, _, path = fitted

@@ -45,7 +45,8 @@ MAX_LITERAL = 16 * 1024 * 1024
 
 
 def shipped_bytes(groups: list[T.PathGroup]) -> int:
-    """Size of the arrays that SHAP ships: they grow with the leaves of the model."""
+    """Size of the arrays that SHAP ships: they grow with the leaves of the model. The
+    tables of cases beside them have ``T.TABLE_BYTES`` at most."""
     return sum(x.nbytes for g in groups for x in (g.value, g.feature, g.cover, g.above, g.upto, g.weights))
 
 

@@ -117,6 +117,32 @@ class PathGroup:
     above: np.ndarray      # (leaves, d) a row follows the path if above < x <= upto
     upto: np.ndarray
     weights: np.ndarray    # (d,) k! (d-k-1)! / d!
+    table: np.ndarray      # (leaves, 2^d, d) contributions by the features that follow; empty if too large
+
+
+TABLE_BYTES = 64 * 1024 * 1024   # of all tables of a forest
+
+
+def contributions(g: PathGroup, a: np.ndarray, i: int) -> np.ndarray:
+    """(rows, leaves): what the features at position ``i`` of the paths contribute where
+    ``a`` (rows, leaves, d) tells which splits are followed."""
+    coefs = np.ones((*a.shape[:2], 1))
+    for j in range(a.shape[2]):
+        if j != i:
+            more = np.zeros((*a.shape[:2], coefs.shape[2] + 1))
+            more[:, :, :-1] += coefs * g.cover[:, j, None]
+            more[:, :, 1:] += coefs * a[:, :, j, None]
+            coefs = more
+    return g.value * (a[:, :, i] - g.cover[:, i]) * (coefs @ g.weights)
+
+
+def case_table(g: PathGroup) -> np.ndarray:
+    """A contribution depends on the row only by which of the ``d`` features follow the
+    path: 2^d cases a leaf, worked out once for all rows."""
+    leaves, d = g.feature.shape
+    cases = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(float)
+    a = np.broadcast_to(cases[:, None, :], (1 << d, leaves, d))
+    return np.ascontiguousarray(np.stack([contributions(g, a, i) for i in range(d)], axis=2).transpose(1, 0, 2))
 
 
 def leaf_paths(tree: Tree) -> list[tuple[float, dict]]:
@@ -143,16 +169,20 @@ def path_groups(forest: Forest) -> list[PathGroup]:
     for tree, w in zip(forest.trees, forest.weights):
         for value, path in leaf_paths(tree):
             by_length.setdefault(len(path), []).append((w * value, sorted(path), [path[f] for f in sorted(path)]))
-    out = []
+    out, room = [], TABLE_BYTES
     for d, leaves in sorted(by_length.items()):
         ends = np.array([x[2] for x in leaves], dtype=float).reshape(len(leaves), d, 3)
-        out.append(PathGroup(np.array([x[0] for x in leaves]), np.array([x[1] for x in leaves], dtype=np.int64).reshape(-1, d),
-                             ends[:, :, 0], ends[:, :, 1], ends[:, :, 2],
-                             np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])))
+        g = PathGroup(np.array([x[0] for x in leaves]), np.array([x[1] for x in leaves], dtype=np.int64).reshape(-1, d),
+                      ends[:, :, 0], ends[:, :, 1], ends[:, :, 2],
+                      np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)]), np.zeros(0))
+        size = 8 * len(leaves) * d << d
+        if 0 < size <= room:
+            g.table, room = case_table(g), room - size
+        out.append(g)
     return out
 
 
-CELLS = 1 << 20   # rows x leaves held at once
+CELLS = 1 << 20   # rows x leaves x path features held at once
 
 
 def shap_values(forest: Forest, X: np.ndarray, groups: list[PathGroup] | None = None) -> tuple[float, np.ndarray]:
@@ -165,20 +195,19 @@ def shap_values(forest: Forest, X: np.ndarray, groups: list[PathGroup] | None =
         leaves, d = g.feature.shape
         if d == 0:
             continue
-        target = [np.eye(forest.n_features)[g.feature[:, i]] for i in range(d)]
-        step = max(1, CELLS // leaves)
+        target = np.eye(forest.n_features)[g.feature]                    # (leaves, d, features)
+        cases = g.table.reshape(-1, d)
+        first = np.arange(leaves) << d
+        step = max(1, CELLS // (leaves * d))
         for at in range(0, len(X), step):
-            x = X[at:at + step][:, g.feature]
-            a = ((x > g.above) & (x <= g.upto)).astype(float)
-            for i in range(d):
-                coefs = np.ones((len(x), leaves, 1))
-                for j in range(d):
-                    if j != i:
-                        more = np.zeros((len(x), leaves, coefs.shape[2] + 1))
-                        more[:, :, :-1] += coefs * g.cover[:, j, None]
-                        more[:, :, 1:] += coefs * a[:, :, j, None]
-                        coefs = more
-                phi[at:at + step] += (g.value * (a[:, :, i] - g.cover[:, i]) * (coefs @ g.weights)) @ target[i]
+            x = X[at:at + step]
+            follows = [(x[:, g.feature[:, i]] > g.above[:, i]) & (x[:, g.feature[:, i]] <= g.upto[:, i]) for i in range(d)]
+            if len(cases):
+                own = cases[first + sum(f.astype(np.int64) << i for i, f in enumerate(follows))]
+            else:
+                a = np.stack(follows, axis=2).astype(float)
+                own = np.stack([contributions(g, a, i) for i in range(d)], axis=2)
+            phi[at:at + step] += own.reshape(len(x), -1) @ target.reshape(leaves * d, -1)
     return base, phi
 
 
