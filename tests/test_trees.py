@@ -249,6 +249,22 @@ def test_fits_run_in_partitions_of_their_rows(spark, monkeypatch):
     assert train.fit_rows(df.limit(0)).rdd.getNumPartitions() <= 1
 
 
+def test_fits_have_no_more_tasks_than_cores_and_a_short_lineage(spark, monkeypatch):
+    import datetime as dt
+    rows = [(float(i % 7), float(i), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), 1) for i in range(240)]
+    df = assemble(spark.createDataFrame(rows, "a double, `Target_DER_t+15` double, Time_Bin timestamp_ntz, Zone long"),
+                  ["a"]).repartition(40).cache()
+    assert train.fold_frames(df, 2)[1].rdd.getNumPartitions() == 1
+    found = train.fit_rows(df.where("label >= 100"))
+    assert "ExistingRDD" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.label for r in found.collect()) == list(map(float, range(100, 240)))
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(train, "ROWS_PER_TASK", 1)
+    assert train.fit_rows(df).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(train, "MOST_ROWS", 2)
+    assert train.fit_rows(df).rdd.getNumPartitions() == max(cores, 120)
+
+
 def test_task_functions_need_no_installed_package(fitted, tmp_path):
     import pickle
     import subprocess

@@ -10,7 +10,9 @@ search is a distributed aggregation over the cached feature vectors.
 * Grid search: all fits of the bounded tail sample are one job (``boost``).
 * A tree takes a job a level, and each task of it sends its histograms of all open
   nodes. Rows are fitted in partitions of ``ROWS_PER_TASK``, whatever the number of
-  partitions they were prepared in.
+  partitions they were prepared in, and in no more than there are cores while a
+  partition holds at most ``MOST_ROWS``. They are moved there once and checkpointed: the
+  hundreds of jobs of a fit neither read rows of another split nor send their lineage.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from . import boost
 
 DEFAULT_MAX_BINS = ModelParams().max_bins
 ROWS_PER_TASK = 50_000   # rows of one task of a fit; at 21 features some 10 MB
+MOST_ROWS = 1_000_000    # rows of one task where the cores are too few for the former
 
 
 def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int,
@@ -39,9 +42,15 @@ def regressor(n_trees: int, learning_rate: float, max_depth: int, seed: int,
                         seed=int(seed), lossType="squared", maxBins=int(max_bins))
 
 
+def fit_tasks(spark: SparkSession, n_rows: int) -> int:
+    """Partitions of a fit's rows."""
+    return max(1, ceil(n_rows / MOST_ROWS), min(ceil(n_rows / ROWS_PER_TASK), spark.sparkContext.defaultParallelism))
+
+
 def fit_rows(rows: DataFrame) -> DataFrame:
-    """``features`` and ``label`` of all rows, in no more partitions than their number asks for."""
-    return rows.select("features", "label").coalesce(max(1, ceil(rows.count() / ROWS_PER_TASK)))
+    """``features`` and ``label`` of all rows, in the partitions that their number asks for."""
+    found = rows.select("features", "label")
+    return found.repartition(fit_tasks(rows.sparkSession, rows.count())).checkpoint(eager=True)
 
 
 def best_with_patience(errors: list[float], patience: int) -> int:
@@ -114,7 +123,8 @@ def fit_with_stopping(train: DataFrame, test: DataFrame, params: ModelParams) ->
 
 def fold_frames(assembled: DataFrame, n_splits: int | None = None, order: str = "time"):
     """[(train_rows, validation_rows)] of the expanding-window split."""
-    folded = time_series_folds(assembled, n_splits, order).cache()
+    tasks = fit_tasks(assembled.sparkSession, assembled.count())
+    folded = time_series_folds(assembled, n_splits, order).repartition(tasks).cache()
     k = int(folded.select(F.max("n_folds")).first()[0] or 0)
     return [(folded.where(fold_bounds(j)), folded.where(F.col("test_fold") == j)) for j in range(k)], folded
 
