@@ -1,3 +1,3 @@
 """zonegrid: zone x 15-minute demand/supply features, forecasting and scoring on Spark."""
 
-__version__ = "0.1.1"
+__version__ = "0.1.2"

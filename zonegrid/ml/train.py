@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, isfinite
 
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -122,16 +122,18 @@ def fit_with_stopping(train: DataFrame, test: DataFrame, params: ModelParams) ->
 
 
 def fold_frames(assembled: DataFrame, n_splits: int | None = None, order: str = "time"):
-    """[(train_rows, validation_rows)] of the expanding-window split."""
+    """[(train_rows, validation_rows)] of the expanding-window split; none where the rows
+    are not more than the folds."""
     tasks = fit_tasks(assembled.sparkSession, assembled.count())
     folded = time_series_folds(assembled, n_splits, order).repartition(tasks).cache()
-    k = int(folded.select(F.max("n_folds")).first()[0] or 0)
+    k = int(folded.where("fold_size > 0").select(F.max("n_folds")).first()[0] or 0)
     return [(folded.where(fold_bounds(j)), folded.where(F.col("test_fold") == j)) for j in range(k)], folded
 
 
 def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None = None,
               order: str = "time", threads: int = 4) -> dict:
-    """M2: MAE per expanding-window fold (no early stopping), mean and population std."""
+    """M2: MAE per expanding-window fold (no early stopping), mean and population std;
+    these are NaN only where there are no folds."""
     folds, cached = fold_frames(assembled, n_splits, order)
 
     def run(pair):
@@ -143,6 +145,8 @@ def cv_scores(assembled: DataFrame, params: ModelParams, n_splits: int | None =
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
         maes = list(pool.map(run, folds))
     cached.unpersist()
+    if not all(map(isfinite, maes)):
+        raise ArithmeticError(f"a fold's error is not a finite number: {maes}")
     n = len(maes)
     mean = sum(maes) / n if n else float("nan")
     std = (sum((m - mean) ** 2 for m in maes) / n) ** 0.5 if n else float("nan")
