@@ -83,3 +83,15 @@ def test_a_job_that_fails_at_its_run_log_has_no_record(job, monkeypatch):
     with pytest.raises(OSError, match="the disk is full"):
         run(30, run_cv=False)
     assert not (base / "registry").exists()
+
+
+def test_the_run_log_says_why_there_is_no_score(spark, job):
+    """It keeps finite metrics only, so that these scores are not in it."""
+    run, base = job
+    run(2)
+    run(30, run_cv=False)
+    run(30)
+    found = registry.runs(spark, str(base)).orderBy("logged_at").collect()
+    assert [r.tags.get("cross_validation") for r in found] == ["none: 2 train rows make no folds", "none: switched off", None]
+    assert ["cv_mae_mean" in r.metrics for r in found] == [False, False, True]
+    assert {r.tags["n_features"] for r in found} == {"1"}

@@ -55,11 +55,12 @@ def json_safe_metrics(df: DataFrame, col: str = "metrics") -> DataFrame:
     return df.withColumn(col, clean)
 
 
-def log_run(spark: SparkSession, base: str, params: dict, metrics: dict, n_features: int) -> str:
-    """Params as strings, finite metrics only, n_features tag."""
+def log_run(spark: SparkSession, base: str, params: dict, metrics: dict, n_features: int,
+            tags: dict | None = None) -> str:
+    """Params as strings, finite metrics only, n_features tag and ``tags``."""
     run_id, now = utc_stamp()
     row = [(run_id, now, {k: str(v) for k, v in params.items()},
-            {k: float(v) for k, v in metrics.items()}, {"n_features": str(n_features)})]
+            {k: float(v) for k, v in metrics.items()}, {"n_features": str(n_features)} | (tags or {}))]
     df = spark.createDataFrame(row, RUNS_SCHEMA).withColumn(
         "metrics", F.map_filter("metrics", lambda _k, v: ~F.isnan(v) & (F.abs(v) != F.lit(math.inf))))
     df.write.mode("append").parquet(f"{base.rstrip('/')}/training_runs")
